@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from checks import bronze, clinical, silver
+from checks import bronze, clinical, learning, platform, silver
 from checks.sqltext import compose
 
-TABLES = {**bronze.TABLES, **silver.TABLES}
-SECTIONS = [clinical]
+TABLES = {**bronze.TABLES, **silver.TABLES, **platform.TABLES}
+SECTIONS = [clinical, learning, platform]
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsemart.catalog import clinical
+from pulsemart.catalog import clinical, learning, platform
 from pulsemart.catalog.shape import plain
 from pulsemart.plans.health import Health
+from pulsemart.plans.logs import Logs
 
-HEALTH_SECTIONS = [clinical]
+# Sections and the tables their queries are built from.
+SECTIONS = [(clinical, Health), (learning, Health), (platform, Logs)]
 
 
-def _over_health(build) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: plain(build(Health(spark, sf_dir)))
+def _registered(build, tables) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: plain(build(tables(spark, sf_dir)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _over_health(build) for section in HEALTH_SECTIONS for name, build in section.QUERIES.items()}
+    return {
+        name: _registered(build, tables)
+        for section, tables in SECTIONS
+        for name, build in section.QUERIES.items()
+    }

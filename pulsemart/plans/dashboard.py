@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from pulsemart.functions import dates, rules
-from pulsemart.functions.numbers import count_where, percent, ratio
+from pulsemart.functions.numbers import count_where, percent
 from pulsemart.operators.latest import latest_by
 from pulsemart.plans import gold
 
@@ -17,8 +17,9 @@ def _rate(condition, places: int):
 
 
 def side_by_side(*one_row_frames: DataFrame) -> DataFrame:
-    """One wide row from several one-row aggregates (each side is exactly one row)."""
-    return reduce(lambda left, right: left.crossJoin(F.broadcast(right)), one_row_frames)
+    """One wide row from several one-row aggregates, computed in one job."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), one_row_frames)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def platform_kpis(t: dict[str, DataFrame], claims: DataFrame) -> DataFrame:
@@ -171,14 +172,12 @@ def demographics(patients: DataFrame) -> DataFrame:
 
 
 def diagnosis_prevalence(diagnoses: DataFrame, patients: DataFrame) -> DataFrame:
-    population = patients.filter("is_current").agg(F.count("*").alias("population"))
+    population = patients.filter("is_current").agg(F.count("*")).scalar()
     return (
         diagnoses.filter(F.col("cardiac_category").isNotNull())
         .groupBy("cardiac_category")
         .agg(F.countDistinct("patient_id").alias("patients"), F.count("*").alias("total_diagnoses"))
-        .crossJoin(F.broadcast(population))
-        .withColumn("prevalence_pct", F.round(F.col("patients") * 100.0 / F.col("population"), 1))
-        .drop("population")
+        .withColumn("prevalence_pct", F.round(F.col("patients") * 100.0 / population, 1))
         .orderBy(F.desc("patients"), "cardiac_category")
     )
 
