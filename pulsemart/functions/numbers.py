@@ -36,8 +36,9 @@ def pick(values: list[str], index: Column) -> Column:
 
 
 def padded(prefix: str, key: Column, width: int = 12) -> Column:
-    """Zero-padded business id."""
-    return F.concat(F.lit(prefix), F.lpad(key.cast("string"), width, "0"))
+    """Zero-padded business id; a key wider than ``width`` is kept whole, so ids never collide."""
+    digits = key.cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0")))
 
 
 def gigabytes(value: Column) -> Column:

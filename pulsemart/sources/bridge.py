@@ -34,9 +34,9 @@ def _unless(condition: Column, value: Column) -> Column:
     return F.when(~condition, value)
 
 
-def lines_with_patient(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines_with_patient(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """Line items with the patient of their order (the only join line-level tables need)."""
-    lines = star(spark, sf_dir, "lineitem")
+    lines = star(spark, sf_dir, "lineitem") if lines is None else lines
     orders = star(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("l_orderkey").alias("ok"),
@@ -106,7 +106,7 @@ def raw_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_encounters(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     k, v = F.col("o_orderkey"), F.col("version")
     versions = F.when(k % 9 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     admitted = _shift(F.col("o_orderdate"), k % 24, "HOUR")
@@ -123,7 +123,7 @@ def raw_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("DISCHARGED_HOME")
     )
     return (
-        star(spark, sf_dir, "orders")
+        (star(spark, sf_dir, "orders") if orders is None else orders)
         .withColumn("version", F.explode(versions))
         .select(
             (k * 2 + v - 1).alias("record_id"),
@@ -284,10 +284,10 @@ def raw_rehab_referrals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_rehab_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_rehab_sessions(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     ok, ln, pk, sk, ck, qty = (F.col(c) for c in ("ok", "ln", "pk", "sk", "ck", "qty"))
     as_int = lambda c: c.cast("int")
-    return lines_with_patient(spark, sf_dir).select(
+    return lines_with_patient(spark, sf_dir, lines).select(
         _line_record().alias("record_id"),
         _line_id("SES-").alias("session_id"),
         _unless(ok % 25 == 0, _referral_id(ck, (ck % 8 == 0) & (ok % 2 == 1))).alias("referral_id"),
