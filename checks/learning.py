@@ -184,6 +184,9 @@ SQL = {
         SELECT note_id, note_type, patient_id, strftime(authored_at, '%Y-%m-%d %H:%M:%S') AS authored_at
         FROM (SELECT * FROM raw_clinical_notes WHERE note_text IS NOT NULL
               ORDER BY raw_clinical_notes.authored_at DESC, note_id LIMIT 15)""",
+    "v4_note_functions": f"""
+        SELECT note_id, CASE WHEN score > 0.2 THEN 'POSITIVE' WHEN score < -0.2 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS tone,
+               CAST(len({WORDS('note_text')}) AS INTEGER) AS words FROM ({SENTIMENT})""",
     "f23_risk_case_text": """
         SELECT referral_id, 'LVEF: ' || lvef_percent::VARCHAR || '%, Peak METs: ' || gxt_peak_mets::VARCHAR ||
                ', Diagnosis: ' || qualifying_diagnosis AS case_text FROM fact_rehab_referral""",

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from checks import bronze, clinical, control, learning, platform, silver
+from checks import bronze, clinical, control, idioms, learning, platform, silver
 from checks.sqltext import compose
 
 TABLES = {**bronze.TABLES, **silver.TABLES, **platform.TABLES}
-SECTIONS = [clinical, learning, control, platform]
+SECTIONS = [clinical, learning, control, platform, idioms]
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,7 +19,7 @@ def pad(prefix: str, key: str, width: int = 12) -> str:
 
 def r(value: str, places: int) -> str:
     """Half-up rounding of the printed value of a double."""
-    return f"CAST(round(CAST(CAST(({value}) AS VARCHAR) AS DECIMAL(38,14)), {places}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST(({value}) AS VARCHAR) AS DECIMAL(38,20)), {places}) AS DOUBLE)"
 
 
 def values(rows: list[tuple], columns: list[str]) -> str:
@@ -52,6 +52,8 @@ def compose(body: str, tables: dict[str, str]) -> str:
         return body
     heads = ",\n".join(f"{name} AS (\n{tables[name].strip()}\n)" for name in ordered)
     lead = body.strip()
+    if lead.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {heads},\n{lead[15:]}"
     if lead.upper().startswith("WITH "):
         return f"WITH {heads},\n{lead[5:]}"
     return f"WITH {heads}\n{lead}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsemart.catalog.shape import steady
+from pulsemart.functions import text as tx
 from pulsemart.operators.history import versions
 from pulsemart.operators.vectors import nearest
 from pulsemart.plans import embeddings as em, features as f, notes as n
@@ -74,5 +74,9 @@ QUERIES = {
     "k6_newest_notes": lambda h: n.newest(h.raw_clinical_notes, 15).select(
         "note_id", "note_type", "patient_id", "authored_at"
     ),
+    "v4_note_functions": lambda h: h.raw_clinical_notes.select(
+        "note_id", n.sentiment_label(n.sentiment_score(F.col("note_text"))).alias("tone"),
+        F.size(tx.words(F.col("note_text"))).alias("words"),
+    ),
     "f23_risk_case_text": lambda h: n.risk_prompt(h.fact_rehab_referral),
 }

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsemart.catalog import clinical, control, learning, platform
+from pulsemart.catalog import clinical, control, idioms, learning, platform
 from pulsemart.catalog.shape import plain
 from pulsemart.plans.health import Health
 from pulsemart.plans.logs import Logs
 
 # Sections and the tables their queries are built from.
-SECTIONS = [(clinical, Health), (learning, Health), (control, Health), (platform, Logs)]
+SECTIONS = [(clinical, Health), (learning, Health), (control, Health), (platform, Logs), (idioms, Health)]
 
 
 def _registered(build, tables) -> Callable[[SparkSession, str], DataFrame]:
