@@ -68,10 +68,10 @@ def vector_table(source: str, keep: str, key: str, text: str) -> str:
     return f"""
         WITH source AS ({source}),
         tokens AS (SELECT DISTINCT {key} AS k, {WORDS(text)} AS w FROM source),
-        terms AS (SELECT k, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))
-                    AS term FROM tokens),
-        cells AS (SELECT k, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 768 AS bucket, count(*) AS n
-                  FROM terms GROUP BY 1, 2),
+        hashed AS (SELECT k, list_transform(w, lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT)) AS h FROM tokens),
+        terms AS (SELECT k, unnest(list_concat(h, list_transform(range(1, len(h)), lambda i: h[i] * 31 + h[i + 1])))
+                    AS term FROM hashed),
+        cells AS (SELECT k, term % 768 AS bucket, count(*) AS n FROM terms GROUP BY 1, 2),
         totals AS (SELECT k, CAST(sum(n * n) AS DOUBLE) AS squares FROM cells GROUP BY 1),
         weighted AS (SELECT cells.k, bucket, CAST(n / sqrt(squares) AS FLOAT)::DOUBLE AS weight
                      FROM cells JOIN totals ON cells.k = totals.k),

@@ -152,7 +152,10 @@ QUERIES = {
         "ts", "user", F.col("event_type") == "error", 2,
     ),
     "z3_daily_sessions": lambda h: monitors.daily_sessions(
-        bridge.raw_rehab_sessions(h.spark, h.sf_dir, feeds.read_feed(h.spark, h.sf_dir, "lineitem.parquet"))
+        bridge.raw_rehab_sessions(
+            h.spark,
+            bridge.lines_with_patient(h.spark, h.sf_dir, feeds.read_feed(h.spark, h.sf_dir, "lineitem.parquet")),
+        )
     ).drop("unique_patients_estimate"),
     "z4_newest_encounters": lambda h: monitors.newest_per_key(
         bridge.raw_encounters(h.spark, h.sf_dir, feeds.read_feed(h.spark, h.sf_dir, "orders.parquet")),

@@ -29,10 +29,15 @@ def uniform(key: Column, salt: int, low: int, high: int) -> Column:
     return mix(key, salt, high - low + 1) + low
 
 
+def constants(values: list[str]) -> Column:
+    """Array literal of short texts."""
+    quoted = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"array({quoted})")
+
+
 def pick(values: list[str], index: Column) -> Column:
     """Cyclic choice from a short list of constants."""
-    options = F.array(*[F.lit(v) for v in values])
-    return F.element_at(options, (F.pmod(index.cast("long"), F.lit(len(values))) + 1).cast("int"))
+    return F.element_at(constants(values), (F.pmod(index.cast("long"), F.lit(len(values))) + 1).cast("int"))
 
 
 def padded(prefix: str, key: Column, width: int = 12) -> Column:

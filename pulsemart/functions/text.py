@@ -16,21 +16,18 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(raw, lambda s: F.trim(s)), lambda s: F.length(s) > 1)
 
 
-def constants(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
-def count_in(tokens: Column, lexicon: list[str]) -> Column:
-    listed = constants(lexicon)
-    return F.size(F.filter(tokens, lambda t: F.array_contains(listed, t)))
+def count_of(text: Column, lexicon: list[str]) -> Column:
+    """How many words of the text are in the lexicon (plain lower-case words), in one scan."""
+    listed = "|".join(lexicon)
+    return F.regexp_count(F.lower(text), F.lit(f"(?<![a-z0-9])(?:{listed})(?![a-z0-9])"))
 
 
 def terms_in(text: Column, terms: list[str]) -> Column:
     """The dictionary terms the text contains, in dictionary order, any case."""
     lowered = F.lower(text)
-    return F.filter(constants(terms), lambda t: F.contains(lowered, t))
+    return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(t)), F.lit(t)) for t in terms]))
 
 
-def bucket(term: Column, size: int) -> Column:
-    """Stable hash bucket of a term."""
-    return F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long") % size
+def term_hash(term: Column) -> Column:
+    """Stable 32-bit hash of a term."""
+    return F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulsemart.functions.text import bucket, words
+from pulsemart.functions.text import term_hash, words
 from pulsemart.operators.latest import latest_by
 
 DIMENSIONS = 768
@@ -16,13 +16,12 @@ def text_vectors(df: DataFrame, key: str, text: str, dimensions: int = DIMENSION
     Terms are counted per key and bucket with map-side combine, so at most ``dimensions``
     rows per key and task are exchanged, however long a text is.
     """
-    tokens = df.select(key, words(F.col(text)).alias("w"))
+    hashes = df.select(key, F.transform(words(F.col(text)), term_hash).alias("w"))
     shorter = F.greatest(F.size("w") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("w", F.lit(1), shorter), F.slice("w", F.lit(2), shorter),
-                       lambda a, b: F.concat(a, F.lit(" "), b))
+    pairs = F.zip_with(F.slice("w", F.lit(1), shorter), F.slice("w", F.lit(2), shorter), lambda a, b: a * 31 + b)
     counted = (
-        tokens.select(key, F.explode(F.concat("w", pairs)).alias("term"))
-        .groupBy(key, bucket(F.col("term"), dimensions).cast("int").alias("bucket"))
+        hashes.select(key, F.explode(F.concat("w", pairs)).alias("term"))
+        .groupBy(key, (F.col("term") % dimensions).cast("int").alias("bucket"))
         .agg(F.count("*").alias("n"))
     )
     cells = counted.groupBy(key).agg(

@@ -11,6 +11,7 @@ from pulsemart.plans import silver
 from pulsemart.sources import bridge
 
 CLINICAL_DAY = "2002-01-01 00:00:00"
+LINE_TABLES = {"raw_diagnoses", "raw_medications", "raw_rehab_sessions", "raw_claims"}
 
 
 class Health:
@@ -21,11 +22,17 @@ class Health:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("raw_") or name == "care_team_assignments":
-            table = getattr(bridge, name)(self.spark, self.sf_dir)
+            source = self.lines if name in LINE_TABLES else self.sf_dir
+            table = getattr(bridge, name)(self.spark, source)
             self.__dict__[name] = table
             return table
         raise AttributeError(name)
 
+    @cached_property
+    def lines(self) -> DataFrame:
+        """Line items with their patient, shared by the line-level tables."""
+        return bridge.lines_with_patient(self.spark, self.sf_dir)
+
     @cached_property
     def dim_patient(self) -> DataFrame:
         return silver.dim_patient(self.raw_patients, self.as_of)

@@ -33,32 +33,28 @@ def summaries(notes: DataFrame, keep: int = 3) -> DataFrame:
 
     A sentence scores the mean in-note frequency of its words, in thousandths.
     """
-    lines = notes.filter(F.col("note_text").isNotNull()).select(
-        "note_id", F.posexplode(tx.sentences(F.col("note_text"))).alias("position", "sentence")
+    texts = notes.filter(F.col("note_text").isNotNull()).select(
+        "note_id", tx.sentences(F.col("note_text")).alias("sentences")
     )
-    used = (
-        lines.select("note_id", "position", F.explode(tx.words(F.col("sentence"))).alias("word"))
-        .groupBy("note_id", "word", "position").agg(F.count("*").alias("n"))
+    used = texts.select("note_id", F.posexplode("sentences").alias("position", "sentence")).select(
+        "note_id", "position", F.explode(tx.words(F.col("sentence"))).alias("word")
     )
-    frequency = used.groupBy("note_id", "word").agg(F.sum("n").alias("f"))
+    places = used.groupBy("note_id", "word").agg(F.count("*").alias("f"), F.collect_list("position").alias("positions"))
     scores = (
-        used.join(frequency, ["note_id", "word"])
+        places.select("note_id", "f", F.explode("positions").alias("position"))
         .groupBy("note_id", "position")
-        .agg(F.floor(F.sum(F.col("n") * F.col("f")) * 1000 / F.sum("n")).alias("score"))
+        .agg(F.floor(F.sum("f") * 1000 / F.count("*")).alias("score"))
     )
     best = latest_by(scores, "note_id", [F.desc("score"), F.asc("position")], keep)
-    return (
-        best.join(lines, ["note_id", "position"])
-        .groupBy("note_id")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "sentence"))).alias("chosen"))
-        .select("note_id", F.concat_ws(" ", F.col("chosen.sentence")).alias("summary"))
+    chosen = best.groupBy("note_id").agg(F.array_sort(F.collect_list("position")).alias("chosen"))
+    return texts.join(chosen, "note_id").select(
+        "note_id", F.concat_ws(" ", F.transform("chosen", lambda p: F.get("sentences", p))).alias("summary")
     )
 
 
 def sentiment_score(text: Column) -> Column:
     """(positive - negative) / (positive + negative) lexicon words, 0 without any."""
-    tokens = tx.words(text)
-    good, bad = tx.count_in(tokens, POSITIVE), tx.count_in(tokens, NEGATIVE)
+    good, bad = tx.count_of(text, POSITIVE), tx.count_of(text, NEGATIVE)
     return F.coalesce((good - bad) / F.nullif(good + bad, F.lit(0)), F.lit(0.0))
 
 

@@ -8,8 +8,8 @@ from pulsemart.functions import dates, rules
 from pulsemart.operators.latest import latest_by, newest_first
 
 
-def _newest_row(raw: DataFrame, key: str) -> DataFrame:
-    return latest_by(raw, key, newest_first("load_timestamp", "record_id"))
+def _newest_row(raw: DataFrame, key: str, spread: bool = False) -> DataFrame:
+    return latest_by(raw, key, newest_first("load_timestamp", "record_id"), spread=spread)
 
 
 def dim_patient(raw_patients: DataFrame, as_of: Column) -> DataFrame:
@@ -53,7 +53,7 @@ def fact_encounter(raw_encounters: DataFrame, as_of: Column) -> DataFrame:
 
 
 def fact_diagnosis(raw_diagnoses: DataFrame) -> DataFrame:
-    return _newest_row(raw_diagnoses, "diagnosis_id").select(
+    return _newest_row(raw_diagnoses, "diagnosis_id", spread=True).select(
         "diagnosis_id",
         "encounter_id",
         "patient_id",
@@ -67,7 +67,7 @@ def fact_diagnosis(raw_diagnoses: DataFrame) -> DataFrame:
 
 
 def fact_medication(raw_medications: DataFrame) -> DataFrame:
-    return _newest_row(raw_medications, "medication_id").select(
+    return _newest_row(raw_medications, "medication_id", spread=True).select(
         "medication_id",
         "encounter_id",
         "patient_id",
@@ -87,7 +87,7 @@ def fact_lab_result(raw_lab_results: DataFrame) -> DataFrame:
     flag = rules.lab_flag(
         F.col("result_numeric"), F.col("reference_low"), F.col("reference_high"), F.col("abnormal_flag")
     )
-    return _newest_row(raw_lab_results, "lab_id").select(
+    return _newest_row(raw_lab_results, "lab_id", spread=True).select(
         "lab_id",
         "encounter_id",
         "patient_id",
@@ -125,7 +125,7 @@ def fact_rehab_referral(raw_rehab_referrals: DataFrame) -> DataFrame:
 def fact_rehab_session(raw_rehab_sessions: DataFrame) -> DataFrame:
     c = F.col
     return (
-        _newest_row(raw_rehab_sessions, "session_id")
+        _newest_row(raw_rehab_sessions, "session_id", spread=True)
         .withColumn(
             "achieved_hrr_percent", rules.reserve_percent(c("peak_hr"), c("resting_hr"), c("target_hr_high"))
         )

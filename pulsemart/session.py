@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Building wide plans is faster without a Python stack trace per column.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -19,6 +19,16 @@ def star(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistributes an input that arrives in fewer splits than there are cores.
+
+    A file with a single row group is read by one task. At scale an input has far more splits
+    than cores and is left as it is, so no exchange is added there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _days(base: str, days: Column) -> Column:
     return F.date_add(F.lit(base).cast("date"), days.cast("int"))
 
@@ -36,7 +46,7 @@ def _unless(condition: Column, value: Column) -> Column:
 
 def lines_with_patient(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """Line items with the patient of their order (the only join line-level tables need)."""
-    lines = star(spark, sf_dir, "lineitem") if lines is None else lines
+    lines = spread(star(spark, sf_dir, "lineitem")) if lines is None else lines
     orders = star(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("l_orderkey").alias("ok"),
@@ -144,9 +154,9 @@ def raw_encounters(spark: SparkSession, sf_dir: str, orders: DataFrame | None =
     )
 
 
-def raw_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_diagnoses(spark: SparkSession, lines: DataFrame) -> DataFrame:
     ok, ln, pk, sk = F.col("ok"), F.col("ln"), F.col("pk"), F.col("sk")
-    lines = L.cyclic_pick(lines_with_patient(spark, sf_dir), L.diagnoses(spark), "dx_code", pk, len(L.DIAGNOSES))
+    lines = L.cyclic_pick(lines, L.diagnoses(spark), "dx_code", pk, len(L.DIAGNOSES))
     old = sk % 11 == 0
     code = (
         F.when(old, pick(["410.1", "414.0", "428.0", "413.9"], sk))
@@ -169,11 +179,9 @@ def raw_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_medications(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_medications(spark: SparkSession, lines: DataFrame) -> DataFrame:
     ok, pk, sk, qty = F.col("ok"), F.col("pk"), F.col("sk"), F.col("qty")
-    lines = L.cyclic_pick(
-        lines_with_patient(spark, sf_dir), L.medications(spark), "med_name", pk + sk, len(L.MEDICATIONS)
-    )
+    lines = L.cyclic_pick(lines, L.medications(spark), "med_name", pk + sk, len(L.MEDICATIONS))
     start = F.col("shipped").cast("date")
     return lines.select(
         _line_record().alias("record_id"),
@@ -284,10 +292,10 @@ def raw_rehab_referrals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_rehab_sessions(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+def raw_rehab_sessions(spark: SparkSession, lines: DataFrame) -> DataFrame:
     ok, ln, pk, sk, ck, qty = (F.col(c) for c in ("ok", "ln", "pk", "sk", "ck", "qty"))
     as_int = lambda c: c.cast("int")
-    return lines_with_patient(spark, sf_dir, lines).select(
+    return lines.select(
         _line_record().alias("record_id"),
         _line_id("SES-").alias("session_id"),
         _unless(ok % 25 == 0, _referral_id(ck, (ck % 8 == 0) & (ok % 2 == 1))).alias("referral_id"),
@@ -359,12 +367,12 @@ def raw_rehab_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_claims(spark: SparkSession, lines: DataFrame) -> DataFrame:
     ok, ln, pk, sk = (F.col(c) for c in ("ok", "ln", "pk", "sk"))
     money = lambda cents: (cents / 100).cast("decimal(12,2)")
     allowed = F.floor(F.col("cents") * (100 - F.col("disc")) / 100)
     paid = F.when(F.col("flag") == "R", 0).otherwise(F.floor(allowed * 4 / 5))
-    return lines_with_patient(spark, sf_dir).select(
+    return lines.select(
         _line_record().alias("record_id"),
         _line_id("CLM-").alias("claim_id"),
         padded("PAT-", F.col("ck")).alias("patient_id"),
@@ -390,7 +398,7 @@ def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_clinical_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as notes: the whole text followed by the clinical paragraph of the note type."""
     d = F.col("doc_id")
-    return star(spark, sf_dir, "documents").select(
+    return spread(star(spark, sf_dir, "documents")).select(
         padded("NOTE-", d).alias("note_id"),
         padded("PAT-", F.floor(d * 3 / 2)).alias("patient_id"),
         padded("ENC-", d * 5).alias("encounter_id"),
