@@ -342,7 +342,7 @@ def three_row_means(h: Health):
 
     return windowed(
         h.fact_rehab_session.select("patient_id", "session_number", "session_id", "peak_hr"),
-        "patient_id", ["session_number", "session_id"], 2, columns,
+        "patient_id", ["session_number", "session_id"], 2, columns, sized_by=h.raw_rehab_sessions,
     )
 
 
@@ -351,6 +351,7 @@ def change_to_previous(h: Health):
         h.fact_encounter.select("patient_id", "encounter_id", "admit_date", "length_of_stay_days"),
         "patient_id", ["admit_date", "encounter_id"], 1,
         lambda w: {"stay_change": c("length_of_stay_days") - F.lag("length_of_stay_days").over(w)},
+        sized_by=h.raw_encounters,
     ).select("encounter_id", "stay_change")
 
 

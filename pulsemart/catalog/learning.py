@@ -25,7 +25,9 @@ def _features(h: Health):
 
 
 def _rehab(h: Health):
-    return f.cardiac_rehab_features(h.fact_rehab_session, h.fact_rehab_referral)
+    return f.cardiac_rehab_features(
+        h.fact_rehab_session, h.fact_rehab_referral, sized_by=h.raw_rehab_sessions
+    )
 
 
 def _catalogue(h: Health):

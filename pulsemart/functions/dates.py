@@ -28,8 +28,7 @@ def years_between(start: Column, end: Column) -> Column:
 
 def hours_between(start: Column, end: Column) -> Column:
     """Full-hour marks crossed from start to end."""
-    hour = lambda c: F.unix_seconds(F.date_trunc("HOUR", c).cast("timestamp"))
-    return F.floor((hour(end) - hour(start)) / 3600).cast("long")
+    return F.timestamp_diff("HOUR", hour_of(start), hour_of(end)).cast("long")
 
 
 def month_of(value: Column) -> Column:

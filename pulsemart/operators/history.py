@@ -26,12 +26,12 @@ def versions(
     changed = windowed(
         ordered, key, oldest_first, 1,
         lambda w: {"_new": F.lag(F.lit(1)).over(w).isNull() | ~F.lag(state).over(w).eqNullSafe(state)},
-        hot_rows,
+        hot_rows, sized_by=df,
     ).filter("_new")
     closed = windowed(
         changed.withColumn("_known", 1 - F.col("_unknown")), key, ["_known", "_newest_first", "_record_desc"], 1,
         lambda w: {"effective_to": F.lag(load_time).over(w), "is_current": F.lag(F.lit(1)).over(w).isNull()},
-        hot_rows,
+        hot_rows, sized_by=df,
     )
     return closed.withColumn("effective_from", F.col(load_time)).select(
         key, *tracked, "effective_from", "effective_to", "is_current"

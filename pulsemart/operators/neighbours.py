@@ -24,14 +24,17 @@ def windowed(
     lookback: int,
     columns: Callable[[WindowSpec], dict[str, Column]],
     hot_rows: int = HOT_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds ``columns(window)``, where the window runs over ``key`` in ascending ``order``.
+    """Adds ``columns(window)``, where the window runs over ``key`` (never null) in ascending ``order``.
 
     ``order`` must be a total order within a key, and the columns may look at most
-    ``lookback`` rows back. One narrow pass counts rows per key; only if a key exceeds
-    ``hot_rows`` is the sliced form added, and then only for the rows of such keys.
+    ``lookback`` rows back. One pass counts rows per key; only if a key exceeds ``hot_rows``
+    is the sliced form added, and then only for the rows of such keys. ``sized_by`` is a
+    cheaper frame to count in: any frame that has at least as many rows per key as ``df``,
+    such as the stored table that ``df`` is derived from.
     """
-    hot = _hot_bounds(df, key, order, hot_rows)
+    hot = _hot_bounds(df, df if sized_by is None else sized_by, key, order, hot_rows)
     if hot is None:
         return df.withColumns(columns(Window.partitionBy(key).orderBy(*order)))
     hot = F.broadcast(hot)  # at most rows/hot_rows keys with MAX_SLICES bounds each
@@ -42,13 +45,13 @@ def windowed(
     return plain.unionByName(exact.filter(~F.col("_carried")).drop("_slice", "_carried"))
 
 
-def _hot_bounds(df: DataFrame, key: str, order: list[str], hot_rows: int) -> DataFrame | None:
+def _hot_bounds(df: DataFrame, sized_by: DataFrame, key: str, order: list[str], hot_rows: int) -> DataFrame | None:
     """Keys above the limit with the sort values at which they are cut, or None.
 
     A sample only chooses where to cut; every row is kept, wherever the cuts fall. The bounds
     are brought to the driver (bounded, see above) so that they are the same on every retry.
     """
-    counted = df.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
+    counted = sized_by.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
     wanted = F.least(F.ceil(F.col("_rows") / hot_rows), F.lit(MAX_SLICES))
     hot = [(r[0], r["_rows"], r["_slices"]) for r in counted.withColumn("_slices", wanted).collect()]
     if not hot:

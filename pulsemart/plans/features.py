@@ -80,7 +80,9 @@ def patient_clinical_features(
     return wide.fillna(0, subset=zero).fillna(False, subset=false)
 
 
-def cardiac_rehab_features(sessions: DataFrame, referrals: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def cardiac_rehab_features(
+    sessions: DataFrame, referrals: DataFrame, hot_rows: int = HOT_ROWS, sized_by: DataFrame | None = None
+) -> DataFrame:
     """Session features with three-session means and changes against the session before.
 
     The order runs per patient by session number, as defined; referral and session id only
@@ -102,7 +104,8 @@ def cardiac_rehab_features(sessions: DataFrame, referrals: DataFrame, hot_rows:
         means = {f"rolling_3_avg_{n}": F.avg(c).over(last_three) for n, c in pairs.items()}
         return means | {f"{n}_delta": F.col(c) - F.lag(c).over(window) for n, c in pairs.items()}
 
-    return windowed(joined, "patient_id", ["session_number", "referral_id", "session_id"], 2, trends, hot_rows)
+    return windowed(joined, "patient_id", ["session_number", "referral_id", "session_id"], 2, trends, hot_rows,
+                    sized_by)
 
 
 def latest_encounter(encounters: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # One key may hold a third of a table: split it even where that costs another exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Building wide plans is faster without a Python stack trace per column.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

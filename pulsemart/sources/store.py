@@ -9,20 +9,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pulsemart.functions.numbers import count_where
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}  # one temporary folder per local application
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the cluster.
 
     Only a local session, where driver and executors share one disk, may fall back to a
     temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="pulsemart-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _LOCAL_FOLDERS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="pulsemart-"))
 
 
 def load(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -40,6 +42,20 @@ def save(df: DataFrame, path: str, partition_by: list[str] | None = None) -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def save_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Writes the table hashed and sorted by ``key``; tables written alike join on it without an exchange.
+
+    Rows are brought together per bucket first, so each bucket is one file per write and not
+    one per task.
+    """
+    (
+        df.repartition(buckets, key)
+        .write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+        .option("path", path).saveAsTable(name)
+    )
+    return df.sparkSession.table(name)
+
+
 def align(df: DataFrame, target: T.StructType, defaults: dict[str, Column] | None = None) -> DataFrame:
     """Columns of the target in order; a column not delivered takes its default or null."""
     defaults = defaults or {}
