@@ -17,11 +17,9 @@ def _silver(name):
     return run
 
 
-def _summary(h: Health):
-    return g.clinical_summary(
-        h.fact_encounter, h.dim_patient, h.fact_diagnosis, h.fact_medication, h.fact_rehab_referral,
-        h.fact_rehab_session,
-    )
+def _star(h: Health):
+    return (h.fact_encounter, h.dim_patient, h.fact_diagnosis, h.fact_medication, h.fact_rehab_referral,
+            h.fact_rehab_session)
 
 
 QUERIES = {
@@ -43,7 +41,7 @@ QUERIES = {
     "m5_cms_cardiac_rehab": lambda h: g.cms_cardiac_rehab(h.fact_rehab_referral, h.fact_rehab_session),
     "m6_claims_summary": lambda h: g.claims_summary(h.raw_claims),
     "m7_patient_hemodynamic_trend": lambda h: g.patient_hemodynamic_trend(h.fact_rehab_session),
-    "m8_clinical_summary": lambda h: g.clinical_summary_digest(_summary(h)),
+    "m8_clinical_summary": lambda h: g.clinical_summary_digest(*_star(h)),
     "m9_diagnosis_category_counts": lambda h: g.diagnosis_category_counts(h.fact_diagnosis),
     "d1_platform_kpis": lambda h: d.platform_kpis(h.silver_tables(), h.raw_claims),
     "d2_daily_sessions": lambda h: d.daily_sessions(h.fact_rehab_session),
@@ -75,9 +73,8 @@ QUERIES = {
     "d25_monthly_revenue": lambda h: d.monthly_revenue(h.raw_claims),
     "d26_payer_rollup": lambda h: d.payer_rollup(h.raw_claims),
     "d26_denial_reason_rollup": lambda h: d.denial_reason_rollup(h.raw_claims),
-    "k4_clinical_summary_sample": lambda h: _summary(h)
-    .orderBy("encounter_id", "icd_code", "medication_name", "rehab_qualifying_dx", "latest_rehab_session")
-    .limit(20)
-    .select("patient_name", "age", "gender", "encounter_type", "department", "diagnosis_description",
-            "cardiac_category", "medication_name", "drug_class", "rehab_risk_category", "lvef_percent"),
+    "k4_clinical_summary_sample": lambda h: g.clinical_summary_sample(*_star(h)).select(
+        "patient_name", "age", "gender", "encounter_type", "department", "diagnosis_description", "cardiac_category",
+        "medication_name", "drug_class", "rehab_risk_category", "lvef_percent",
+    ),
 }

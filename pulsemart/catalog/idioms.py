@@ -251,10 +251,9 @@ JOINS = {
         h.fact_diagnosis.filter(c("diagnosis_type") == "PRIMARY").select("encounter_id", "icd_code"),
         "encounter_id", "left",
     ).select("encounter_id", "icd_code"),
-    "j7_star": lambda h: _n(
-        gold.clinical_summary(h.fact_encounter, h.dim_patient, h.fact_diagnosis, h.fact_medication,
-                              h.fact_rehab_referral, h.fact_rehab_session),
-        "encounter_type", "rehab_risk_category",
+    "j7_star": lambda h: gold.clinical_summary_counts(
+        h.fact_encounter, h.dim_patient, h.fact_diagnosis, h.fact_medication, h.fact_rehab_referral,
+        h.fact_rehab_session,
     ),
     "j8_composite_key": lambda h: _n(
         audit.masking_policy_usage(_logs(h).policy_references, _logs(h).masking_policies),

@@ -173,8 +173,8 @@ def clinical_summary(
 ) -> DataFrame:
     """Encounter joined with patient, primary diagnosis, medications, referrals and all sessions.
 
-    The fan-out is part of the view. Every join is on an equality key, narrow sides first, so
-    Spark can broadcast small sides and split skewed keys at run time.
+    The fan-out (encounters times sessions of a patient) is part of the view, so read it for few
+    encounters; for totals use the digest or the counts below, which do not make its rows.
     """
     people = patients.filter("is_current").select(
         "patient_id",
@@ -210,22 +210,100 @@ def clinical_summary(
     )
 
 
-def clinical_summary_digest(summary: DataFrame) -> DataFrame:
-    """Per encounter: size and content totals of the clinical summary (every row and branch counts)."""
-    return summary.groupBy("encounter_id", "patient_id", "patient_name").agg(
-        F.count("*").alias("summary_rows"),
-        F.min("age").alias("age"),
-        F.min("length_of_stay_days").alias("length_of_stay_days"),
-        F.count("icd_code").alias("diagnosis_rows"),
-        F.max("cardiac_category").alias("cardiac_category"),
-        F.count("medication_name").alias("medication_rows"),
-        F.min("drug_class").alias("drug_class"),
-        F.min("rehab_risk_category").alias("rehab_risk_category"),
+def _encounter_branches(encounters: DataFrame, patients: DataFrame, diagnoses: DataFrame, medications: DataFrame):
+    """Encounters of current patients with the size of their diagnosis and medication branch."""
+    people = patients.filter("is_current").select(
+        "patient_id", F.concat("first_name", F.lit(" "), "last_name").alias("patient_name"), "age"
+    )
+    primary = diagnoses.filter(F.col("diagnosis_type") == "PRIMARY").groupBy("encounter_id").agg(
+        F.count("*").alias("n_dx"), F.count("icd_code").alias("n_icd"), F.max("cardiac_category").alias("cardiac_category")
+    )
+    drugs = medications.groupBy("encounter_id").agg(
+        F.count("*").alias("n_med"), F.count("medication_name").alias("n_name"), F.min("drug_class").alias("drug_class")
+    )
+    return (
+        encounters.join(people, "patient_id")
+        .join(primary, "encounter_id", "left")
+        .join(drugs, "encounter_id", "left")
+        .withColumn("dx_rows", F.coalesce("n_dx", F.lit(1)))
+        .withColumn("med_rows", F.coalesce("n_med", F.lit(1)))
+    )
+
+
+def _rehab_branches(referrals: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Per patient and risk: how many rows referrals with their sessions contribute, and their totals."""
+    per_referral = sessions.filter(F.col("referral_id").isNotNull()).groupBy("referral_id").agg(
+        F.count("*").alias("n_s"), F.sum("session_number").alias("numbers"), F.max("achieved_hrr_percent").alias("hrr"),
+        count_where(F.col("safety_flag")).alias("flags"),
+    )
+    return referrals.join(per_referral, "referral_id", "left").groupBy(
+        "patient_id", F.col("computed_risk").alias("rehab_risk_category")
+    ).agg(
+        F.sum(F.coalesce("n_s", F.lit(1))).alias("rehab_rows"), F.sum("numbers").alias("numbers"),
+        F.max("hrr").alias("hrr"), F.sum("flags").alias("flags"), F.max("lvef_percent").alias("lvef_percent"),
+    )
+
+
+def clinical_summary_digest(
+    encounters: DataFrame, patients: DataFrame, diagnoses: DataFrame, medications: DataFrame,
+    referrals: DataFrame, sessions: DataFrame,
+) -> DataFrame:
+    """Per encounter: size and content totals of the clinical summary.
+
+    The branches of the star are independent given encounter and patient, so the totals are
+    products of branch counts. The summary's rows, encounters times sessions of a patient, are
+    never made.
+    """
+    rehab = _rehab_branches(referrals, sessions).groupBy("patient_id").agg(
+        F.sum("rehab_rows").alias("rehab_rows"), F.sum("numbers").alias("numbers"), F.max("hrr").alias("hrr"),
+        F.sum("flags").alias("flags"), F.min("rehab_risk_category").alias("rehab_risk_category"),
         F.max("lvef_percent").alias("lvef_percent"),
-        F.sum("latest_rehab_session").alias("session_number_sum"),
-        F.max("achieved_hrr_percent").alias("max_hrr_percent"),
-        count_where(F.col("rehab_safety_flag")).alias("flagged_rows"),
     )
+    joined = _encounter_branches(encounters, patients, diagnoses, medications).join(rehab, "patient_id", "left")
+    dx, med, rows = F.col("dx_rows"), F.col("med_rows"), F.coalesce("rehab_rows", F.lit(1))
+    return joined.select(
+        "encounter_id", "patient_id", "patient_name",
+        (dx * med * rows).alias("summary_rows"),
+        "age", "length_of_stay_days",
+        (F.coalesce("n_icd", F.lit(0)) * med * rows).alias("diagnosis_rows"), "cardiac_category",
+        (F.coalesce("n_name", F.lit(0)) * dx * rows).alias("medication_rows"), "drug_class",
+        "rehab_risk_category", "lvef_percent",
+        (F.col("numbers") * dx * med).alias("session_number_sum"),
+        F.col("hrr").alias("max_hrr_percent"),
+        (F.coalesce("flags", F.lit(0)) * dx * med).alias("flagged_rows"),
+    )
+
+
+def clinical_summary_counts(
+    encounters: DataFrame, patients: DataFrame, diagnoses: DataFrame, medications: DataFrame,
+    referrals: DataFrame, sessions: DataFrame,
+) -> DataFrame:
+    """Rows of the clinical summary per encounter type and risk, from branch counts."""
+    rehab = _rehab_branches(referrals, sessions).select("patient_id", "rehab_risk_category", "rehab_rows")
+    rows = F.col("dx_rows") * F.col("med_rows") * F.coalesce("rehab_rows", F.lit(1))
+    return (
+        _encounter_branches(encounters, patients, diagnoses, medications)
+        .join(rehab, "patient_id", "left")
+        .groupBy("encounter_type", "rehab_risk_category")
+        .agg(F.sum(rows).alias("n"))
+    )
+
+
+def clinical_summary_sample(
+    encounters: DataFrame, patients: DataFrame, diagnoses: DataFrame, medications: DataFrame,
+    referrals: DataFrame, sessions: DataFrame, limit: int = 20,
+) -> DataFrame:
+    """The first rows of the clinical summary in encounter order.
+
+    Every encounter of a current patient gives at least one row, so the first ``limit`` rows
+    come from the first ``limit`` such encounters; only those are joined further.
+    """
+    current = patients.filter("is_current")
+    first = encounters.join(current.select("patient_id"), "patient_id", "left_semi").orderBy("encounter_id").limit(limit)
+    summary = clinical_summary(first, current, diagnoses, medications, referrals, sessions)
+    return summary.orderBy(
+        "encounter_id", "icd_code", "medication_name", "rehab_qualifying_dx", "latest_rehab_session"
+    ).limit(limit)
 
 
 def diagnosis_category_counts(diagnoses: DataFrame) -> DataFrame:

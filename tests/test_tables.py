@@ -17,7 +17,7 @@ def health(spark, sf_dir):
     return Health(spark, sf_dir)
 
 
-def test_every_declared_schema_parses():
+def test_every_declared_schema_parses(spark):
     assert len(DDL) == 30 and all(schema(name).fields for name in DDL)
 
 
@@ -55,6 +55,18 @@ def test_rates_are_percentages_and_parts_add_up(health):
     assert abs(shares - 100) < 0.1
 
 
+def test_summary_totals_equal_the_rows_of_the_view(health):
+    star = (health.fact_encounter, health.dim_patient, health.fact_diagnosis, health.fact_medication,
+            health.fact_rehab_referral, health.fact_rehab_session)
+    view = gold.clinical_summary(*star).groupBy("encounter_id").agg(
+        F.count("*").alias("summary_rows"), F.count("icd_code").alias("diagnosis_rows"),
+        F.count("medication_name").alias("medication_rows"), F.sum("latest_rehab_session").alias("session_number_sum"),
+        F.count(F.when(F.col("rehab_safety_flag"), 1)).alias("flagged_rows"),
+    )
+    digest = gold.clinical_summary_digest(*star).select(view.columns)
+    assert sorted(map(str, view.collect())) == sorted(map(str, digest.collect()))
+
+
 def test_program_without_sessions(spark, health):
     none = health.fact_rehab_session.limit(0)
     row = gold.rehab_program_summary(health.fact_rehab_referral, none).first()
