@@ -133,7 +133,7 @@ SQL = {
                count(DISTINCT s.referral_id) AS referrals_with_sessions,
                {r('count(DISTINCT s.referral_id)::DOUBLE / nullif(count(DISTINCT r.referral_id), 0) * 100', 1)}
                  AS enrollment_rate_pct,
-               avg(r.days_event_to_referral) AS avg_days_to_referral,
+               round(avg(r.days_event_to_referral), 6) AS avg_days_to_referral,
                count(DISTINCT CASE WHEN ps.total_sessions >= 36 THEN r.referral_id END) AS completed_programs,
                {r("count(DISTINCT CASE WHEN ps.total_sessions >= 36 THEN r.referral_id END)::DOUBLE"
                   " / nullif(count(DISTINCT s.referral_id), 0) * 100", 1)} AS completion_rate_pct

@@ -6,7 +6,7 @@ from pulsemart.catalog.shape import steady
 from pulsemart.plans import dashboard as d, gold as g, silver
 from pulsemart.plans.health import Health
 
-PATIENT = "PAT-000000000007"
+PATIENT = "PAT-000000000016"
 RISKS = ["LOW", "MODERATE", "HIGH"]
 
 
@@ -38,7 +38,9 @@ QUERIES = {
     "m2_outcome_comparison": lambda h: g.outcome_comparison(h.fact_rehab_outcome),
     "m3_cardiac_cohort": lambda h: g.cardiac_cohort(h.dim_patient, h.fact_rehab_referral),
     "m4_daily_session_metrics": lambda h: g.daily_session_metrics(h.fact_rehab_session),
-    "m5_cms_cardiac_rehab": lambda h: g.cms_cardiac_rehab(h.fact_rehab_referral, h.fact_rehab_session),
+    "m5_cms_cardiac_rehab": lambda h: steady(
+        g.cms_cardiac_rehab(h.fact_rehab_referral, h.fact_rehab_session), "avg_days_to_referral"
+    ),
     "m6_claims_summary": lambda h: g.claims_summary(h.raw_claims),
     "m7_patient_hemodynamic_trend": lambda h: g.patient_hemodynamic_trend(h.fact_rehab_session),
     "m8_clinical_summary": lambda h: g.clinical_summary_digest(*_star(h)),

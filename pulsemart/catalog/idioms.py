@@ -16,7 +16,7 @@ from pulsemart.plans.logs import Logs, recent
 from pulsemart.sources import bridge, generators, lookups as L, store
 from pulsemart.sources.schemas import schema
 
-PATIENT = "PAT-000000000007"
+PATIENT = "PAT-000000000016"
 READER = "CLINICIAN_3"
 c = F.col
 
