@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.sqltext import r, values
-from pulsemart.catalog.learning import MODEL_COLUMNS, PROBES, TRACKED
+from pulsemart.catalog.learning import MODEL_COLUMNS, TRACKED
 from pulsemart.plans import notes as n
 from pulsemart.plans.embeddings import MODEL
 from pulsemart.sources import lookups as L
@@ -178,7 +178,7 @@ SQL = {
                        (sqrt(list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) *
                         sqrt(list_dot_product(p.embedding::DOUBLE[], p.embedding::DOUBLE[]))), 6) AS similarity
           FROM embeddings c JOIN embeddings p ON c.vec_id <> p.vec_id
-          WHERE p.vec_id IN ({', '.join(map(str, PROBES))}))
+          WHERE p.vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label))
         QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY similarity DESC, neighbour_id) <= 5""",
     "k6_newest_notes": """
         SELECT note_id, note_type, patient_id, strftime(authored_at, '%Y-%m-%d %H:%M:%S') AS authored_at

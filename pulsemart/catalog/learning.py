@@ -12,7 +12,6 @@ from pulsemart.plans.health import Health
 from pulsemart.sources import bridge, lookups
 from pulsemart.sources.store import table_counts
 
-PROBES = list(range(10))
 TRACKED = ["address", "marital_status", "primary_language"]
 MODEL_COLUMNS = ["model_id", "model_name", "model_version", "model_type", "task", "target_platform",
                  "training_dataset", "description"]
@@ -41,6 +40,13 @@ def _catalogue(h: Health):
     return f.catalogue_with_sizes(f.upsert_models(models, retrained), sizes).select(*MODEL_COLUMNS, "training_rows")
 
 
+def _nearest_to_classes(h: Health):
+    """Neighbours of the first vector of every class (as many probes as there are classes)."""
+    corpus = bridge.star(h.spark, h.sf_dir, "embeddings")
+    firsts = corpus.groupBy("label").agg(F.min("vec_id").alias("vec_id")).collect()
+    return nearest(corpus, [r.vec_id for r in firsts], "vec_id", "embedding", 5)
+
+
 QUERIES = {
     "t9_patient_history": lambda h: versions(h.raw_patients, "patient_id", TRACKED),
     "l1_patient_clinical_features": _features,
@@ -70,9 +76,7 @@ QUERIES = {
     "x7_note_previews": lambda h: h.raw_clinical_notes.select(
         "note_id", "note_type", n.preview(F.col("note_text"), 200).alias("note_preview")
     ),
-    "x8_nearest_vectors": lambda h: nearest(
-        bridge.star(h.spark, h.sf_dir, "embeddings"), PROBES, "vec_id", "embedding", 5
-    ),
+    "x8_nearest_vectors": _nearest_to_classes,
     "k6_newest_notes": lambda h: n.newest(h.raw_clinical_notes, 15).select(
         "note_id", "note_type", "patient_id", "authored_at"
     ),

@@ -8,6 +8,7 @@ from pulsemart.functions.text import term_hash, words
 from pulsemart.operators.latest import latest_by
 
 DIMENSIONS = 768
+MAX_PROBES = 1000
 
 
 def text_vectors(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -58,10 +59,12 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(corpus: DataFrame, probe_ids: list[int], key: str, vector: str, k: int) -> DataFrame:
     """The ``k`` most similar corpus rows for each listed row, the row itself left out.
 
-    The listed ids bound what travels: their vectors reach the corpus as one scalar array, the
-    corpus is read once and not exchanged, and the cut to ``k`` rows per probe starts on the
-    map side.
+    The length of the list bounds what travels: the probes' vectors reach the corpus as one
+    scalar array, the corpus is read once and not exchanged, and the cut to ``k`` rows per
+    probe starts on the map side.
     """
+    if len(probe_ids) > MAX_PROBES:
+        raise ValueError(f"ask for at most {MAX_PROBES} probes at a time")
     asked = corpus.filter(F.col(key).isin(probe_ids)).agg(
         F.collect_list(F.struct(F.col(key).alias("probe_id"), F.col(vector).alias("probe")))
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsemart.sources.store import shared_folder
@@ -41,7 +42,10 @@ def run_to_table(
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    try:
+        return spark.read.parquet(f"{folder}/out")
+    except AnalysisException:  # nothing has arrived yet
+        return shape(spark.createDataFrame([], stream.schema)).withColumn("batch", F.lit(0))
 
 
 def newest_state(batches: DataFrame, keys: list[str]) -> DataFrame:

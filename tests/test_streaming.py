@@ -51,3 +51,9 @@ def test_rerun_continues_where_it_stopped(spark, sf_dir, tmp_path):
     folder = str(tmp_path / "state")
     assert feeds.run_to_table(stream, "append", folder=folder).count() == events.count()
     assert feeds.run_to_table(stream, "append", folder=folder).count() == events.count()
+
+
+def test_empty_feed_gives_an_empty_table(spark, tmp_path):
+    (tmp_path / "feed").mkdir()
+    stream = spark.readStream.schema("event_id long").parquet(str(tmp_path / "feed"))
+    assert feeds.run_to_table(stream, "append").collect() == []
