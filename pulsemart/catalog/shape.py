@@ -13,7 +13,7 @@ def plain(df: DataFrame) -> DataFrame:
         if isinstance(field.dataType, T.DateType):
             column = column.cast("string")
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+            column = F.left(column.cast("string"), F.lit(19))
         elif isinstance(field.dataType, T.DecimalType):
             column = column.cast("double")
         columns.append(column.alias(field.name))

@@ -17,7 +17,7 @@ def days_between(start: Column, end: Column) -> Column:
 
 def weeks_between(start: Column, end: Column) -> Column:
     """Mondays crossed from start to end."""
-    monday = lambda c: F.to_date(F.date_trunc("WEEK", c))
+    monday = lambda c: F.trunc(F.to_date(c), "WEEK")
     return (F.datediff(monday(end), monday(start)) / 7).cast("long")
 
 
@@ -32,15 +32,16 @@ def hours_between(start: Column, end: Column) -> Column:
 
 
 def month_of(value: Column) -> Column:
-    return F.date_trunc("MONTH", value).cast("date")
+    return F.trunc(F.to_date(value), "MONTH")
 
 
 def day_of(value: Column) -> Column:
-    return F.date_trunc("DAY", value).cast("date")
+    return F.to_date(value)
 
 
 def hour_of(value: Column) -> Column:
-    return F.date_trunc("HOUR", value).cast("timestamp_ntz")
+    """Full hour of a zone-free timestamp, without a detour through the session's time zone."""
+    return F.to_date(value).cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour(value))
 
 
 def moment(text: str) -> Column:

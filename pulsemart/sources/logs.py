@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pulsemart.functions.dates import hour_of
 from pulsemart.functions.numbers import padded, pick
 from pulsemart.sources import lookups
 from pulsemart.sources.bridge import star
@@ -137,7 +138,7 @@ def warehouse_metering_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col(E)
     return _events(spark, sf_dir).select(
         pick(WAREHOUSES, e).alias("warehouse_name"),
-        F.date_trunc("HOUR", "log_time").cast("timestamp_ntz").alias("start_time"),
+        hour_of(F.col("log_time")).alias("start_time"),
         (_at(5) % 32 / 16.0).alias("credits_used"),
         (_at(5) % 32 / 32.0).alias("credits_used_compute"),
         (_at(5) % 32 / 32.0).alias("credits_used_cloud_services"),
