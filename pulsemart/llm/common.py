@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import os
+import pathlib
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -54,9 +56,18 @@ def ddl(schema: pa.Schema) -> str:
 
 
 def map_arrow(df: DataFrame, fn, schema: pa.Schema) -> DataFrame:
+    _importable(df.sparkSession)
     return df.mapInArrow(fn, ddl(schema))
 
 
+def _importable(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver found it; a cluster ships it with the job."""
+    root, environment = str(pathlib.Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), root])
+
+
 def crc_fold(column: Column, folds: int) -> Column:
     """The fold of a row: crc32 of the id as text, modulo the number of folds (a null id: crc32 of '')."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % folds

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulsemart.llm import exact_dedup, simhash
+from pulsemart.llm import cover_tree, exact_dedup, language, packing, quality, sharding, simhash, substrings, urls
 
-MODULES = [exact_dedup, simhash]
+MODULES = [cover_tree, exact_dedup, language, packing, quality, sharding, simhash, substrings, urls]
 
 
 def queries() -> dict:
