@@ -141,7 +141,9 @@ def _anchored(extra: int):
 
 def linked_prints(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     """Pairs (a, b) of different values of ``fp`` that differ in at most ``max_bits`` bits, each once."""
-    values = prints.select("fp").distinct()
+    # A fingerprint grows to some sixty rows, so the few bytes of the values are spread over all tasks.
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = prints.select("fp").distinct().repartition(tasks, "fp")
     homes = common.map_arrow(values, common.batches(_anchored(0), _ANCHORS), _ANCHORS)
     copies = common.map_arrow(values, common.batches(_anchored(max_bits), _ANCHORS), _ANCHORS)
     h, c = homes.alias("h"), copies.alias("c")
