@@ -56,11 +56,11 @@ def ddl(schema: pa.Schema) -> str:
 
 
 def map_arrow(df: DataFrame, fn, schema: pa.Schema) -> DataFrame:
-    _importable(df.sparkSession)
+    importable(df.sparkSession)
     return df.mapInArrow(fn, ddl(schema))
 
 
-def _importable(spark: SparkSession) -> None:
+def importable(spark: SparkSession) -> None:
     """Python workers look for this package where the driver found it; a cluster ships it with the job."""
     root, environment = str(pathlib.Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)

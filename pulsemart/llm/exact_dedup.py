@@ -189,6 +189,14 @@ def exact_groups(docs: DataFrame, keep: str = "largest", trie_bytes: int = TRIE_
     )
 
 
+def without_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
+    """The rows of ``docs``, all columns, that own their group; a repeated owner row is kept once."""
+    owners = exact_groups(docs, keep).where("kept").select(F.col("doc_id").alias("_owner_"), F.col("text_sha256").alias("_sha_")).distinct()
+    rows = docs.withColumn("_text_sha_", F.sha2(F.coalesce("text", F.lit("")), 256))
+    same = (F.col("_text_sha_") == F.col("_sha_")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_owner_"))
+    return rows.join(owners, same, "left_semi").dropDuplicates(["doc_id", "_text_sha_"]).select(*docs.columns)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(common.table(spark, sf_dir, "documents"))
 

@@ -136,6 +136,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_f
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that the scorer accepts; here every labelled row is learned from."""
+    scorer = fit(docs, labels, F.lit(True))
+
+    def run(parts):
+        for part in parts:
+            good = [score >= 0.5 for score in scorer.score(part.column("text").to_pylist())]
+            yield part.filter(pa.array(good, pa.bool_()))
+
+    common.importable(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 

@@ -170,6 +170,13 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Data
     )
 
 
+def one_of_each(docs: DataFrame, shingle: int, max_bits: int = 2) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id names its component; rows without an id stay."""
+    kept = simhash_groups(docs, shingle, max_bits).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_")).distinct()
+    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept_"), "left_semi")
+    return named.unionByName(docs.where("doc_id is null"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(common.table(spark, sf_dir, "documents"))
 
