@@ -6,9 +6,9 @@ classifier over the ``WORDS`` best of them and measures of the whole text is fit
 ``SAMPLE_ROWS`` labelled rows and gives every document a posterior for each domain. Rates
 r >= 0 minimise
 
-    1/2 sum_k ((sum_d r_d t_d p_dk - T_k) / T)^2 + RIDGE/2 sum_d (t_d / T) (r_d - 1)^2
+    1/2 sum_k ((sum_d r_d t_d p_dk - w_k T) / t)^2 + RIDGE/2 sum_d (t_d / t) (r_d - 1)^2
 
-with t_d the words of a document, p_dk its posteriors and T_k = w_k T the targets. Projected
+with t_d the words of a document, t those of all, p_dk the posteriors and w_k T the targets. Projected
 gradient steps with momentum run over the whole table: a step needs only the K residuals, so the
 rate of a document follows from its own posteriors and the list of residuals so far, and every step
 is one pass that returns K sums. T is set so that the domain with the largest weight is neither
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
     texts = known.join(F.broadcast(ids), "doc_id", "left_semi").select("domain", "text")  # at most ``sample_rows`` ids
     found = common.map_arrow(texts, common.per_batch(sampled, _SAMPLED), _SAMPLED).toArrow().to_pydict()
     order = sorted(range(len(found["domain"])), key=lambda i: (found["features"][i], found["domain"][i]))
-    x = np.frombuffer(b"".join(found["features"][i] for i in order), np.float32).reshape(len(order), -1).astype(float)
+    x = np.frombuffer(b"".join(found["features"][i] for i in order), np.float32).reshape(-1, len(empty.features(None))).astype(float)
     return empty.fit(x, np.array([found["domain"][i] for i in order], np.int64))
 
 
@@ -209,10 +209,10 @@ def fit_rates(scored: DataFrame, targets: Mapping[str, float]) -> list[np.ndarra
         return []
     weights = weights / weights.sum()
     main = int(weights.argmax())
-    budget = plain[main] / weights[main]
-    residuals: list[np.ndarray] = [(plain - weights * budget) / budget]
+    wanted, tokens = weights * plain[main] / weights[main], plain.sum()
+    residuals: list[np.ndarray] = [(plain - wanted) / tokens]
     for _ in range(STEPS - 1):
-        residuals.append((totals(residuals) - weights * budget) / budget)
+        residuals.append((totals(residuals) - wanted) / tokens)
     return residuals
 
 

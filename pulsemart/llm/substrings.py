@@ -230,7 +230,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     rows = _keyed(docs)
     found = common.stored(common.map_arrow(rows.select("key", "text"), common.batches(_segment_rows(window), _SEGMENTS), _SEGMENTS), "segments")
-    twice = found.groupBy("gram").agg(F.count("*").alias("uses")).where("uses > 1").select("gram")
+    # Both sides of the joins on a gram are plain exchanges, so adaptive execution can split a common gram.
+    twice = common.stored(found.groupBy("gram").agg(F.count("*").alias("uses")).where("uses > 1").select("gram"), "twice")
     shared = common.stored(found.join(twice, "gram", "left_semi"), "shared")
     counted = shared.groupBy("gram", "seg").agg(F.count("*").alias("mult"), F.min(F.struct("key", "start", "n")).alias("one"))
     counted = common.stored(counted.select("gram", "seg", "mult", "one.*"), "counted")
@@ -238,7 +239,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     # Segments to index: those of a gram with several, of which at least one is met once only.
     grams = counted.groupBy("gram").agg(F.count("*").alias("kinds"), F.count_if(F.col("mult") == 1).alias("singles"))
-    wanted = common.stored(counted.join(grams.where("kinds > 1 AND singles > 0"), "gram").drop("seg", "singles"), "wanted")
+    grams = common.stored(grams.where("kinds > 1 AND singles > 0").drop("singles"), "grams")
+    wanted = common.stored(counted.join(grams, "gram").drop("seg"), "wanted")
     per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("start", "n", "mult", "gram")).alias("wanted"))
     fetched = _packed(docs).join(per_text, "key").dropDuplicates(["key"]).select("key", "blob", "wanted")
     bodies = common.stored(common.map_arrow(fetched, common.per_batch(_fetch, _FETCHED), _FETCHED), "bodies")

@@ -42,14 +42,14 @@ def test_steps_reach_the_least_squares_solution(spark):
     targets = {"clean": 0.7, "low": 0.2, "toxic": 0.1}
     rate, _ = m.rates_after(p, m.fit_rates(scored, targets))
     w = np.array([targets[d] for d in m.DOMAINS])
-    budget = (tokens @ p)[0] / w[0]
+    wanted, total = w * (tokens @ p)[0] / w[0], tokens.sum()
 
     def risk(r):
-        return ((((r * tokens) @ p - w * budget) / budget) ** 2).sum() / 2 + m.RIDGE / 2 * (tokens / budget * (r - 1) ** 2).sum()
+        return ((((r * tokens) @ p - wanted) / total) ** 2).sum() / 2 + m.RIDGE / 2 * (tokens / total * (r - 1) ** 2).sum()
 
     best = np.ones(200)
     for _ in range(20_000):  # plain projected gradient, much longer
-        e = ((best * tokens) @ p - w * budget) / budget
+        e = ((best * tokens) @ p - wanted) / total
         best = np.maximum(0, best - 0.5 * (p @ e + m.RIDGE * (best - 1)))
     assert risk(rate) - risk(best) < 1e-4
 
