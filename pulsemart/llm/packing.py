@@ -29,7 +29,8 @@ from pulsemart.llm import common
 
 WINDOW, END = 2048, 1
 PART_ROWS = 1_000_000  # pieces of one length that are numbered together, at most about
-CACHED_WORDS = 400_000  # distinct words whose ids a worker keeps; beyond them it starts anew
+CACHED_WORDS = 800_000  # distinct words whose ids a worker keeps; beyond them it starts anew
+MARKS = b".,;:!?*#$%&|"
 
 _PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()),
@@ -46,32 +47,77 @@ def default_vocabulary() -> str:
 
 @functools.cache
 def _tokenizer(path: str):
+    """The tokenizer, which ids end a word, and the ids of the words met so far."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    return tokenizer, ends, {}
 
 
 def token_ids(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each text as little-endian 32-bit integers.
 
-    The vocabulary never joins text across blanks, so each run without ASCII blanks is looked up
-    among those already tokenised and only new ones go through the tokenizer.
+    The vocabulary lower-cases and never joins text across blanks, so each run without ASCII blanks
+    is looked up, in lower case, among those already tokenised; only new ones go through the tokenizer.
     """
-    tokenizer, known = _tokenizer(path)
-    words = [(text or "").encode().split() for text in texts]
-    new = list(set().union(*words).difference(known))
+    tokenizer, ends, known = _tokenizer(path)
+    words = [_runs((text or "").encode()) for text in texts]
+    new = {w for row in words for w in row if w not in known}
     if len(known) + len(new) > CACHED_WORDS:
         known.clear()
-        new = list(set().union(*words))
-    for some in common.chunked(new, 10_000):
-        for word, found in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-            known[word] = np.array(found.ids, "<u4").tobytes()
+        new = set().union(*words)
+    _learn(new, tokenizer, ends, known)
     return [b"".join(map(known.__getitem__, row)) for row in words]
 
 
+def _runs(raw: bytes) -> list[bytes]:
+    return raw.split() if b"<|" in raw else raw.lower().split()  # special tokens are matched before lower-casing
+
+
+def _letters(word: bytes) -> bool:
+    text = word.decode()
+    return text.isalpha() and text.lower().isalpha()
+
+
+def _learn(new: set[bytes], tokenizer, ends: np.ndarray, known: dict[bytes, bytes]) -> None:
+    """Adds the ids of new runs. Letters followed by marks are two tokens to the vocabulary and are learned apart.
+
+    Runs of letters are tokenised many at a time; each is one word there, so its ids end with the
+    first id that ends a word.
+    """
+    cut, need = {}, set()
+    for run in new:
+        head = run.rstrip(MARKS)
+        if head and len(head) < len(run) and _letters(head):
+            cut[run] = head, run[len(head):]
+            need.update(cut[run])
+        else:
+            need.add(run)
+    need = need.difference(known)
+    single = []
+    words = [run for run in need if _letters(run)]
+    for some in common.chunked(words, 1000):
+        ids = np.array(tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+        last = np.flatnonzero(ends[ids]) + 1
+        if len(last) != len(some):
+            single += some
+            continue
+        packed = ids.tobytes()
+        known.update(zip(some, (packed[4 * a:4 * b] for a, b in zip([0, *last[:-1].tolist()], last.tolist()))))
+    single += need.difference(words)
+    for some in common.chunked(single, 10_000):
+        for run, found in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+            known[run] = np.array(found.ids, "<u4").tobytes()
+    for run, (head, tail) in cut.items():
+        known[run] = known[head] + known[tail]
+
+
 def _cut(path: str, window: int, end: int, with_ids: bool):
     tail = int(end).to_bytes(4, "little")
 

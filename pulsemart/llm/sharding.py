@@ -120,6 +120,7 @@ def hilbert_shards(docs: DataFrame, dimensions: Mapping[str, Column] | None = No
         (F.col("bytes_before") + F.col("bytes_offset")).alias("at"), (F.col("rows_before") + F.col("rows_offset")).alias("nth"),
     )
     groups = located.groupBy("curve", "text_hash").agg(F.min("at").alias("group_at"), F.sum("size").alias("group_size"))
+    groups = common.stored(groups, "groups")  # the join then has plain exchanges, which adaptive execution can split
     whole = F.col("group_size") <= int(SNAP * total / shards)
     middle = F.when(whole, 2 * F.col("group_at") + F.col("group_size")).otherwise(2 * F.col("at") + F.col("size"))
     cut = located.join(groups, ["curve", "text_hash"]).withColumn("shard", F.floor(middle * F.lit(shards) / F.lit(2.0 * max(total, 1))).cast("int"))

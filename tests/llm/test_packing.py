@@ -50,6 +50,19 @@ def test_odd_text_is_tokenised_as_a_whole():
         assert np.frombuffer(ids, "<u4").tolist() + [1] == expected_ids(text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="aAzé\u0301İßΣ'’.,!?*#%&|<>-1²_ \n\u00a0\x1c日", max_size=25), max_size=4))
+def test_runs_are_tokenised_like_the_whole(texts):
+    for text, ids in zip(texts, p.token_ids(texts, p.default_vocabulary())):
+        assert np.frombuffer(ids, "<u4").tolist() + [1] == expected_ids(text), text
+
+
+def test_special_tokens_keep_their_case():
+    texts = ["<|ENDOFTEXT|> A", "b<|endoftext|>c D.", "<| Endoftext|>"]
+    for text, ids in zip(texts, p.token_ids(texts, p.default_vocabulary())):
+        assert np.frombuffer(ids, "<u4").tolist() + [1] == expected_ids(text)
+
+
 def test_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(p, "CACHED_WORDS", 3)
     texts = ["a b c d", "e f g h i", "a b"]
