@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from checks.silver import AGE_GROUP
-from checks.sqltext import CLINICAL_DAY, r, weeks
+from checks.sqltext import CLINICAL_DAY, exact, key, printed, r, weeks
 from pulsemart.catalog.clinical import PATIENT
 
 DATE = lambda c: f"CAST({c} AS VARCHAR) AS {c}"
-STAMP = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}"
+STAMP = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f') AS {c}"
 
 JOINED_SESSIONS = """
     fact_rehab_referral r LEFT JOIN fact_rehab_session s ON r.referral_id = s.referral_id
@@ -32,7 +32,7 @@ DEMOGRAPHICS = f"""
     FROM dim_patient WHERE is_current GROUP BY 1, 2, 3"""
 
 DENIED = "CAST(sum(CASE WHEN claim_status = 'DENIED' THEN 1 ELSE 0 END) AS BIGINT)"
-MONEY = lambda c: f"CAST(sum({c}) AS DOUBLE)"
+MONEY = lambda c: exact(f"sum({c})")
 COLLECTED = r("CAST(sum(paid_amount) AS DOUBLE) / nullif(CAST(sum(billed_amount) AS DOUBLE), 0) * 100", 1)
 
 BY_PAYER = f"""
@@ -73,17 +73,18 @@ def change(name: str) -> str:
 
 SQL = {
     "t1_dim_patient": f"""
-        SELECT * EXCLUDE (load_timestamp) REPLACE (CAST(date_of_birth AS VARCHAR) AS date_of_birth), TRUE AS is_active
+        SELECT * EXCLUDE (load_timestamp) REPLACE (CAST(date_of_birth AS VARCHAR) AS date_of_birth), TRUE AS is_active,
+               {printed('load_timestamp')} AS effective_from, '9999-12-31 00:00:00.000000' AS effective_to
         FROM dim_patient""",
     "t2_fact_encounter": """
-        SELECT * REPLACE (strftime(admit_date, '%Y-%m-%d %H:%M:%S') AS admit_date,
-                          strftime(discharge_date, '%Y-%m-%d %H:%M:%S') AS discharge_date) FROM fact_encounter""",
+        SELECT * REPLACE (strftime(admit_date, '%Y-%m-%d %H:%M:%S.%f') AS admit_date,
+                          strftime(discharge_date, '%Y-%m-%d %H:%M:%S.%f') AS discharge_date) FROM fact_encounter""",
     "t3_fact_diagnosis": "SELECT * REPLACE (CAST(diagnosis_date AS VARCHAR) AS diagnosis_date) FROM fact_diagnosis",
     "t4_fact_medication": """
         SELECT * REPLACE (CAST(start_date AS VARCHAR) AS start_date, CAST(end_date AS VARCHAR) AS end_date)
         FROM fact_medication""",
     "t5_fact_lab_result": """
-        SELECT * REPLACE (strftime(collected_at, '%Y-%m-%d %H:%M:%S') AS collected_at) FROM fact_lab_result""",
+        SELECT * REPLACE (strftime(collected_at, '%Y-%m-%d %H:%M:%S.%f') AS collected_at) FROM fact_lab_result""",
     "t6_fact_rehab_referral": """
         SELECT * REPLACE (CAST(cardiac_event_date AS VARCHAR) AS cardiac_event_date,
                           CAST(referral_date AS VARCHAR) AS referral_date) FROM fact_rehab_referral""",
@@ -282,28 +283,28 @@ SQL = {
     "d22_claims_by_payer": BY_PAYER,
     "d23_denial_reasons": BY_REASON,
     "d24_revenue_summary": f"""
-        SELECT CAST(round(sum(billed_amount), 0) AS DOUBLE) AS total_billed,
-               CAST(round(sum(allowed_amount), 0) AS DOUBLE) AS total_allowed,
-               CAST(round(sum(paid_amount), 0) AS DOUBLE) AS total_paid,
-               CAST(round(sum(billed_amount) - sum(paid_amount), 0) AS DOUBLE) AS total_write_off,
-               CAST(round(sum(patient_responsibility), 0) AS DOUBLE) AS total_patient_resp, count(*) AS total_claims,
+        SELECT {exact('round(sum(billed_amount), 0)', 0)} AS total_billed,
+               {exact('round(sum(allowed_amount), 0)', 0)} AS total_allowed,
+               {exact('round(sum(paid_amount), 0)', 0)} AS total_paid,
+               {exact('round(sum(billed_amount) - sum(paid_amount), 0)', 0)} AS total_write_off,
+               {exact('round(sum(patient_responsibility), 0)', 0)} AS total_patient_resp, count(*) AS total_claims,
                {DENIED} AS total_denials,
                CAST(sum(CASE WHEN claim_status = 'PAID' THEN 1 ELSE 0 END) AS BIGINT) AS total_paid_claims,
                {COLLECTED} AS net_collection_rate
         FROM raw_claims""",
-    "d25_monthly_revenue": """
+    "d25_monthly_revenue": f"""
         SELECT CAST(CAST(date_trunc('month', service_date) AS DATE) AS VARCHAR) AS service_month,
-               CAST(round(sum(billed_amount), 0) AS DOUBLE) AS billed,
-               CAST(round(sum(paid_amount), 0) AS DOUBLE) AS paid, count(*) AS claims
+               {exact('round(sum(billed_amount), 0)', 0)} AS billed,
+               {exact('round(sum(paid_amount), 0)', 0)} AS paid, count(*) AS claims
         FROM raw_claims WHERE service_date IS NOT NULL GROUP BY 1 ORDER BY 1 DESC LIMIT 24""",
     "d26_payer_rollup": f"""
         SELECT payer_name, CAST(sum(claim_count) AS BIGINT) AS claim_count,
-               CAST(sum(CAST(total_billed AS DECIMAL(18,2))) AS DOUBLE) AS total_billed,
-               CAST(sum(CAST(total_paid AS DECIMAL(18,2))) AS DOUBLE) AS total_paid,
+               {exact('sum(CAST(total_billed AS DECIMAL(18,2)))')} AS total_billed,
+               {exact('sum(CAST(total_paid AS DECIMAL(18,2)))')} AS total_paid,
                CAST(sum(denials) AS BIGINT) AS denials FROM ({BY_PAYER}) GROUP BY 1""",
     "d26_denial_reason_rollup": f"""
         SELECT denial_reason, CAST(sum(denial_count) AS BIGINT) AS denial_count,
-               CAST(sum(CAST(denied_amount AS DECIMAL(18,2))) AS DOUBLE) AS denied_amount
+               {exact('sum(CAST(denied_amount AS DECIMAL(18,2)))')} AS denied_amount
         FROM ({BY_REASON}) GROUP BY 1""",
     "k4_clinical_summary_sample": f"""
         SELECT patient_name, age, gender, encounter_type, department, diagnosis_description, cardiac_category,
@@ -315,3 +316,14 @@ SQL = {
               ORDER BY e.encounter_id, d.icd_code NULLS FIRST, m.medication_name NULLS FIRST,
                        r.qualifying_diagnosis NULLS FIRST, s.session_number NULLS FIRST LIMIT 20)""",
 }
+
+# Surrogate key and business id of the stored tables.
+STORED = {
+    "t1_dim_patient": ("patient_key", "patient_id"), "t2_fact_encounter": ("encounter_key", "encounter_id"),
+    "t3_fact_diagnosis": ("diagnosis_key", "diagnosis_id"), "t4_fact_medication": ("medication_key", "medication_id"),
+    "t5_fact_lab_result": ("lab_key", "lab_id"), "t6_fact_rehab_referral": ("referral_key", "referral_id"),
+    "t7_fact_rehab_session": ("session_key", "session_id"), "t8_fact_rehab_outcome": ("outcome_key", "outcome_id"),
+}
+for name, (surrogate, business_id) in STORED.items():
+    SQL[name] = f"""
+        SELECT {key(business_id)} AS {surrogate}, t.*, {printed(CLINICAL_DAY)} AS transformed_at FROM ({SQL[name]}) t"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from checks import clinical
 from checks.platform import stamp
 from checks.silver import AGE_GROUP
-from checks.sqltext import CLINICAL_DAY, LOG_DAY, pad, pick, r
+from checks.sqltext import CLINICAL_DAY, LOG_DAY, exact, pad, pick, r
 from pulsemart.catalog.control import COUNTED, READER, ROLES
 from pulsemart.plans.governance import ROLE_EDGES, TAG_VALUES
 from pulsemart.plans.quality import TARGETS
@@ -67,7 +67,7 @@ def back(key: str, salt: int, low: int, high: int, alias: str) -> str:
 
 
 def minutes(key: str, salt: int, alias: str) -> str:
-    return f"strftime({CLINICAL_DAY} - to_minutes({u(key, salt, 1, 1500000)}), '%Y-%m-%d %H:%M:%S') AS {alias}"
+    return f"strftime({CLINICAL_DAY} - to_minutes({u(key, salt, 1, 1500000)}), '%Y-%m-%d %H:%M:%S.%f') AS {alias}"
 
 
 def tenths(key: str, salt: int, low: int, high: int) -> str:
@@ -75,13 +75,15 @@ def tenths(key: str, salt: int, low: int, high: int) -> str:
 
 
 def cents(key: str, salt: int, low: int, high: int) -> str:
-    return f"CAST(CAST({u(key, salt, low * 100, high * 100)} / 100.0 AS DECIMAL(12,2)) AS DOUBLE)"
+    return exact(f"{u(key, salt, low * 100, high * 100)} / 100.0")
 
 
 def txt(key: str, salt: int, low: int, high: int) -> str:
     return f"{u(key, salt, low, high)}::VARCHAR"
 
 
+TEAM = f"""SELECT patient_id FROM care_team_assignments WHERE care_team_id IN
+           (SELECT care_team_id FROM care_team_assignments WHERE clinician_user = '{READER}')"""
 ORDER, CUST, EVENT = "o_orderkey", "c_custkey", "event_id"
 PAT = lambda k: pad("PAT-", f"{k} % 5000", 6)
 ENC = lambda k: pad("ENC-", f"{k} % 15000", 8)
@@ -179,7 +181,7 @@ SQL = {
         SELECT encounter_type, count(*) AS count, avg(length_of_stay_days) AS avg_los FROM fact_encounter GROUP BY 1""",
     "q14_payer_distribution": f"""
         SELECT payer_name, count(*) AS claim_count, {ONE("claim_status = 'DENIED'")} AS denials,
-               {r('CAST(sum(paid_amount) AS DOUBLE) / count(paid_amount)', 2)} AS avg_paid FROM raw_claims GROUP BY 1""",
+               {exact(r('CAST(sum(paid_amount) AS DOUBLE) / count(paid_amount)', 2))} AS avg_paid FROM raw_claims GROUP BY 1""",
     "q15_first_sessions": """
         SELECT p.first_name || ' ' || p.last_name AS patient_name, p.age, p.gender, r.qualifying_diagnosis,
                r.computed_risk, r.lvef_percent, s.session_number, s.peak_hr, s.rpe_peak, s.achieved_hrr_percent,
@@ -203,9 +205,10 @@ SQL = {
         ORDER BY referral_month DESC LIMIT 6""",
     "q20_claims_by_payer": f"""
         SELECT payer_name, {TOTAL('claim_count')} AS total_claims,
-               CAST(sum(CAST(total_paid AS DECIMAL(18,2))) AS DOUBLE) AS total_paid,
+               {exact('sum(CAST(total_paid AS DECIMAL(18,2)))')} AS total_paid,
                round(avg(collection_rate_pct), 6) AS avg_collection_rate
-        FROM ({clinical.SQL['m6_claims_summary']}) GROUP BY 1 ORDER BY total_paid DESC LIMIT 6""",
+        FROM ({clinical.SQL['m6_claims_summary']}) AS m6 GROUP BY 1
+        ORDER BY sum(CAST(m6.total_paid AS DECIMAL(18,2))) DESC LIMIT 6""",
     "q21_platform_health": " UNION ALL ".join([
         component("01. RBAC Roles", 7, "platform_roles WHERE name LIKE 'HEALTH_%'", "count(*)", ">= 7", "ISSUE",
                   "Custom healthcare roles"),
@@ -232,12 +235,12 @@ SQL = {
         + ("TRUE" if role in ("HEALTH_DATA_ADMIN", "HEALTH_DATA_ENGINEER") else SEEN) for role in ROLES),
     "n6_care_team_row_filter": f"""
         SELECT patient_id, gender FROM dim_patient
-        WHERE patient_id IN (SELECT patient_id FROM care_team_assignments WHERE clinician_user = '{READER}')""",
+        WHERE patient_id IN ({TEAM})""",
     "n7_bound_policies_readonly": f"""
         SELECT patient_id, '**REDACTED**' AS first_name, '**REDACTED**' AS last_name, '***-**-****' AS ssn,
                NULL::VARCHAR AS date_of_birth, {CONTACT('email')} AS email, {CONTACT('phone')} AS phone, dq_status
         FROM ({RATED}) q WHERE {SEEN}
-          AND patient_id IN (SELECT patient_id FROM care_team_assignments WHERE clinician_user = '{READER}')""",
+          AND patient_id IN ({TEAM})""",
     "n7_bound_policies_engineer": f"""
         SELECT patient_id, {PHI('first_name')} AS first_name, {PHI('last_name')} AS last_name, '***-**-****' AS ssn,
                NULL::VARCHAR AS date_of_birth, {CONTACT('email')} AS email, {CONTACT('phone')} AS phone, dq_status
@@ -304,7 +307,7 @@ SQL = {
                {ONE('exercise_terminated_early')} AS early_terminations,
                {TOTAL('ecg_monitor_minutes')} AS total_ecg_minutes FROM raw_rehab_sessions GROUP BY 1""",
     "z4_newest_encounters": """
-        SELECT encounter_id, discharge_status, strftime(load_timestamp, '%Y-%m-%d %H:%M:%S') AS load_timestamp
+        SELECT encounter_id, discharge_status, strftime(load_timestamp, '%Y-%m-%d %H:%M:%S.%f') AS load_timestamp
         FROM raw_encounters QUALIFY row_number() OVER (PARTITION BY encounter_id
           ORDER BY raw_encounters.load_timestamp DESC NULLS FIRST, record_id DESC) = 1""",
     "z4_without_repeats": "SELECT DISTINCT event_id, user_id, event_type FROM events",

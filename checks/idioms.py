@@ -6,7 +6,7 @@ from checks import clinical, learning, platform
 from checks.control import CONTACT, RATED, SEEN, mix, u
 from checks.platform import ago, stamp
 from checks.silver import AGE_GROUP
-from checks.sqltext import CLINICAL_DAY, LOG_DAY, pick, r, weeks
+from checks.sqltext import CLINICAL_DAY, LOG_DAY, exact, key, pick, printed, r, weeks
 from pulsemart.catalog.idioms import KEY_COLUMNS, PATIENT, READER
 
 SILVER = ["dim_patient", "fact_encounter", "fact_diagnosis", "fact_medication", "fact_lab_result",
@@ -22,6 +22,12 @@ HAS = {
     "fact_rehab_session": ["patient_id", "peak_hr", "resting_hr", "rpe_peak", "safety_flag", "achieved_hrr_percent"],
     "fact_rehab_outcome": ["patient_id", "six_min_walk_meters", "phq9_score"],
 }
+# Their types, where not text.
+TYPES = {
+    "date_of_birth": "date", "lvef_percent": "double", "gxt_peak_mets": "double", "peak_hr": "int", "resting_hr": "int",
+    "rpe_peak": "int", "safety_flag": "boolean", "achieved_hrr_percent": "double", "six_min_walk_meters": "double",
+    "phq9_score": "int",
+}
 assert {x for xs in HAS.values() for x in xs} == set(KEY_COLUMNS)
 
 
@@ -30,7 +36,7 @@ def n(keys: str, source: str) -> str:
 
 
 def money(c: str) -> str:
-    return f"CAST(sum({c}) AS DOUBLE)"
+    return exact(f"sum({c})")
 
 
 def text(c: str, alias: str | None = None) -> str:
@@ -49,9 +55,9 @@ SQL = {
     "s3_insert_select_defaults": f"""
         SELECT referral_id, computed_risk, CASE WHEN computed_risk = 'HIGH' THEN ischemic_threshold END
                  AS ischemic_threshold,
-               CASE WHEN computed_risk <> 'HIGH' THEN strftime({CLINICAL_DAY}, '%Y-%m-%d %H:%M:%S') END AS load_timestamp,
-               CAST(NULL AS BIGINT) AS referral_key
-        FROM fact_rehab_referral WHERE computed_risk IS NOT NULL""",
+               CASE WHEN computed_risk IS DISTINCT FROM 'HIGH' THEN strftime({CLINICAL_DAY}, '%Y-%m-%d %H:%M:%S.%f') END AS load_timestamp,
+               {key('referral_id')} AS referral_key
+        FROM fact_rehab_referral""",
     "s4_full_refresh": n("measurement_point", "fact_rehab_outcome"),
     "s5_named_view": f"""
         SELECT payer_name, count(*) AS n, CAST(sum(denials) AS BIGINT) AS denials
@@ -59,22 +65,21 @@ SQL = {
     "s6_values_lookup": n("dx_code, dx_name, lookup_category",
                           "fact_diagnosis JOIN lk_diagnoses ON upper(icd_code) = dx_code"),
     "s7_row_generator": f"SELECT c_custkey AS id, {u('c_custkey', 1, 16000, 32000)} AS days FROM customer",
-    "s8_surrogate_keys": """
-        SELECT count(*) AS rows, count(encounter_id) AS keyed_rows, count(DISTINCT encounter_id) AS distinct_keys
-        FROM fact_encounter""",
-    "s9_versioned_snapshot": n("'V1' AS dataset_version, computed_risk", "fact_rehab_referral"),
+    "s8_surrogate_keys": f"SELECT {key('encounter_id')} AS encounter_key, encounter_id FROM fact_encounter",
+    "s9_versioned_snapshot": n(f"'V1' AS dataset_version, {printed(CLINICAL_DAY)} AS created_at, computed_risk", "fact_rehab_referral"),
     "s10_log_scan": f"""
         SELECT query_id, warehouse_name, {stamp('start_time')} FROM query_history
         WHERE {ago('query_history.start_time', 30, 'DAY')} AND warehouse_name LIKE 'HEALTH_%'""",
     "s11_register_models": f"""
-        SELECT model_id, 'ACTIVE' AS status, strftime({CLINICAL_DAY}, '%Y-%m-%d %H:%M:%S') AS created_at,
+        SELECT model_id, 'ACTIVE' AS status, strftime({CLINICAL_DAY}, '%Y-%m-%d %H:%M:%S.%f') AS created_at,
                CASE WHEN model_id = 'MDL-003' THEN (SELECT count(*) FROM fact_medication) END AS training_rows
         FROM (VALUES ('MDL-001'), ('MDL-002'), ('MDL-003'), ('MDL-004')) AS m(model_id)""",
     "s12_table_counts": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in SILVER),
     "s13_column_inventory": " UNION ALL ".join(
         f"""SELECT '{t}' AS table_name, '{x}' AS column_name, count({x}) AS filled_rows,
-            'Key Clinical Column' AS column_type FROM {t}""" for t, xs in HAS.items() for x in xs),
+            'Key Clinical Column' AS column_type, '{TYPES.get(x, "string")}' AS data_type FROM {t}"""
+        for t, xs in HAS.items() for x in xs),
     "e1_projection_rename_literal": "SELECT encounter_id, department AS unit, 'EPIC' AS source FROM fact_encounter",
     "e2_ordered_case": """
         SELECT record_id, icd_code, CASE WHEN regexp_matches(upper(icd_code), '^(I21|410)') THEN 'ACUTE_MI'
@@ -102,7 +107,8 @@ SQL = {
         SELECT patient_id, gender FROM dim_patient WHERE patient_id IN (SELECT patient_id FROM fact_rehab_referral)""",
     "e10_correlated_exists": f"""
         SELECT patient_id FROM dim_patient p WHERE EXISTS (SELECT 1 FROM care_team_assignments a
-          WHERE a.patient_id = p.patient_id AND a.clinician_user = '{READER}')""",
+          WHERE a.patient_id = p.patient_id AND a.care_team_id IN
+            (SELECT care_team_id FROM care_team_assignments WHERE clinician_user = '{READER}'))""",
     "e11_exists_flag": """
         SELECT EXISTS (SELECT 1 FROM fact_rehab_session WHERE spo2_min < 87.5) AS low_oxygen_seen,
                EXISTS (SELECT 1 FROM fact_rehab_session WHERE peak_hr > 220) AS extreme_rate_seen""",
@@ -135,7 +141,7 @@ SQL = {
         oldest AS (SELECT patient_id, age FROM dim_patient WHERE age >= 65)
         SELECT busy.patient_id, n, age FROM busy JOIN oldest ON busy.patient_id = oldest.patient_id""",
     "e22_all_plus_derived": f"""
-        SELECT * REPLACE (strftime(measured_at, '%Y-%m-%d %H:%M:%S') AS measured_at), 'BEDSIDE_MONITOR' AS source_system,
+        SELECT * REPLACE (strftime(measured_at, '%Y-%m-%d %H:%M:%S.%f') AS measured_at), 'BEDSIDE_MONITOR' AS source_system,
                vital_type = 'PAIN_SCALE' AS is_pain FROM raw_vital_signs""",
     "e23_quoted_names": """
         SELECT "Encounter Id" AS id, "unit name" AS unit
@@ -193,8 +199,8 @@ SQL = {
         SELECT route, count(DISTINCT patient_id) AS patients, count(DISTINCT drug_class) AS classes,
                count(DISTINCT prescriber) AS prescribers FROM fact_medication GROUP BY 1""",
     "g6_sum_avg_min_max": f"""
-        SELECT payer_name, {money('billed_amount')} AS billed, CAST(min(paid_amount) AS DOUBLE) AS least,
-               CAST(max(paid_amount) AS DOUBLE) AS most FROM raw_claims GROUP BY 1""",
+        SELECT payer_name, {money('billed_amount')} AS billed, {exact('min(paid_amount)')} AS least,
+               {exact('max(paid_amount)')} AS most FROM raw_claims GROUP BY 1""",
     "g7_conditional_sum": """
         SELECT therapist, count(*) FILTER (safety_flag) AS flagged FROM fact_rehab_session GROUP BY 1""",
     "g8_conditional_count": """
@@ -252,10 +258,10 @@ SQL = {
     "k1_mixed_order": f"SELECT referral_id, {text('referral_date')} FROM fact_rehab_referral",
     "k2_top_k": "SELECT icd_code, count(*) AS n FROM fact_diagnosis GROUP BY 1 ORDER BY n DESC, icd_code LIMIT 10",
     "k3_nulls_last": """
-        SELECT outcome_id, phq9_score FROM fact_rehab_outcome ORDER BY phq9_score DESC NULLS LAST, outcome_id LIMIT 100""",
+        SELECT outcome_id, phq9_score FROM fact_rehab_outcome ORDER BY phq9_score DESC NULLS LAST, outcome_id""",
     "k5_scattered_sample": """
         SELECT c_custkey, c_name FROM customer
-        ORDER BY (c_custkey * 2654435761) % 4294967296, c_custkey LIMIT 10""",
+        ORDER BY ((c_custkey % 2147483648) * 2654435761) % 4294967296, c_custkey LIMIT 10""",
     "u1_labelled_union": """
         SELECT 'patients' AS table_name, count(*) AS row_count FROM dim_patient
         UNION ALL SELECT 'claims', count(*) FROM raw_claims UNION ALL SELECT 'notes', count(*) FROM raw_clinical_notes""",
@@ -276,7 +282,7 @@ SQL = {
         FROM orders""",
     "f6_first_match": """
         SELECT medication_id, nullif(regexp_extract(medication_name, '[0-9]+[a-zA-Z]+'), '') AS dose
-        FROM fact_medication WHERE medication_name IS NOT NULL""",
+        FROM fact_medication""",
     "f7_array_text": """
         SELECT query_id, array_to_string(direct_objects_accessed, ',') AS objects FROM access_history
         WHERE array_to_string(direct_objects_accessed, ',') ILIKE '%patient%'""",
@@ -305,7 +311,8 @@ SQL = {
     "f18_explicit_today": n("drug_class", f"fact_medication WHERE end_date >= {CLINICAL_DAY} - INTERVAL 6 MONTHS"),
     "f19_explicit_role": """
         SELECT patient_id FROM dim_patient WHERE patient_id IN
-          (SELECT patient_id FROM care_team_assignments WHERE clinician_user = 'CLINICIAN_5')""",
+          (SELECT patient_id FROM care_team_assignments WHERE care_team_id IN
+             (SELECT care_team_id FROM care_team_assignments WHERE clinician_user = 'CLINICIAN_5'))""",
     "f20_hash_spread": f"SELECT event_id, {mix('event_id', 5, 10000)} AS spread FROM events",
     "f21_uniform": f"SELECT event_id, {u('event_id', 9, 10, 99)} AS drawn FROM events",
     "f22_unit_conversion": f"""

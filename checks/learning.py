@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.sqltext import r, values
+from checks.sqltext import CLINICAL_DAY, printed, r, values
 from pulsemart.catalog.learning import MODEL_COLUMNS, TRACKED
 from pulsemart.plans import notes as n
 from pulsemart.plans.embeddings import MODEL
@@ -105,19 +105,21 @@ SQL = {
                  lag(row(address, marital_status, primary_language)) OVER w AS before_state, lag(1) OVER w AS had_before
           FROM raw_patients WINDOW w AS (PARTITION BY patient_id ORDER BY load_timestamp ASC NULLS LAST, record_id)),
         changed AS (SELECT * FROM ordered WHERE had_before IS NULL OR before_state IS DISTINCT FROM state)
-        SELECT patient_id, {STATE}, strftime(load_timestamp, '%Y-%m-%d %H:%M:%S') AS effective_from,
-               strftime(lead(load_timestamp) OVER v, '%Y-%m-%d %H:%M:%S') AS effective_to,
+        SELECT patient_id, {STATE}, strftime(load_timestamp, '%Y-%m-%d %H:%M:%S.%f') AS effective_from,
+               CASE WHEN lead(1) OVER v IS NULL THEN '9999-12-31 00:00:00.000000'
+                    ELSE strftime(lead(load_timestamp) OVER v, '%Y-%m-%d %H:%M:%S.%f') END AS effective_to,
                lead(1) OVER v IS NULL AS is_current
         FROM changed WINDOW v AS (PARTITION BY patient_id ORDER BY load_timestamp ASC NULLS LAST, record_id)""",
-    "l1_patient_clinical_features": FEATURES,
+    "l1_patient_clinical_features": f"SELECT *, {printed(CLINICAL_DAY)} AS feature_computed_at FROM ({FEATURES})",
     "l2_diagnosis_features": DX,
     "l3_medication_features": MED,
     "l4_encounter_features": ENC,
     "l5_lab_features": LAB,
-    "l6_cardiac_rehab_features": REHAB,
+    "l6_cardiac_rehab_features": f"SELECT *, {printed(CLINICAL_DAY)} AS feature_computed_at FROM ({REHAB})",
     "l7_mortality_training_set": f"""
         SELECT f.* EXCLUDE (ethnicity, max_length_of_stay, latest_hdl, latest_total_cholesterol),
-               CASE WHEN e.discharge_status = 'EXPIRED' THEN 1 ELSE 0 END AS label_mortality, 'V1' AS dataset_version
+               CASE WHEN e.discharge_status = 'EXPIRED' THEN 1 ELSE 0 END AS label_mortality, 'V1' AS dataset_version,
+               {printed(CLINICAL_DAY)} AS created_at
         FROM ({FEATURES}) f LEFT JOIN (
           SELECT patient_id, discharge_status FROM fact_encounter
           QUALIFY row_number() OVER (PARTITION BY patient_id
@@ -125,7 +127,7 @@ SQL = {
         ON f.patient_id = e.patient_id""",
     "l8_adverse_event_training_set": f"""
         SELECT *, CASE WHEN safety_flag OR exercise_terminated_early THEN 1 ELSE 0 END AS label_adverse_event,
-               'V1' AS dataset_version FROM ({REHAB})""",
+               'V1' AS dataset_version, {printed(CLINICAL_DAY)} AS created_at FROM ({REHAB})""",
     "l9_model_catalogue": f"""
         SELECT m.* REPLACE (CASE WHEN model_id = 'MDL-003' THEN 'Retrained' ELSE description END AS description),
                CASE training_dataset WHEN 'fact_medication' THEN (SELECT count(*) FROM fact_medication)
@@ -181,7 +183,7 @@ SQL = {
           WHERE p.vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label))
         QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY similarity DESC, neighbour_id) <= 5""",
     "k6_newest_notes": """
-        SELECT note_id, note_type, patient_id, strftime(authored_at, '%Y-%m-%d %H:%M:%S') AS authored_at
+        SELECT note_id, note_type, patient_id, strftime(authored_at, '%Y-%m-%d %H:%M:%S.%f') AS authored_at
         FROM (SELECT * FROM raw_clinical_notes WHERE note_text IS NOT NULL
               ORDER BY raw_clinical_notes.authored_at DESC, note_id LIMIT 15)""",
     "v4_note_functions": f"""

@@ -130,7 +130,7 @@ def ago(column: str, amount: int, unit: str) -> str:
 
 
 def stamp(column: str, alias: str | None = None) -> str:
-    return f"strftime({column}, '%Y-%m-%d %H:%M:%S') AS {alias or column}"
+    return f"strftime({column}, '%Y-%m-%d %H:%M:%S.%f') AS {alias or column}"
 
 
 def text_date(expression: str, alias: str) -> str:
@@ -163,7 +163,7 @@ QUOTAS = f"""
     SELECT name AS monitor_name, credit_quota, used_credits, remaining_credits,
            {r('used_credits / nullif(credit_quota, 0) * 100', 2)} AS usage_percent, '75%' AS notify_at_percent,
            '90%' AS suspend_at_percent, '100%' AS suspend_immediate_at_percent, warehouses,
-           '2023-01-01 00:00:00' AS created FROM resource_monitors"""
+           '2023-01-01 00:00:00.000000' AS created FROM resource_monitors"""
 
 
 def alert(name: str, value: str, fired: str, source: str) -> str:
@@ -183,7 +183,7 @@ def policy_usage(column: str, prefix: str, level: str, extra: str) -> str:
         SELECT policy_name AS {column}, 'HEALTH_GOVERNANCE_DB' AS policy_database, 'MONITORING' AS policy_schema,
                ref_database_name AS protected_database, ref_schema_name AS protected_schema,
                ref_entity_name AS protected_table, {extra} 'TABLE' AS object_type, 'HEALTH_DATA_ADMIN' AS policy_owner,
-               '2023-02-01 00:00:00' AS policy_created, {level} AS protection_level
+               '2023-02-01 00:00:00.000000' AS policy_created, {level} AS protection_level
         FROM policy_references
         WHERE policy_name LIKE '{prefix}%' AND ref_database_name LIKE 'HEALTH_%' AND policy_name <> 'MASK_OLD'"""
 
@@ -449,7 +449,7 @@ SQL = {
                bytes / {GB} AS size_gb,
                strftime(CASE tag_value WHEN '7_YEARS' THEN created + INTERVAL 7 YEARS
                  WHEN '10_YEARS' THEN created + INTERVAL 10 YEARS WHEN '1_YEAR' THEN created + INTERVAL 1 YEAR END,
-                 '%Y-%m-%d %H:%M:%S') AS earliest_deletion_date,
+                 '%Y-%m-%d %H:%M:%S.%f') AS earliest_deletion_date,
                CASE WHEN tag_value = 'PERMANENT' THEN 'NEVER_DELETE' WHEN tag_value IS NULL
                     THEN 'UNTAGGED_REVIEW_REQUIRED' ELSE 'RETENTION_ACTIVE' END AS retention_status,
                'HIPAA/CMS' AS regulatory_reference

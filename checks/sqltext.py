@@ -30,6 +30,21 @@ def values(rows: list[tuple], columns: list[str]) -> str:
     return f"SELECT * FROM (VALUES {body}) AS v({', '.join(columns)})"
 
 
+def exact(value: str, places: int = 2) -> str:
+    """An exact number printed with all its places."""
+    return f"CAST(CAST({value} AS DECIMAL(38,{places})) AS VARCHAR)"
+
+
+def key(business_id: str) -> str:
+    """Surrogate key: the first 60 bits of the digest of the id."""
+    return f"CAST('0x' || left(md5({business_id}), 15) AS BIGINT)"
+
+
+def printed(moment: str) -> str:
+    """A time as text to the microsecond."""
+    return f"strftime({moment}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
 def weeks(start: str, end: str) -> str:
     return (
         f"CAST((CAST(date_trunc('week', {end}) AS DATE) - CAST(date_trunc('week', {start}) AS DATE)) / 7 AS BIGINT)"

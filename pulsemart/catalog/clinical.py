@@ -12,7 +12,7 @@ RISKS = ["LOW", "MODERATE", "HIGH"]
 
 def _silver(name):
     def run(h: Health):
-        return getattr(h, name).drop("load_timestamp")
+        return h.stored(name)
 
     return run
 

@@ -51,9 +51,9 @@ def ctas(h: Health):
 def insert_select(h: Health):
     declared = schema("fact_rehab_referral")
     path = _folder(h, "fact_rehab_referral")
-    known = h.fact_rehab_referral
-    store.append(known.filter(c("computed_risk") == "HIGH"), path, declared)
-    rest = known.filter(c("computed_risk") != "HIGH").drop("ischemic_threshold")
+    known, high = h.stored("fact_rehab_referral"), c("computed_risk").eqNullSafe(F.lit("HIGH"))
+    store.append(known.filter(high), path, declared)
+    rest = known.filter(~high).drop("ischemic_threshold")
     table = store.append(rest, path, declared, {"load_timestamp": h.as_of})
     return table.select("referral_id", "computed_risk", "ischemic_threshold", "load_timestamp", "referral_key")
 
@@ -82,17 +82,13 @@ def row_generator(h: Health):
 
 
 def surrogate_keys(h: Health):
-    keyed = h.fact_encounter.select("encounter_id", F.xxhash64("encounter_id").alias("encounter_key"))
-    return keyed.agg(
-        F.count("*").alias("rows"), F.count("encounter_key").alias("keyed_rows"),
-        F.countDistinct("encounter_key").alias("distinct_keys"),
-    )
+    return h.stored("fact_encounter").select("encounter_key", "encounter_id")
 
 
 def versioned_snapshot(h: Health):
     rows = h.fact_rehab_referral.select("referral_id", "computed_risk")
-    saved = store.save(store.snapshot(rows, "V1"), _folder(h, "training"), ["dataset_version"])
-    return _n(saved, "dataset_version", "computed_risk")
+    saved = store.save(store.snapshot(rows, "V1", h.as_of), _folder(h, "training"), ["dataset_version"])
+    return _n(saved, "dataset_version", "created_at", "computed_risk")
 
 
 def register_models(h: Health):
@@ -124,7 +120,7 @@ SCANS = {
     ).select("query_id", "warehouse_name", "start_time"),
     "s11_register_models": register_models,
     "s12_table_counts": lambda h: store.table_counts(h.silver_tables()),
-    "s13_column_inventory": lambda h: store.column_inventory(h.silver_tables(), KEY_COLUMNS).drop("data_type"),
+    "s13_column_inventory": lambda h: store.column_inventory(h.silver_tables(), KEY_COLUMNS),
 }
 
 # ---- projections, predicates, conditions -----------------------------------------------------
@@ -181,7 +177,7 @@ EXPRESSIONS = {
         "patient_id", "gender"
     ),
     "e10_correlated_exists": lambda h: h.dim_patient.join(
-        h.care_team_assignments.filter(c("clinician_user") == READER), "patient_id", "left_semi"
+        governance.team_patients(h.care_team_assignments, READER), "patient_id", "left_semi"
     ).select("patient_id"),
     "e11_exists_flag": lambda h: h.fact_rehab_session.agg(
         (F.count(F.when(c("spo2_min") < 87.5, 1)) > 0).alias("low_oxygen_seen"),
@@ -246,7 +242,7 @@ JOINS = {
     "j4_self_join_roles": lambda h: gold.outcome_comparison(h.fact_rehab_outcome).select(
         "referral_id", "baseline_6mwt", "discharge_6mwt"
     ),
-    "j5_unordered_pairs": lambda h: d.comorbidity_pairs(h.fact_diagnosis, above=0, limit=1000),
+    "j5_unordered_pairs": lambda h: d.comorbidity_pairs(h.fact_diagnosis, above=0, limit=None),
     "j6_predicate_in_on": lambda h: h.fact_encounter.join(
         h.fact_diagnosis.filter(c("diagnosis_type") == "PRIMARY").select("encounter_id", "icd_code"),
         "encounter_id", "left",
@@ -393,7 +389,7 @@ ORDERED = {
         "referral_id", "referral_date"
     ),
     "k2_top_k": lambda h: _n(h.fact_diagnosis, "icd_code").orderBy(F.desc("n"), "icd_code").limit(10),
-    "k3_nulls_last": lambda h: h.fact_rehab_outcome.orderBy(F.desc_nulls_last("phq9_score"), "outcome_id").limit(100)
+    "k3_nulls_last": lambda h: h.fact_rehab_outcome.orderBy(F.desc_nulls_last("phq9_score"), "outcome_id")
     .select("outcome_id", "phq9_score"),
     "k5_scattered_sample": lambda h: sample(
         bridge.star(h.spark, h.sf_dir, "customer"), c("c_custkey"), 10
@@ -432,7 +428,7 @@ SCALARS = {
         "o_orderkey", F.lpad(c("o_orderkey").cast("string"), 8, "0").alias("padded"),
         F.lpad(c("o_orderkey").cast("string"), 2, "0").alias("cut"),
     ),
-    "f6_first_match": lambda h: h.fact_medication.filter(c("medication_name").isNotNull()).select(
+    "f6_first_match": lambda h: h.fact_medication.select(
         "medication_id", F.regexp_substr("medication_name", F.lit("[0-9]+[a-zA-Z]+")).alias("dose")
     ),
     "f7_array_text": lambda h: _logs(h).access_history.filter(

@@ -19,13 +19,13 @@ MODEL_COLUMNS = ["model_id", "model_name", "model_version", "model_type", "task"
 
 def _features(h: Health):
     return f.patient_clinical_features(
-        h.dim_patient, h.fact_diagnosis, h.fact_medication, h.fact_encounter, h.fact_lab_result
+        h.dim_patient, h.fact_diagnosis, h.fact_medication, h.fact_encounter, h.fact_lab_result, h.as_of
     )
 
 
 def _rehab(h: Health):
     return f.cardiac_rehab_features(
-        h.fact_rehab_session, h.fact_rehab_referral, sized_by=h.raw_rehab_sessions
+        h.fact_rehab_session, h.fact_rehab_referral, h.as_of, sized_by=h.raw_rehab_sessions
     )
 
 
@@ -55,8 +55,8 @@ QUERIES = {
     "l4_encounter_features": lambda h: f.encounter_block(h.fact_encounter),
     "l5_lab_features": lambda h: f.lab_block(h.fact_lab_result),
     "l6_cardiac_rehab_features": _rehab,
-    "l7_mortality_training_set": lambda h: f.mortality_training_set(_features(h), h.fact_encounter),
-    "l8_adverse_event_training_set": lambda h: f.adverse_event_training_set(_rehab(h)),
+    "l7_mortality_training_set": lambda h: f.mortality_training_set(_features(h), h.fact_encounter, h.as_of),
+    "l8_adverse_event_training_set": lambda h: f.adverse_event_training_set(_rehab(h), h.as_of),
     "l9_model_catalogue": _catalogue,
     "l10_diagnosis_texts": lambda h: em.diagnosis_texts(h.fact_diagnosis),
     "l10_medication_texts": lambda h: em.medication_texts(h.fact_medication),

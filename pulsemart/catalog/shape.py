@@ -1,4 +1,4 @@
-"""Makes query results comparable across engines: plain text dates and double money."""
+"""Makes query results comparable across engines: dates, times and exact numbers as text."""
 
 from __future__ import annotations
 
@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Dates as ISO text, timestamps as text to the second, decimals as doubles; the rest as is."""
+    """Dates as ISO text, timestamps as text to the microsecond, decimals as text with all their places; the rest as is."""
     columns = []
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DateType):
             column = column.cast("string")
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-            column = F.left(column.cast("string"), F.lit(19))
+            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(field.dataType, T.DecimalType):
-            column = column.cast("double")
+            column = column.cast("string")
         columns.append(column.alias(field.name))
     return df.select(*columns)
 

@@ -49,6 +49,11 @@ def moment(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def end_of_time() -> Column:
+    """Where an open period ends."""
+    return moment("9999-12-31 00:00:00")
+
+
 def back(as_of: Column, amount: int, unit: str) -> Column:
     """``as_of`` moved back by ``amount`` units (MINUTE, HOUR, DAY, MONTH, YEAR)."""
     return as_of - F.expr(f"INTERVAL {amount} {unit}")

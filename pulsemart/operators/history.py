@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pulsemart.functions.dates import end_of_time
 from pulsemart.operators.neighbours import HOT_ROWS, windowed
 
 
@@ -14,7 +15,8 @@ def versions(
     """Periods of validity per key.
 
     A version that repeats the attributes of the one before it is dropped. A version ends
-    where the next one starts. An unknown load time counts as newest, as in the newest-row rule.
+    where the next one starts, the current one on 9999-12-31. An unknown load time counts as newest,
+    as in the newest-row rule.
     """
     state = F.struct(*tracked)
     ordered = (
@@ -34,5 +36,6 @@ def versions(
         hot_rows, sized_by=df,
     )
     return closed.withColumn("effective_from", F.col(load_time)).select(
-        key, *tracked, "effective_from", "effective_to", "is_current"
+        key, *tracked, "effective_from",
+        F.when(F.col("is_current"), end_of_time()).otherwise(F.col("effective_to")).alias("effective_to"), "is_current",
     )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MULTIPLIER, MODULUS = 2654435761, 4294967296
+MULTIPLIER, MODULUS, KEY_RANGE = 2654435761, 4294967296, 2147483648
 
 
 def scatter(key: Column) -> Column:
     """Integer spread of a key that orders rows as if at random, the same way every time."""
-    return F.pmod(key.cast("long") * MULTIPLIER, F.lit(MODULUS))
+    return F.pmod(F.pmod(key.cast("long"), F.lit(KEY_RANGE)) * MULTIPLIER, F.lit(MODULUS))  # the product stays below 2^63
 
 
 def sample(df: DataFrame, key: Column, n: int) -> DataFrame:

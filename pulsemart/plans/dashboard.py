@@ -182,7 +182,7 @@ def diagnosis_prevalence(diagnoses: DataFrame, patients: DataFrame) -> DataFrame
     )
 
 
-def comorbidity_pairs(diagnoses: DataFrame, above: int = 5, limit: int = 20) -> DataFrame:
+def comorbidity_pairs(diagnoses: DataFrame, above: int = 5, limit: int | None = 20) -> DataFrame:
     """Category pairs that share more than ``above`` patients.
 
     A patient's diagnoses shrink to the set of distinct categories first (at most eight), and
@@ -203,14 +203,14 @@ def comorbidity_pairs(diagnoses: DataFrame, above: int = 5, limit: int = 20) ->
             ),
         )
     )
-    return (
+    found = (
         sets.select(F.explode(pairs).alias("pair"))
         .groupBy("pair.condition_1", "pair.condition_2")
         .agg(F.count("*").alias("co_occurrence"))
         .filter(F.col("co_occurrence") > above)
         .orderBy(F.desc("co_occurrence"), "condition_1", "condition_2")
-        .limit(limit)
     )
+    return found if limit is None else found.limit(limit)
 
 
 def demographic_rollups(demographic_cells: DataFrame) -> DataFrame:

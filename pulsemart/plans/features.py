@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsemart.functions.numbers import count_where, ratio
 from pulsemart.operators.latest import latest_by
@@ -64,9 +64,13 @@ def lab_block(labs: DataFrame) -> DataFrame:
 
 
 def patient_clinical_features(
-    patients: DataFrame, diagnoses: DataFrame, medications: DataFrame, encounters: DataFrame, labs: DataFrame
+    patients: DataFrame, diagnoses: DataFrame, medications: DataFrame, encounters: DataFrame, labs: DataFrame,
+    as_of: Column,
 ) -> DataFrame:
-    """One row per patient. Each source is aggregated to patients before it is joined."""
+    """One row per patient. Each source is aggregated to patients before it is joined.
+
+    ``as_of`` is the time the features were computed.
+    """
     blocks = [diagnosis_block(diagnoses), medication_block(medications), encounter_block(encounters), lab_block(labs)]
     wide = reduce(
         lambda left, block: left.join(block, "patient_id", "left"),
@@ -77,11 +81,12 @@ def patient_clinical_features(
             "inpatient_visits", "avg_length_of_stay", "max_length_of_stay"]
     false = ["has_mi", "has_heart_failure", "has_atrial_fib", "on_beta_blocker", "on_ace_inhibitor",
              "on_anticoagulant", "on_statin"]
-    return wide.fillna(0, subset=zero).fillna(False, subset=false)
+    return wide.fillna(0, subset=zero).fillna(False, subset=false).withColumn("feature_computed_at", as_of)
 
 
 def cardiac_rehab_features(
-    sessions: DataFrame, referrals: DataFrame, hot_rows: int = HOT_ROWS, sized_by: DataFrame | None = None
+    sessions: DataFrame, referrals: DataFrame, as_of: Column, hot_rows: int = HOT_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Session features with three-session means and changes against the session before.
 
@@ -104,8 +109,9 @@ def cardiac_rehab_features(
         means = {f"rolling_3_avg_{n}": F.avg(c).over(last_three) for n, c in pairs.items()}
         return means | {f"{n}_delta": F.col(c) - F.lag(c).over(window) for n, c in pairs.items()}
 
-    return windowed(joined, "patient_id", ["session_number", "referral_id", "session_id"], 2, trends, hot_rows,
-                    sized_by)
+    found = windowed(joined, "patient_id", ["session_number", "referral_id", "session_id"], 2, trends, hot_rows,
+                     sized_by)
+    return found.withColumn("feature_computed_at", as_of)
 
 
 def latest_encounter(encounters: DataFrame) -> DataFrame:
@@ -113,7 +119,7 @@ def latest_encounter(encounters: DataFrame) -> DataFrame:
     return latest_by(encounters, "patient_id", newest).select("patient_id", "encounter_id", "discharge_status")
 
 
-def mortality_training_set(features: DataFrame, encounters: DataFrame, version: str = "V1") -> DataFrame:
+def mortality_training_set(features: DataFrame, encounters: DataFrame, as_of: Column, version: str = "V1") -> DataFrame:
     died = F.when(F.col("discharge_status") == "EXPIRED", 1).otherwise(0)
     labelled = features.join(latest_encounter(encounters), "patient_id", "left").withColumn("label_mortality", died)
     return snapshot(
@@ -123,13 +129,14 @@ def mortality_training_set(features: DataFrame, encounters: DataFrame, version:
             "on_statin", "distinct_drug_classes", "total_encounters", "inpatient_visits", "avg_length_of_stay",
             "latest_hba1c", "latest_ldl", "abnormal_lab_ratio", "label_mortality",
         ),
-        version,
+        version, as_of,
     )
 
 
-def adverse_event_training_set(rehab_features: DataFrame, version: str = "V1") -> DataFrame:
+def adverse_event_training_set(rehab_features: DataFrame, as_of: Column, version: str = "V1") -> DataFrame:
     adverse = F.when(F.col("safety_flag") | F.col("exercise_terminated_early"), 1).otherwise(0)
-    return snapshot(rehab_features.withColumn("label_adverse_event", adverse), version)
+    labelled = rehab_features.drop("feature_computed_at").withColumn("label_adverse_event", adverse)
+    return snapshot(labelled, version, as_of)
 
 
 def upsert_models(catalogue: DataFrame, arrivals: DataFrame) -> DataFrame:

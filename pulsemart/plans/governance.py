@@ -44,13 +44,18 @@ def filter_by_quality(df: DataFrame, role: str, status: str = "dq_status") -> Da
 
 
 def filter_by_care_team(df: DataFrame, assignments: DataFrame, role: str, user: str) -> DataFrame:
-    """Named roles read every patient, read-only users their assigned ones, all others none."""
+    """Named roles read every patient, read-only users those of their care teams, all others none."""
     if role in masks.ALL_PATIENT_ROLES:
         return df
     if role != "HEALTH_READONLY":
         return df.filter(F.lit(False))
-    own = assignments.filter(F.col("clinician_user") == user).select("patient_id")
-    return df.join(own, "patient_id", "left_semi")
+    return df.join(team_patients(assignments, user), "patient_id", "left_semi")
+
+
+def team_patients(assignments: DataFrame, user: str) -> DataFrame:
+    """Assignments of the care teams that the user belongs to."""
+    teams = assignments.filter(F.col("clinician_user") == user).select("care_team_id")
+    return assignments.join(teams, "care_team_id", "left_semi")
 
 
 def bind(df: DataFrame, column_masks: dict[str, Mask], row_filters: list[RowFilter], role: str, user: str) -> DataFrame:

@@ -65,6 +65,10 @@ class Health:
     def fact_rehab_outcome(self) -> DataFrame:
         return silver.fact_rehab_outcome(self.raw_rehab_outcomes)
 
+    def stored(self, name: str) -> DataFrame:
+        """A silver table with its surrogate key and transformation time, as it is written."""
+        return silver.stored_form(name, getattr(self, name), self.as_of)
+
     def silver_tables(self) -> dict[str, DataFrame]:
         names = [
             "dim_patient", "fact_encounter", "fact_diagnosis", "fact_medication", "fact_lab_result",

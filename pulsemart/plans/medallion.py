@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from pulsemart.plans import features, gold
 from pulsemart.plans.health import Health
@@ -18,12 +18,12 @@ def build_silver(health: Health, folder: str, prefix: str, buckets: int) -> dict
     """Silver tables, bucketed on the key their readers join on."""
     keys = {name: "patient_id" for name in BY_PATIENT} | {name: "referral_id" for name in BY_REFERRAL}
     return {
-        name: save_bucketed(getattr(health, name), f"{prefix}_{name}", f"{folder}/{name}", key, buckets)
+        name: save_bucketed(health.stored(name), f"{prefix}_{name}", f"{folder}/{name}", key, buckets)
         for name, key in keys.items()
     }
 
 
-def build_gold(silver: dict[str, DataFrame], claims: DataFrame, folder: str) -> dict[str, DataFrame]:
+def build_gold(silver: dict[str, DataFrame], claims: DataFrame, folder: str, as_of: Column) -> dict[str, DataFrame]:
     """Gold marts and the feature table from stored silver tables."""
     referrals, sessions = silver["fact_rehab_referral"], silver["fact_rehab_session"]
     marts = {
@@ -35,7 +35,7 @@ def build_gold(silver: dict[str, DataFrame], claims: DataFrame, folder: str) ->
         "claims_summary": gold.claims_summary(claims),
         "patient_clinical_features": features.patient_clinical_features(
             silver["dim_patient"], silver["fact_diagnosis"], silver["fact_medication"], silver["fact_encounter"],
-            silver["fact_lab_result"],
+            silver["fact_lab_result"], as_of,
         ),
     }
     return {name: save(df, f"{folder}/{name}") for name, df in marts.items()}

@@ -155,3 +155,30 @@ def active_care_team(care_team_assignments: DataFrame, as_of: Column) -> DataFra
     return care_team_assignments.filter(
         (F.col("assigned_date") <= today) & (F.col("end_date").isNull() | (F.col("end_date") >= today))
     )
+
+
+# Surrogate key and business id of each stored table.
+KEYS = {
+    "dim_patient": ("patient_key", "patient_id"),
+    "fact_encounter": ("encounter_key", "encounter_id"),
+    "fact_diagnosis": ("diagnosis_key", "diagnosis_id"),
+    "fact_medication": ("medication_key", "medication_id"),
+    "fact_lab_result": ("lab_key", "lab_id"),
+    "fact_rehab_referral": ("referral_key", "referral_id"),
+    "fact_rehab_session": ("session_key", "session_id"),
+    "fact_rehab_outcome": ("outcome_key", "outcome_id"),
+}
+
+
+def surrogate_key(business_id: Column) -> Column:
+    """A number of 60 bits from the digest of the id: the same on every load, with no shuffle to number rows."""
+    return F.conv(F.left(F.md5(business_id), F.lit(15)), 16, 10).cast("long")
+
+
+def stored_form(table: str, df: DataFrame, as_of: Column) -> DataFrame:
+    """The table as it is kept: surrogate key in front, validity of a patient row, time of the transformation."""
+    key, business_id = KEYS[table]
+    if table == "dim_patient":
+        df = df.withColumn("effective_from", F.col("load_timestamp")).withColumn("effective_to", dates.end_of_time())
+    kept = [c for c in df.columns if c != "load_timestamp"]
+    return df.select(surrogate_key(F.col(business_id)).alias(key), *kept, as_of.alias("transformed_at"))

@@ -83,9 +83,9 @@ def view(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def snapshot(df: DataFrame, version: str) -> DataFrame:
-    """Tags a training set with its version; write it partitioned by that column."""
-    return df.withColumn("dataset_version", F.lit(version))
+def snapshot(df: DataFrame, version: str, as_of: Column) -> DataFrame:
+    """Tags a training set with its version and build time; write it partitioned by the version."""
+    return df.withColumn("dataset_version", F.lit(version)).withColumn("created_at", as_of)
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

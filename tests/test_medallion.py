@@ -10,7 +10,7 @@ from pulsemart.plans.medallion import build_gold, build_silver
 def test_stored_build(spark, sf_dir, tmp_path):
     health = Health(spark, sf_dir)
     silver = build_silver(health, str(tmp_path / "silver"), "built", 4)
-    marts = build_gold(silver, health.raw_claims, str(tmp_path / "gold"))
+    marts = build_gold(silver, health.raw_claims, str(tmp_path / "gold"), health.as_of)
     lazy = gold.cms_cardiac_rehab(health.fact_rehab_referral, health.fact_rehab_session)
     columns = sorted(lazy.columns)
     assert sorted(map(str, marts["cms_cardiac_rehab"].select(columns).collect())) == sorted(

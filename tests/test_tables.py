@@ -74,8 +74,8 @@ def test_program_without_sessions(spark, health):
 
 
 def test_hot_patient_features_equal_plain_ones(health):
-    whole = features.cardiac_rehab_features(health.fact_rehab_session, health.fact_rehab_referral)
-    split = features.cardiac_rehab_features(health.fact_rehab_session, health.fact_rehab_referral, hot_rows=25)
+    whole = features.cardiac_rehab_features(health.fact_rehab_session, health.fact_rehab_referral, health.as_of)
+    split = features.cardiac_rehab_features(health.fact_rehab_session, health.fact_rehab_referral, health.as_of, hot_rows=25)
     assert sorted(map(str, whole.collect())) == sorted(map(str, split.collect()))
 
 
@@ -84,7 +84,7 @@ def test_hot_patient_features_equal_plain_ones(health):
 ])
 def test_care_team_matrix(health, role, expected):
     seen = governance.filter_by_care_team(health.dim_patient, health.care_team_assignments, role, "CLINICIAN_3")
-    own = health.care_team_assignments.filter("clinician_user = 'CLINICIAN_3'").count()
+    own = health.care_team_assignments.filter("care_team_id = 'TEAM-CARDIO'").count()  # the reader's only team
     assert seen.count() == {"all": health.dim_patient.count(), "own": own, "none": 0}[expected]
 
 
