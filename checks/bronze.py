@@ -200,7 +200,7 @@ TABLES = {
     "raw_clinical_notes": f"""
         SELECT {pad('NOTE-', 'doc_id')} AS note_id, {pad('PAT-', 'doc_id * 3 // 2')} AS patient_id,
                {pad('ENC-', 'doc_id * 5')} AS encounter_id, {pick(L.NOTE_TYPES, 'doc_id')} AS note_type,
-               text || chr(10) || {pick(L.NOTE_PARAGRAPHS, 'doc_id')} AS note_text,
+               text || chr(10) || {pick(L.NOTE_TEXTS, 'doc_id')} AS note_text,
                {pick(L.AUTHORS, 'doc_id')} AS author,
                TIMESTAMP '2001-01-01' + to_minutes((doc_id * 37) % 500000) AS authored_at
         FROM documents""",

@@ -215,11 +215,17 @@ SQL = {
         component("02. Warehouses", 4, f"""query_history WHERE start_time >= {LOG_DAY} - INTERVAL 30 DAY
                   AND warehouse_name LIKE 'HEALTH_%'""", "count(DISTINCT warehouse_name)", ">= 1", "CHECK",
                   "Dedicated warehouses"),
+        component("03. Databases", 5, f"""query_history WHERE start_time >= {LOG_DAY} - INTERVAL 30 DAY
+                  AND database_name LIKE 'HEALTH_%'""", "count(DISTINCT database_name)", ">= 5", "ISSUE",
+                  "Medallion + Governance DBs"),
         component("04. DIM_PATIENT", 500, "dim_patient", "count(*)", ">= 400", "CHECK", "Patient demographics"),
         component("05. FACT_ENCOUNTER", 2000, "fact_encounter", "count(*)", ">= 1500", "CHECK", "Clinical encounters"),
         component("06. FACT_REHAB_SESSION", 4000, "fact_rehab_session", "count(*)", ">= 3000", "CHECK",
                   "Cardiac rehab sessions"),
-        component("07. FACT_DIAGNOSIS", 3000, "fact_diagnosis", "count(*)", ">= 2000", "CHECK", "Clinical diagnoses"),
+        component("07. FACT_DIAGNOSIS", 3000, "fact_diagnosis", "count(*)", ">= 2000", "CHECK", "ICD diagnoses"),
+        component("08. Analytics Views", 6, "range(9)", "count(*)", ">= 4", "CHECK", "Clinical + reporting views"),
+        component("09. Governance Tags", 8, "tag_references", "count(DISTINCT tag_name)", ">= 6", "CHECK",
+                  "HIPAA data classification tags"),
         component("10. Data Quality", 0, "dim_patient WHERE patient_id IS NULL", "count(*)", "= 0", "NULL values",
                   "No NULL patient identifiers")]),
     "q22_quality_status": f"SELECT patient_id, dq_status FROM ({RATED})",
@@ -303,7 +309,7 @@ SQL = {
         WHERE failures >= 2""",
     "z3_daily_sessions": f"""
         SELECT CAST(session_date AS VARCHAR) AS session_date, count(*) AS sessions_conducted,
-               avg(duration_minutes) AS avg_duration, avg(peak_hr) AS avg_peak_hr,
+               count(DISTINCT patient_id) > 0 AS unique_patients_estimate, avg(duration_minutes) AS avg_duration, avg(peak_hr) AS avg_peak_hr,
                {ONE('exercise_terminated_early')} AS early_terminations,
                {TOTAL('ecg_monitor_minutes')} AS total_ecg_minutes FROM raw_rehab_sessions GROUP BY 1""",
     "z4_newest_encounters": """
@@ -392,6 +398,6 @@ SQL = {
     "h11_clinical_notes": f"""
         SELECT {pad('NOTE-', 'doc_id', 8)} AS note_id, {PAT('doc_id')} AS patient_id, {ENC('doc_id')} AS encounter_id,
                {pick(L.NOTE_TYPES, 'doc_id')} AS note_type,
-               {pick(L.NOTE_TYPES, 'doc_id')} || ': ' || {pick(L.NOTE_PARAGRAPHS, 'doc_id')} AS note_text,
+               {pick(L.NOTE_TYPES, 'doc_id')} || ': ' || {pick(L.NOTE_TEXTS, 'doc_id')} AS note_text,
                {pick(L.AUTHORS, 'doc_id')} AS author, {minutes('doc_id', 131, 'authored_at')} FROM documents""",
 }

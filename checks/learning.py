@@ -64,7 +64,7 @@ STATE = ", ".join(TRACKED)
 
 
 def vector_table(source: str, keep: str, key: str, text: str) -> str:
-    """Length, filled cells, top weight and norm of the hashed vector of each text."""
+    """The hashed vector of each text: length, filled cells, top weight, norm and every weight to five places."""
     return f"""
         WITH source AS ({source}),
         tokens AS (SELECT DISTINCT {key} AS k, {WORDS(text)} AS w FROM source),
@@ -76,9 +76,10 @@ def vector_table(source: str, keep: str, key: str, text: str) -> str:
         weighted AS (SELECT cells.k, bucket, CAST(n / sqrt(squares) AS FLOAT)::DOUBLE AS weight
                      FROM cells JOIN totals ON cells.k = totals.k),
         vectors AS (SELECT k, CAST(768 AS INTEGER) AS dimensions, CAST(count(*) AS INTEGER) AS filled,
-                           round(max(weight), 5) AS top_weight, round(sqrt(sum(weight * weight)), 3) AS norm
+                           round(max(weight), 5) AS top_weight, round(sqrt(sum(weight * weight)), 3) AS norm,
+                           string_agg(bucket || ':' || CAST(round(weight * 100000) AS INTEGER), ' ' ORDER BY bucket) AS cells
                     FROM weighted GROUP BY 1)
-        SELECT {keep}, '{MODEL}' AS model_used, dimensions, filled, top_weight, norm
+        SELECT {keep}, '{MODEL}' AS model_used, dimensions, filled, top_weight, norm, cells
         FROM source JOIN vectors ON source.{key} = vectors.k"""
 
 
@@ -130,9 +131,9 @@ SQL = {
                'V1' AS dataset_version, {printed(CLINICAL_DAY)} AS created_at FROM ({REHAB})""",
     "l9_model_catalogue": f"""
         SELECT m.* REPLACE (CASE WHEN model_id = 'MDL-003' THEN 'Retrained' ELSE description END AS description),
-               CASE training_dataset WHEN 'fact_medication' THEN (SELECT count(*) FROM fact_medication)
-                 WHEN 'fact_patient_clinical_features' THEN (SELECT count(*) FROM dim_patient)
-                 WHEN 'ds_mortality_prediction' THEN (SELECT count(*) FROM dim_patient) END AS training_rows
+               CASE training_dataset WHEN 'HEALTH_TRANSFORM_DB.MEDICATIONS.FACT_MEDICATION' THEN (SELECT count(*) FROM fact_medication)
+                 WHEN 'HEALTH_AI_READY_DB.FEATURE_STORE.PATIENT_CLINICAL_FEATURES' THEN (SELECT count(*) FROM dim_patient)
+                 WHEN 'HEALTH_AI_READY_DB.TRAINING_DATASETS.MORTALITY_PREDICTION_V1' THEN (SELECT count(*) FROM dim_patient) END AS training_rows
         FROM ({values(L.MODELS, MODEL_COLUMNS)}) m""",
     "l10_diagnosis_texts": DX_TEXTS,
     "l10_medication_texts": MED_TEXTS,
@@ -154,7 +155,10 @@ SQL = {
                  QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY score DESC, position) <= 3)
         SELECT best.note_id, string_agg(sentence, ' ' ORDER BY best.position) AS summary
         FROM best JOIN phrases ON best.note_id = phrases.note_id AND best.position = phrases.position GROUP BY 1""",
-    "x2_note_sentiment": f"SELECT note_id, note_type, patient_id, score AS sentiment_score FROM ({SENTIMENT})",
+    "x2_note_sentiment": f"""
+        SELECT note_id, note_type, patient_id, left(note_text, 200) AS note_preview, score AS sentiment_score,
+               CASE WHEN score > 0.2 THEN 'POSITIVE' WHEN score < -0.2 THEN 'NEGATIVE' ELSE 'NEUTRAL' END
+                 AS sentiment_label FROM ({SENTIMENT})""",
     "x3_sentiment_counts": f"""
         SELECT CASE WHEN score > 0.2 THEN 'POSITIVE' WHEN score < -0.2 THEN 'NEGATIVE' ELSE 'NEUTRAL' END
                  AS sentiment_label, count(*) AS notes FROM ({SENTIMENT}) GROUP BY 1""",

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pulsemart.catalog import clinical
 from pulsemart.catalog.shape import steady
 from pulsemart.functions import masks
 from pulsemart.plans import gold, governance as n, quality as q, semantic as y
 from pulsemart.plans.health import Health
-from pulsemart.plans.logs import Logs, recent
+from pulsemart.plans.logs import Logs, since_midnight
 from pulsemart.sources import bridge, generators as gen
 from pulsemart.streaming import feeds, monitors
 
@@ -91,7 +92,8 @@ QUERIES = {
         q.claims_by_payer(gold.claims_summary(h.raw_claims)), "avg_collection_rate"
     ),
     "q21_platform_health": lambda h: q.platform_health(
-        h.silver_tables(), _logs(h).roles, recent(_logs(h).query_history, "start_time", _logs(h).as_of, 30, "DAY")
+        h.silver_tables(), _logs(h).roles, since_midnight(_logs(h).query_history, "start_time", _logs(h).as_of, 30, "DAY"),
+        _logs(h).tag_references, [name for name in clinical.QUERIES if name.startswith("m")],
     ),
     "q22_quality_status": lambda h: _rated(h).select("patient_id", "dq_status"),
     "n1_mask_patient_phi": _masked("last_name", masks.mask_patient_phi),
@@ -156,7 +158,7 @@ QUERIES = {
             h.spark,
             bridge.lines_with_patient(h.spark, h.sf_dir, feeds.read_feed(h.spark, h.sf_dir, "lineitem.parquet")),
         )
-    ).drop("unique_patients_estimate"),
+    ).withColumn("unique_patients_estimate", F.col("unique_patients_estimate") > 0),
     "z4_newest_encounters": lambda h: monitors.newest_per_key(
         bridge.raw_encounters(h.spark, h.sf_dir, feeds.read_feed(h.spark, h.sf_dir, "orders.parquet")),
         "encounter_id", "load_timestamp", "record_id",

@@ -97,7 +97,7 @@ def register_models(h: Health):
     declared, path = schema("model_catalog"), _folder(h, "model_catalog")
     models = L.lookup(h.spark, L.MODELS, columns)
     table = store.append(models, path, declared, {"status": F.lit("ACTIVE"), "created_at": h.as_of})
-    sizes = store.table_counts({"fact_medication": h.fact_medication})
+    sizes = store.table_counts({"HEALTH_TRANSFORM_DB.MEDICATIONS.FACT_MEDICATION": h.fact_medication})
     return f.catalogue_with_sizes(table, sizes).select("model_id", "status", "created_at", "training_rows")
 
 

@@ -33,9 +33,9 @@ def _catalogue(h: Health):
     models = lookups.lookup(h.spark, lookups.MODELS, MODEL_COLUMNS)
     retrained = models.filter(F.col("model_id") == "MDL-003").withColumn("description", F.lit("Retrained"))
     sizes = table_counts({
-        "fact_medication": h.fact_medication,
-        "fact_patient_clinical_features": h.dim_patient,
-        "ds_mortality_prediction": h.dim_patient,
+        "HEALTH_TRANSFORM_DB.MEDICATIONS.FACT_MEDICATION": h.fact_medication,
+        "HEALTH_AI_READY_DB.FEATURE_STORE.PATIENT_CLINICAL_FEATURES": h.dim_patient,
+        "HEALTH_AI_READY_DB.TRAINING_DATASETS.MORTALITY_PREDICTION_V1": h.dim_patient,
     })
     return f.catalogue_with_sizes(f.upsert_models(models, retrained), sizes).select(*MODEL_COLUMNS, "training_rows")
 
@@ -66,9 +66,7 @@ QUERIES = {
     "l11_medication_embeddings": lambda h: em.described(em.embedded(em.medication_texts(h.fact_medication), "label")),
     "l12_note_embeddings": lambda h: em.described(em.note_embeddings(h.raw_clinical_notes)),
     "x1_note_summaries": lambda h: n.summaries(h.raw_clinical_notes),
-    "x2_note_sentiment": lambda h: n.sentiment(h.raw_clinical_notes).select(
-        "note_id", "note_type", "patient_id", "sentiment_score"
-    ),
+    "x2_note_sentiment": lambda h: n.sentiment(h.raw_clinical_notes),
     "x3_sentiment_counts": lambda h: n.sentiment_counts(n.sentiment(h.raw_clinical_notes)),
     "x4_note_entities": lambda h: n.entities(h.raw_clinical_notes),
     "x5_risk_second_opinion": lambda h: n.risk_opinions(h.fact_rehab_referral),

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pulsemart.functions import dates
 from pulsemart.functions.numbers import count_where
 from pulsemart.plans import usage
-from pulsemart.plans.logs import recent
+from pulsemart.plans.logs import recent, since_midnight
 
 
 def _alert(df: DataFrame, name: str, value: Column, condition) -> DataFrame:
@@ -73,7 +73,7 @@ def ai_spend(metering: DataFrame, as_of: Column) -> DataFrame:
 def storage_growth(storage: DataFrame, as_of: Column) -> DataFrame:
     """Largest day-on-day growth; the window runs over the last few daily rows only."""
     before = F.lag("storage_bytes").over(Window.orderBy("usage_date"))
-    growth = recent(storage, "usage_date", as_of, 2, "DAY").select(
+    growth = since_midnight(storage, "usage_date", as_of, 2, "DAY").select(
         F.col("storage_bytes").alias("today"), before.alias("yesterday")
     ).filter(F.col("yesterday") > 0)
     return _alert(

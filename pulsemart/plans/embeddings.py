@@ -42,12 +42,16 @@ def note_embeddings(notes: DataFrame) -> DataFrame:
 
 
 def described(embeddings: DataFrame) -> DataFrame:
-    """Length, filled cells, largest weight and norm of each vector instead of the vector."""
+    """The vector as text, ``cell:weight`` in hundred-thousandths of the cells not zero, with its length, largest weight and norm."""
     e = F.col("embedding")
+    printed = F.transform(
+        e, lambda x, i: F.when(x != 0, F.concat_ws(":", i, F.round(x.cast("double") * 100000).cast("int")))
+    )
     return embeddings.select(
         *[c for c in embeddings.columns if c != "embedding"],
         F.size(e).alias("dimensions"),
         F.size(F.filter(e, lambda x: x != 0)).alias("filled"),
         F.round(F.array_max(e).cast("double"), 5).alias("top_weight"),
         F.round(F.sqrt(dot(e, e)), 3).alias("norm"),
+        F.array_join(printed, " ").alias("cells"),
     )

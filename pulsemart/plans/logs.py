@@ -25,8 +25,13 @@ class Logs:
         return table
 
 
+def since_midnight(df: DataFrame, time: str, as_of: Column, amount: int, unit: str, like: dict[str, str] | None = None):
+    """Like ``recent``, counted from the midnight that starts the day of ``as_of``."""
+    return recent(df, time, F.to_date(as_of).cast("timestamp_ntz"), amount, unit, like)
+
+
 def recent(df: DataFrame, time: str, as_of: Column, amount: int, unit: str, like: dict[str, str] | None = None):
-    """Rows of the last ``amount`` units whose listed columns match a prefix pattern."""
+    """Rows of the last ``amount`` units, counted from the instant, whose listed columns match a prefix pattern."""
     scanned = df.filter(F.col(time) >= back(as_of, amount, unit))
     for column, pattern in (like or {}).items():
         scanned = scanned.filter(F.col(column).like(pattern))

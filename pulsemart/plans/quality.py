@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsemart.functions.numbers import count_where
 from pulsemart.functions.rules import first_match
+from pulsemart.sources.lookups import lookup
 from pulsemart.sources.store import table_counts
 
 # Minimum rows per table.
@@ -194,8 +195,14 @@ def claims_by_payer(summary: DataFrame, limit: int = 6) -> DataFrame:
     )
 
 
-def platform_health(tables: dict[str, DataFrame], roles: DataFrame, recent_queries: DataFrame) -> DataFrame:
-    """Expected against actual figures with a status, one row per component."""
+def platform_health(
+    tables: dict[str, DataFrame], roles: DataFrame, recent_queries: DataFrame, tags: DataFrame, marts: list[str]
+) -> DataFrame:
+    """Expected against actual figures with a status, one row per component.
+
+    Databases are those the recent queries used, tags those assigned, views the ``marts`` that exist.
+    """
+    views = lookup(roles.sparkSession, [(name,) for name in marts], ["name"])
     def part(component: str, expected: int, df: DataFrame, actual: Column, healthy, otherwise: str, details: str):
         return df.agg(actual.cast("long").alias("actual")).select(
             F.lit(component).alias("component"), F.lit(expected).cast("long").alias("expected"), "actual",
@@ -210,13 +217,18 @@ def platform_health(tables: dict[str, DataFrame], roles: DataFrame, recent_queri
         part("01. RBAC Roles", 7, ours, rows, lambda n: n >= 7, "ISSUE", "Custom healthcare roles"),
         part("02. Warehouses", 4, houses, F.countDistinct("warehouse_name"), lambda n: n >= 1, "CHECK",
              "Dedicated warehouses"),
+        part("03. Databases", 5, recent_queries.filter(F.col("database_name").like("HEALTH_%")),
+             F.countDistinct("database_name"), lambda n: n >= 5, "ISSUE", "Medallion + Governance DBs"),
         part("04. DIM_PATIENT", 500, tables["dim_patient"], rows, lambda n: n >= 400, "CHECK", "Patient demographics"),
         part("05. FACT_ENCOUNTER", 2000, tables["fact_encounter"], rows, lambda n: n >= 1500, "CHECK",
              "Clinical encounters"),
         part("06. FACT_REHAB_SESSION", 4000, tables["fact_rehab_session"], rows, lambda n: n >= 3000, "CHECK",
              "Cardiac rehab sessions"),
         part("07. FACT_DIAGNOSIS", 3000, tables["fact_diagnosis"], rows, lambda n: n >= 2000, "CHECK",
-             "Clinical diagnoses"),
+             "ICD diagnoses"),
+        part("08. Analytics Views", 6, views, rows, lambda n: n >= 4, "CHECK", "Clinical + reporting views"),
+        part("09. Governance Tags", 8, tags, F.countDistinct("tag_name"), lambda n: n >= 6, "CHECK",
+             "HIPAA data classification tags"),
         part("10. Data Quality", 0, tables["dim_patient"], count_where(F.col("patient_id").isNull()),
              lambda n: n == 0, "NULL values", "No NULL patient identifiers"),
     ]

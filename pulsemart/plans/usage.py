@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsemart.functions import dates
 from pulsemart.functions.numbers import gigabytes, ratio, terabytes
-from pulsemart.plans.logs import recent
+from pulsemart.plans.logs import recent, since_midnight
 
 USD_PER_CREDIT = 3
 USD_PER_TB_MONTH = 23
@@ -23,7 +23,7 @@ def _seconds(ms: str) -> Column:
 
 
 def daily_warehouse_credits(metering: DataFrame, as_of: Column) -> DataFrame:
-    return recent(metering, "start_time", as_of, 30, "DAY", OURS).groupBy(
+    return since_midnight(metering, "start_time", as_of, 30, "DAY", OURS).groupBy(
         dates.day_of(F.col("start_time")).alias("usage_date"), "warehouse_name"
     ).agg(
         F.sum("credits_used").alias("total_credits"),
@@ -35,14 +35,14 @@ def daily_warehouse_credits(metering: DataFrame, as_of: Column) -> DataFrame:
 
 
 def monthly_credit_summary(metering: DataFrame, as_of: Column) -> DataFrame:
-    return recent(metering, "start_time", as_of, 12, "MONTH", OURS).groupBy(
+    return since_midnight(metering, "start_time", as_of, 12, "MONTH", OURS).groupBy(
         dates.month_of(F.col("start_time")).alias("usage_month"), "warehouse_name"
     ).agg(F.sum("credits_used").alias("total_credits"), _usd(F.sum("credits_used")).alias("estimated_cost_usd"))
 
 
 def credits_by_user(queries: DataFrame, as_of: Column) -> DataFrame:
     credits = F.sum("credits_used_cloud_services")
-    return recent(queries, "start_time", as_of, 30, "DAY", OURS).groupBy("user_name").agg(
+    return since_midnight(queries, "start_time", as_of, 30, "DAY", OURS).groupBy("user_name").agg(
         F.countDistinct("query_id").alias("total_queries"),
         credits.alias("total_credits"),
         F.round(F.avg("total_elapsed_time") / 1000, 2).alias("avg_query_seconds"),
@@ -52,7 +52,7 @@ def credits_by_user(queries: DataFrame, as_of: Column) -> DataFrame:
 
 def credits_by_role(queries: DataFrame, as_of: Column) -> DataFrame:
     credits = F.sum("credits_used_cloud_services")
-    return recent(queries, "start_time", as_of, 30, "DAY", {"role_name": "HEALTH_%"}).groupBy("role_name").agg(
+    return since_midnight(queries, "start_time", as_of, 30, "DAY", {"role_name": "HEALTH_%"}).groupBy("role_name").agg(
         F.countDistinct("user_name").alias("unique_users"),
         F.countDistinct("query_id").alias("total_queries"),
         credits.alias("total_credits"),
@@ -63,7 +63,7 @@ def credits_by_role(queries: DataFrame, as_of: Column) -> DataFrame:
 def top_expensive_queries(queries: DataFrame, as_of: Column, limit: int = 100) -> DataFrame:
     credits = F.col("credits_used_cloud_services")
     return (
-        recent(queries, "start_time", as_of, 30, "DAY", OURS)
+        since_midnight(queries, "start_time", as_of, 30, "DAY", OURS)
         .filter(credits > 0)
         .orderBy(credits.desc(), "query_id")
         .limit(limit)
@@ -79,7 +79,7 @@ def top_expensive_queries(queries: DataFrame, as_of: Column, limit: int = 100) -
 
 def storage_consumption(storage: DataFrame, as_of: Column) -> DataFrame:
     total = F.col("storage_bytes") + F.col("stage_bytes") + F.col("failsafe_bytes")
-    return recent(storage, "usage_date", as_of, 6, "MONTH").select(
+    return since_midnight(storage, "usage_date", as_of, 6, "MONTH").select(
         "usage_date",
         F.round(terabytes(F.col("storage_bytes")), 4).alias("database_storage_tb"),
         F.round(terabytes(F.col("stage_bytes")), 4).alias("stage_storage_tb"),
@@ -99,7 +99,7 @@ def quota_usage(monitors: DataFrame) -> DataFrame:
 
 
 def query_performance(queries: DataFrame, as_of: Column) -> DataFrame:
-    return recent(queries, "start_time", as_of, 30, "DAY", OURS).select(
+    return since_midnight(queries, "start_time", as_of, 30, "DAY", OURS).select(
         "query_id", F.substring("query_text", 1, 500).alias("query_preview"), "user_name", "role_name",
         "warehouse_name", "warehouse_size", "database_name", "schema_name", "query_type", "execution_status",
         "start_time", "end_time",
@@ -114,7 +114,7 @@ def query_performance(queries: DataFrame, as_of: Column) -> DataFrame:
 
 
 def long_running_queries(queries: DataFrame, as_of: Column) -> DataFrame:
-    return recent(queries, "start_time", as_of, 30, "DAY", OURS).filter(F.col("total_elapsed_time") > LONG_MS).select(
+    return since_midnight(queries, "start_time", as_of, 30, "DAY", OURS).filter(F.col("total_elapsed_time") > LONG_MS).select(
         "query_id", F.substring("query_text", 1, 300).alias("query_preview"), "user_name", "role_name",
         "warehouse_name", "warehouse_size", "database_name", "query_type", "execution_status", "start_time",
         "end_time", _seconds("total_elapsed_time").alias("execution_seconds"),
@@ -124,7 +124,7 @@ def long_running_queries(queries: DataFrame, as_of: Column) -> DataFrame:
 
 
 def failed_queries(queries: DataFrame, as_of: Column) -> DataFrame:
-    return recent(queries, "start_time", as_of, 30, "DAY", OURS).filter(F.col("execution_status") == "FAIL").select(
+    return since_midnight(queries, "start_time", as_of, 30, "DAY", OURS).filter(F.col("execution_status") == "FAIL").select(
         "query_id", F.substring("query_text", 1, 300).alias("query_preview"), "user_name", "role_name",
         "warehouse_name", "database_name", "schema_name", "query_type", "execution_status", "error_code",
         "error_message", "start_time", _seconds("total_elapsed_time").alias("execution_seconds"),
@@ -136,7 +136,7 @@ def warehouse_utilization(load: DataFrame, as_of: Column) -> DataFrame:
         F.when(F.col("avg_queued_load") > 5, "HIGH_QUEUE").when(F.col("avg_running") > 10, "HIGH_LOAD")
         .when(F.col("avg_blocked") > 0, "BLOCKED").otherwise("NORMAL")
     )
-    return recent(load, "start_time", as_of, 30, "DAY", OURS).select(
+    return since_midnight(load, "start_time", as_of, 30, "DAY", OURS).select(
         "warehouse_name", "start_time", "end_time",
         F.round("avg_running", 2).alias("avg_queries_running"),
         F.round("avg_queued_load", 2).alias("avg_queries_queued"),
@@ -165,7 +165,7 @@ def cost_by_month(metering: DataFrame, as_of: Column) -> DataFrame:
     """As defined, the total adds the cloud part to credits that already contain it."""
     total = F.sum("credits_used") + F.sum("credits_used_cloud_services")
     days = F.countDistinct(dates.day_of(F.col("start_time")))
-    return recent(metering, "start_time", as_of, 12, "MONTH", OURS).groupBy(
+    return since_midnight(metering, "start_time", as_of, 12, "MONTH", OURS).groupBy(
         "warehouse_name", dates.month_of(F.col("start_time")).alias("usage_month")
     ).agg(
         F.round(F.sum("credits_used"), 4).alias("compute_credits"),
@@ -178,7 +178,7 @@ def cost_by_month(metering: DataFrame, as_of: Column) -> DataFrame:
 
 
 def logins(login_history: DataFrame, as_of: Column) -> DataFrame:
-    return recent(login_history, "event_timestamp", as_of, 30, "DAY").select(
+    return since_midnight(login_history, "event_timestamp", as_of, 30, "DAY").select(
         "user_name", F.col("reported_client_type").alias("client_type"),
         F.col("first_authentication_factor").alias("auth_factor_1"),
         F.col("second_authentication_factor").alias("auth_factor_2"), "is_success", "error_code", "error_message",
@@ -187,7 +187,7 @@ def logins(login_history: DataFrame, as_of: Column) -> DataFrame:
 
 
 def data_transfer(transfers: DataFrame, as_of: Column) -> DataFrame:
-    return recent(transfers, "start_time", as_of, 30, "DAY").groupBy(
+    return since_midnight(transfers, "start_time", as_of, 30, "DAY").groupBy(
         dates.day_of(F.col("start_time")).alias("transfer_date"), "source_cloud", "source_region", "target_cloud",
         "target_region", "transfer_type",
     ).agg(
@@ -198,7 +198,7 @@ def data_transfer(transfers: DataFrame, as_of: Column) -> DataFrame:
 
 def query_type_summary(queries: DataFrame, as_of: Column) -> DataFrame:
     """Shares come from a window over the few aggregated rows, not over the log."""
-    counted = recent(queries, "start_time", as_of, 30, "DAY", OURS).groupBy("query_type", "warehouse_name").agg(
+    counted = since_midnight(queries, "start_time", as_of, 30, "DAY", OURS).groupBy("query_type", "warehouse_name").agg(
         F.count("*").alias("query_count"),
         F.sum("credits_used_cloud_services").alias("total_credits"),
         F.round(F.avg("total_elapsed_time") / 1000, 2).alias("avg_execution_seconds"),
@@ -224,7 +224,7 @@ def database_storage(usage: DataFrame) -> DataFrame:
 
 
 def weekly_usage(queries: DataFrame, as_of: Column) -> DataFrame:
-    return recent(queries, "start_time", as_of, 7, "DAY", OURS).groupBy("warehouse_name").agg(
+    return since_midnight(queries, "start_time", as_of, 7, "DAY", OURS).groupBy("warehouse_name").agg(
         F.count("*").alias("query_count"),
         F.sum("credits_used_cloud_services").alias("total_credits"),
         F.round(F.avg("total_elapsed_time") / 1000, 2).alias("avg_query_seconds"),

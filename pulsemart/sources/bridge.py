@@ -402,7 +402,7 @@ def raw_clinical_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         padded("PAT-", F.floor(d * 3 / 2)).alias("patient_id"),
         padded("ENC-", d * 5).alias("encounter_id"),
         pick(L.NOTE_TYPES, d).alias("note_type"),
-        F.concat(F.col("text"), F.lit("\n"), pick(L.NOTE_PARAGRAPHS, d)).alias("note_text"),
+        F.concat(F.col("text"), F.lit("\n"), pick(L.NOTE_TEXTS, d)).alias("note_text"),
         pick(L.AUTHORS, d).alias("author"),
         _shift(F.lit("2001-01-01").cast("timestamp_ntz"), (d * 37) % 500000, "MINUTE").alias("authored_at"),
         F.lit("EHR").alias("source_system"),

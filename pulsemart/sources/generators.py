@@ -212,6 +212,6 @@ def clinical_notes(ids: DataFrame, as_of: Column) -> DataFrame:
     return ids.select(
         padded("NOTE-", i, 8).alias("note_id"), _patient().alias("patient_id"), _encounter().alias("encounter_id"),
         pick(L.NOTE_TYPES, i).alias("note_type"),
-        F.concat(pick(L.NOTE_TYPES, i), F.lit(": "), pick(L.NOTE_PARAGRAPHS, i)).alias("note_text"),
+        F.concat(pick(L.NOTE_TYPES, i), F.lit(": "), pick(L.NOTE_TEXTS, i)).alias("note_text"),
         pick(L.AUTHORS, i).alias("author"), _minutes_back(as_of, 131, 1500000).alias("authored_at"),
     )

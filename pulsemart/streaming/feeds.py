@@ -27,7 +27,10 @@ def read_feed(spark: SparkSession, folder: str, pattern: str, files_per_batch: i
 def run_to_table(
     stream: DataFrame, mode: str, shape: Callable[[DataFrame], DataFrame] = lambda batch: batch, folder: str | None = None
 ) -> DataFrame:
-    """Runs the stream over what has arrived and returns all batches with their number."""
+    """Runs the stream over what has arrived and returns all batches with their number.
+
+    With a ``folder`` a later call goes on where this one stopped; without one it starts anew.
+    """
     spark = stream.sparkSession
     folder = folder or f"{shared_folder(spark)}/feeds/{uuid.uuid4().hex}"
 
@@ -44,8 +47,10 @@ def run_to_table(
     query.awaitTermination()
     try:
         return spark.read.parquet(f"{folder}/out")
-    except AnalysisException:  # nothing has arrived yet
-        return shape(spark.createDataFrame([], stream.schema)).withColumn("batch", F.lit(0))
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return shape(spark.createDataFrame([], stream.schema)).withColumn("batch", F.lit(0))  # nothing has arrived yet
 
 
 def newest_state(batches: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Streaming monitors: failure spikes, daily session figures, newest record per key."""
+"""Streaming monitors: failure spikes, daily session figures, newest record per key.
+
+Each takes ``folder``: a later call with the same folder reads only what has arrived since and
+returns the figures of all of it. Log times are zone-free and are read as UTC, so no hour is lost
+or doubled where summer time begins or ends; the session's zone must be UTC.
+"""
 
 from __future__ import annotations
 
@@ -8,42 +13,48 @@ from pulsemart.functions.numbers import count_where
 from pulsemart.operators.latest import latest_by, newest_first
 from pulsemart.streaming.feeds import newest_state, run_to_table
 
-LATENESS = "3 hours"  # the longest delay of a log table
 
+def _in_utc(feed: DataFrame) -> None:
+    if feed.sparkSession.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z", "GMT"):
+        raise ValueError("streams over zone-free times need spark.sql.session.timeZone = UTC")
 
-def _timed(events: DataFrame, time: str) -> DataFrame:
-    """Watermarks need a zoned timestamp; the log times are zone-free."""
-    return events.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", LATENESS)
 
+def _windowed_counts(counted: DataFrame, keys: list[str], folder: str | None) -> DataFrame:
+    """Counts per window over all batches: each batch writes its own counts, the reader adds them up.
 
-def _window_bounds(df: DataFrame) -> DataFrame:
-    return df.withColumn("window_start", F.col("window.start").cast("timestamp_ntz")).withColumn(
-        "window_end", F.col("window.end").cast("timestamp_ntz")
-    ).drop("window")
+    No watermark is needed, so rows of any delay and any order are counted.
+    """
+    batches = run_to_table(
+        counted, "append",
+        lambda batch: batch.groupBy("window", *keys).agg(F.count("*").alias("failures")), folder,
+    )
+    return batches.groupBy(
+        F.col("window.start").cast("timestamp_ntz").alias("window_start"),
+        F.col("window.end").cast("timestamp_ntz").alias("window_end"), *keys,
+    ).agg(F.sum("failures").alias("failures"))
 
 
-def failure_spikes(events: DataFrame, time: str, failed, above: int, width: str = "15 minutes") -> DataFrame:
-    """Windows with more than ``above`` failures. State per window ends when the watermark passes it."""
-    counted = _window_bounds(
-        _timed(events, time).filter(failed).groupBy(F.window("_time", width)).agg(F.count("*").alias("failures"))
-    )
-    state = newest_state(run_to_table(counted, "update"), ["window_start", "window_end"])
-    return state.filter(F.col("failures") > above)
+def failure_spikes(
+    events: DataFrame, time: str, failed, above: int, width: str = "15 minutes", folder: str | None = None
+) -> DataFrame:
+    """Windows with more than ``above`` failures."""
+    _in_utc(events)
+    found = events.filter(failed).select(F.window(F.col(time).cast("timestamp"), width).alias("window"))
+    return _windowed_counts(found, [], folder).filter(F.col("failures") > above)
 
 
 def login_spikes(
-    events: DataFrame, time: str, user: str, failed, at_least: int, width: str = "1 hour", slide: str = "15 minutes"
+    events: DataFrame, time: str, user: str, failed, at_least: int, width: str = "1 hour", slide: str = "15 minutes",
+    folder: str | None = None,
 ) -> DataFrame:
     """Users with at least ``at_least`` failed logins in a sliding window."""
-    counted = _window_bounds(
-        _timed(events, time).filter(failed).groupBy(F.window("_time", width, slide), F.col(user).alias("user_name"))
-        .agg(F.count("*").alias("failures"))
-    )
-    state = newest_state(run_to_table(counted, "update"), ["window_start", "window_end", "user_name"])
-    return state.filter(F.col("failures") >= at_least)
+    _in_utc(events)
+    window = F.window(F.col(time).cast("timestamp"), width, slide)
+    found = events.filter(failed).select(window.alias("window"), F.col(user).alias("user_name"))
+    return _windowed_counts(found, ["user_name"], folder).filter(F.col("failures") >= at_least)
 
 
-def daily_sessions(sessions: DataFrame) -> DataFrame:
+def daily_sessions(sessions: DataFrame, folder: str | None = None) -> DataFrame:
     """Session figures per day, kept up to date. Distinct patients are estimated on a stream."""
     daily = sessions.groupBy("session_date").agg(
         F.count("*").alias("sessions_conducted"),
@@ -53,21 +64,34 @@ def daily_sessions(sessions: DataFrame) -> DataFrame:
         count_where(F.col("exercise_terminated_early")).alias("early_terminations"),
         F.sum("ecg_monitor_minutes").alias("total_ecg_minutes"),
     )
-    return newest_state(run_to_table(daily, "update"), ["session_date"])
+    return newest_state(run_to_table(daily, "update", folder=folder), ["session_date"])
 
 
-def newest_per_key(feed: DataFrame, key: str, load_time: str, record: str) -> DataFrame:
+def newest_per_key(feed: DataFrame, key: str, load_time: str, record: str, folder: str | None = None) -> DataFrame:
     """Newest row per key of a feed.
 
     Every micro-batch keeps its own newest rows; the reader keeps the newest of those. Nothing
     already written is rewritten, so a batch costs what it brings.
     """
     order = lambda: newest_first(load_time, record)
-    batches = run_to_table(feed, "append", lambda batch: latest_by(batch, key, order()))
+    batches = run_to_table(feed, "append", lambda batch: latest_by(batch, key, order()), folder)
     return latest_by(batches, key, order()).drop("batch")
 
 
-def without_repeats(feed: DataFrame, keys: list[str], time: str) -> DataFrame:
-    """Drops exact repeats that arrive within the allowed lateness."""
-    unique = _timed(feed, time).dropDuplicatesWithinWatermark(keys)
-    return run_to_table(unique, "append", lambda batch: batch.drop("_time")).drop("batch")
+def without_repeats(
+    feed: DataFrame, keys: list[str], time: str, lateness: str | None = None, folder: str | None = None
+) -> DataFrame:
+    """Drops repeats of the keys.
+
+    Without ``lateness`` repeats are found however late they arrive and no row is lost: the state
+    holds every key. With it the state forgets keys older than the watermark; rows that arrive
+    later than that are dropped, and Spark counts them in the progress of the query
+    (``numRowsDroppedByWatermark``).
+    """
+    if lateness is None:
+        unique = feed.dropDuplicates(keys)
+    else:
+        _in_utc(feed)
+        timed = feed.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", lateness)
+        unique = timed.dropDuplicatesWithinWatermark(keys)
+    return run_to_table(unique, "append", lambda batch: batch.drop("_time"), folder).drop("batch")

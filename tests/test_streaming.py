@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from pulsemart.operators.latest import latest_by, newest_first
@@ -57,3 +58,42 @@ def test_empty_feed_gives_an_empty_table(spark, tmp_path):
     (tmp_path / "feed").mkdir()
     stream = spark.readStream.schema("event_id long").parquet(str(tmp_path / "feed"))
     assert feeds.run_to_table(stream, "append").collect() == []
+
+
+def test_rows_out_of_order_are_all_counted(spark, sf_dir, tmp_path):
+    events = bridge.star(spark, sf_dir, "events")
+    events.repartitionByRange(3, "ts").write.parquet(str(tmp_path / "late"))
+    for position, path in enumerate(sorted((tmp_path / "late").glob("part-*.parquet"), reverse=True)):  # newest first
+        os.utime(path, (1_700_000_000 + position, 1_700_000_000 + position))
+    stream = lambda: feeds.read_feed(spark, str(tmp_path / "late"), "*.parquet", files_per_batch=1)
+    failed = F.col("event_type") == "error"
+    got = monitors.failure_spikes(stream(), "ts", failed, 0)
+    assert got.select(F.sum("failures")).first()[0] == events.filter(failed).count()
+    assert monitors.without_repeats(stream(), ["event_id"], "ts").count() == events.count()
+
+
+def test_monitors_go_on_where_they_stopped(spark, sf_dir, tmp_path):
+    events = bridge.star(spark, sf_dir, "events").filter("event_id % 2 = 0")
+    more = bridge.star(spark, sf_dir, "events").filter("event_id % 2 = 1")
+    failed, feed, folder = F.col("event_type") == "error", str(tmp_path / "feed"), str(tmp_path / "state")
+
+    def total():
+        stream = feeds.read_feed(spark, feed, "*.parquet")
+        return monitors.failure_spikes(stream, "ts", failed, 0, folder=folder).select(F.sum("failures")).first()[0]
+
+    events.write.parquet(feed)
+    first = total()
+    assert first == events.filter(failed).count() and total() == first  # nothing new, nothing read twice
+    more.write.mode("append").parquet(feed)
+    assert total() == first + more.filter(failed).count()
+    assert len(list((tmp_path / "state" / "out").glob("batch=*"))) == 2
+
+
+def test_other_zones_are_refused(spark, sf_dir):
+    stream = feeds.read_feed(spark, sf_dir, "events.parquet")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        with pytest.raises(ValueError, match="UTC"):
+            monitors.failure_spikes(stream, "ts", F.col("event_type") == "error", 0)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
