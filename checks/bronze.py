@@ -113,7 +113,7 @@ TABLES = {
         SELECT c_custkey AS k, part,
                {pad('REF-', 'c_custkey')} || CASE WHEN part = 2 THEN '-2' ELSE '' END AS referral_id
         FROM customer CROSS JOIN (VALUES (1), (2)) AS parts(part)
-        WHERE c_mktsegment <> 'HOUSEHOLD' AND (part = 1 OR c_custkey % 8 = 0)""",
+        WHERE c_custkey % 5 <> 3 AND (part = 1 OR c_custkey % 8 = 0)""",
     "raw_rehab_referrals": f"""
         SELECT k * 2 + part - 1 AS record_id, referral_id, {pad('PAT-', 'k')} AS patient_id,
                {pick(L.PROVIDERS, 'k')} AS referring_physician, {pick(L.QUALIFYING, 'k + part')} AS qualifying_diagnosis,

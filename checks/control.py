@@ -5,10 +5,9 @@ from __future__ import annotations
 from checks import clinical
 from checks.platform import stamp
 from checks.silver import AGE_GROUP
+from checks.fixed import ROLE_EDGES, TAG_VALUES, TARGETS
 from checks.sqltext import CLINICAL_DAY, LOG_DAY, exact, pad, pick, r
 from pulsemart.catalog.control import COUNTED, READER, ROLES
-from pulsemart.plans.governance import ROLE_EDGES, TAG_VALUES
-from pulsemart.plans.quality import TARGETS
 from pulsemart.sources import lookups as L
 
 TOTAL = lambda c: f"CAST(sum({c}) AS BIGINT)"

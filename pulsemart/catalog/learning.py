@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsemart.functions import text as tx
 from pulsemart.operators.history import versions
-from pulsemart.operators.vectors import nearest
+from pulsemart.operators.vectors import MAX_PROBES, nearest
 from pulsemart.plans import embeddings as em, features as f, notes as n
 from pulsemart.plans.health import Health
 from pulsemart.sources import bridge, lookups
@@ -43,7 +43,7 @@ def _catalogue(h: Health):
 def _nearest_to_classes(h: Health):
     """Neighbours of the first vector of every class (as many probes as there are classes)."""
     corpus = bridge.star(h.spark, h.sf_dir, "embeddings")
-    firsts = corpus.groupBy("label").agg(F.min("vec_id").alias("vec_id")).collect()
+    firsts = corpus.groupBy("label").agg(F.min("vec_id").alias("vec_id")).limit(MAX_PROBES + 1).collect()
     return nearest(corpus, [r.vec_id for r in firsts], "vec_id", "embedding", 5)
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from pulsemart.operators.latest import latest_by
 
 HOT_ROWS = 5_000_000  # rows of one key that one task may sort
-MAX_SLICES = 256
 
 
 def windowed(
@@ -37,7 +36,7 @@ def windowed(
     hot = _hot_bounds(df, df if sized_by is None else sized_by, key, order, hot_rows)
     if hot is None:
         return df.withColumns(columns(Window.partitionBy(key).orderBy(*order)))
-    hot = F.broadcast(hot)  # at most rows/hot_rows keys with MAX_SLICES bounds each
+    hot = F.broadcast(hot)  # rows / hot_rows bounds at most, over all keys
     calm = df.join(hot, key, "left_anti")
     plain = calm.withColumns(columns(Window.partitionBy(key).orderBy(*order)))
     sliced = _with_carried_rows(df.join(hot, key), key, order, lookback)
@@ -52,7 +51,7 @@ def _hot_bounds(df: DataFrame, sized_by: DataFrame, key: str, order: list[str],
     are brought to the driver (bounded, see above) so that they are the same on every retry.
     """
     counted = sized_by.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
-    wanted = F.least(F.ceil(F.col("_rows") / hot_rows), F.lit(MAX_SLICES))
+    wanted = F.ceil(F.col("_rows") / hot_rows)
     hot = [(r[0], r["_rows"], r["_slices"]) for r in counted.withColumn("_slices", wanted).collect()]
     if not hot:
         return None

@@ -8,16 +8,16 @@ from pulsemart.functions.text import term_hash, words
 from pulsemart.operators.latest import latest_by
 
 DIMENSIONS = 768
-MAX_PROBES = 1000
+MAX_PROBES = 1000  # more are refused, none is dropped
 
 
 def text_vectors(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """(key, embedding): words and word pairs hashed into buckets, scaled to unit length.
 
-    Terms are counted per key and bucket with map-side combine, so at most ``dimensions``
-    rows per key and task are exchanged, however long a text is.
+    The texts are dealt by key once; counting terms and gathering cells then needs no further
+    exchange, so texts travel and not their many terms.
     """
-    hashes = df.select(key, F.transform(words(F.col(text)), term_hash).alias("w"))
+    hashes = df.select(key, text).repartition(key).select(key, F.transform(words(F.col(text)), term_hash).alias("w"))
     shorter = F.greatest(F.size("w") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("w", F.lit(1), shorter), F.slice("w", F.lit(2), shorter), lambda a, b: a * 31 + b)
     counted = (
@@ -51,9 +51,10 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    length = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return dot(a, b) / F.nullif(length, F.lit(0.0))
+def unit(vector: Column) -> Column:
+    """The vector scaled to length one; null for the zero vector."""
+    length = F.nullif(F.sqrt(dot(vector, vector)), F.lit(0.0))
+    return F.transform(vector, lambda x: x.cast("double") / length)
 
 
 def nearest(corpus: DataFrame, probe_ids: list[int], key: str, vector: str, k: int) -> DataFrame:
@@ -65,6 +66,7 @@ def nearest(corpus: DataFrame, probe_ids: list[int], key: str, vector: str, k: i
     """
     if len(probe_ids) > MAX_PROBES:
         raise ValueError(f"ask for at most {MAX_PROBES} probes at a time")
+    corpus = corpus.select(key, unit(F.col(vector)).alias(vector))
     asked = corpus.filter(F.col(key).isin(probe_ids)).agg(
         F.collect_list(F.struct(F.col(key).alias("probe_id"), F.col(vector).alias("probe")))
     )
@@ -72,6 +74,6 @@ def nearest(corpus: DataFrame, probe_ids: list[int], key: str, vector: str, k: i
         corpus.select(key, vector, F.inline(asked.scalar()))
         .filter(F.col(key) != F.col("probe_id"))
         .select("probe_id", F.col(key).alias("neighbour_id"),
-                F.round(cosine(F.col(vector), F.col("probe")), 6).alias("similarity"))
+                F.round(dot(F.col(vector), F.col("probe")), 6).alias("similarity"))
     )
     return latest_by(scored, "probe_id", [F.desc("similarity"), F.asc("neighbour_id")], k)

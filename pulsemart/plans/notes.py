@@ -33,7 +33,8 @@ def summaries(notes: DataFrame, keep: int = 3) -> DataFrame:
 
     A sentence scores the mean in-note frequency of its words, in thousandths.
     """
-    texts = notes.filter(F.col("note_text").isNotNull()).select(
+    # Notes are dealt by id once; words, scores and the cut share that partitioning.
+    texts = notes.filter(F.col("note_text").isNotNull()).select("note_id", "note_text").repartition("note_id").select(
         "note_id", tx.sentences(F.col("note_text")).alias("sentences")
     )
     used = texts.select("note_id", F.posexplode("sentences").alias("position", "sentence")).select(

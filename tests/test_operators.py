@@ -15,6 +15,7 @@ from pulsemart.operators.neighbours import windowed
 from pulsemart.operators.sampling import sample
 from pulsemart.operators.vectors import nearest, text_vectors
 from pulsemart.plans import alerts, dashboard, notes
+from pulsemart.plans.logs import Logs, recent, since_midnight
 
 
 @pytest.mark.parametrize("spread", [False, True])
@@ -64,7 +65,7 @@ def test_history_periods(spark, hot_rows):
     df = spark.createDataFrame(rows, "k string, record_id long, state string, load_timestamp timestamp_ntz")
     got = versions(df, "k", ["state"], hot_rows=hot_rows).collect()
     a = sorted((r.effective_from or dt.datetime.max, r.state, r.effective_to, r.is_current) for r in got if r.k == "a")
-    assert a == [(day(0), "x", day(2), False), (day(2), "y", None, False), (dt.datetime.max, "x", None, True)]
+    assert a == [(day(0), "x", day(2), False), (day(2), "y", None, False), (dt.datetime.max, "x", dt.datetime(9999, 12, 31), True)]
     hot = sorted((r.effective_from, r.effective_to, r.is_current) for r in got if r.k == "hot")
     assert len(hot) == 20
     assert all(one[1] == two[0] for one, two in zip(hot, hot[1:]))
@@ -130,3 +131,15 @@ def test_sentiment_bounds_and_labels(spark):
     df = spark.createDataFrame([(*r, "T", "P") for r in rows], "note_id string, note_text string, note_type string, patient_id string")
     got = {r.note_id: (r.sentiment_score, r.sentiment_label) for r in notes.sentiment(df).collect()}
     assert got == {"a": (1.0, "POSITIVE"), "b": (-1.0, "NEGATIVE"), "c": (0.0, "NEUTRAL"), "d": (0.0, "NEUTRAL")}
+
+
+def test_sample_takes_very_large_ids(spark):
+    df = spark.range(10**12, 10**12 + 200).withColumn("id", F.col("id") * 1000)
+    assert sample(df, F.col("id"), 10).count() == 10
+
+
+def test_look_back_by_days_starts_at_midnight(spark, sf_dir):
+    noon, midnight = (Logs(spark, sf_dir, f"2024-01-31 {t}") for t in ("15:30:00", "00:00:00"))
+    counted = [since_midnight(x.query_history, "start_time", x.as_of, 30, "DAY").count() for x in (noon, midnight)]
+    from_instant = recent(noon.query_history, "start_time", noon.as_of, 30, "DAY").count()
+    assert counted[0] == counted[1] >= from_instant
