@@ -35,21 +35,25 @@ _PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 _ANCHORS = pa.schema([("fp", pa.int64()), ("anchor", pa.int64())])
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The unsigned 64-bit fingerprint of a text."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; of the whole sequence if it is shorter; none without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - shingle + 1].tolist()
-    hashes = np.fromiter(
+    return np.fromiter(
         (xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1:].tolist())),
         np.uint64, len(starts),
     )
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits set in more than half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at:at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -57,6 +61,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The unsigned 64-bit fingerprint of a text."""
+    return _majority(shingle_hashes(text, shingle))
+
+
 def _prints(shingle: int):
     def run(part: dict[str, list]) -> dict[str, list]:
         prints = np.array([fingerprint(t, shingle) for t in part["text"]], np.uint64)
@@ -111,10 +120,15 @@ def _spread(offsets: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def anchors(prints: np.ndarray, extra: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of the fingerprint, anchor) for each anchor within the radius plus ``extra``; 0: the home."""
-    units, levels = _cosets(extra)
     bits = prints.view(np.uint64)
     left = (bits & np.uint64((1 << BLOCK) - 1)).astype(np.int64)
     right = (bits >> np.uint64(BLOCK) & np.uint64((1 << BLOCK) - 1)).astype(np.int64)
+    return block_anchors(left, right, extra)
+
+
+def block_anchors(left: np.ndarray, right: np.ndarray, extra: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the two blocks themselves."""
+    units, levels = _cosets(extra)
     rest_left, rest_right = _remainder(left, units), _remainder(right, units)
     rows, found = [], []
     for i in range(extra + 1):
@@ -170,9 +184,107 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Data
     )
 
 
-def one_of_each(docs: DataFrame, shingle: int, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id names its component; rows without an id stay."""
-    kept = simhash_groups(docs, shingle, max_bits).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_")).distinct()
+# ---- near copies at a similarity -----------------------------------------------------------------
+
+WIDE = 4  # 64-bit words of a wide fingerprint
+SKETCHES, SKETCH_EXTRA = 16, 1  # sketches of two blocks each, drawn from its bits; their threshold
+NEAR_BITS = 64  # of 256: pairs beyond cannot reach a similarity of 0.8 but by four standard errors
+
+_WIDE = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), *((f"w{i}", pa.int64()) for i in range(WIDE))])
+_SKETCHED = pa.schema([("key", pa.int64()), ("anchor", pa.int64())])
+_SETS = pa.schema([("key", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> list[int]:
+    """Four fingerprints from four mixings of the same shingle hashes."""
+    hashes, words = shingle_hashes(text, shingle), []
+    for i in range(WIDE):
+        mixed = hashes + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & 0xFFFFFFFFFFFFFFFF)
+        mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        words.append(_majority(mixed ^ mixed >> np.uint64(31)))
+    return words
+
+
+def _wide(shingle: int):
+    def run(part: dict[str, list]) -> dict[str, list]:
+        prints = np.array([wide_fingerprint(t, shingle) for t in part["text"]], np.uint64).reshape(-1, WIDE).view(np.int64)
+        return {"key": part["key"], "doc_id": part["doc_id"], **{f"w{i}": prints[:, i] for i in range(WIDE)}}
+
+    return run
+
+
+def _sketched(extra: int):
+    def run(parts):
+        draw, powers = np.random.default_rng(SEED), 1 << np.arange(BLOCK)
+        places = [draw.permutation(64 * WIDE)[: 2 * BLOCK] for _ in range(SKETCHES)]
+        for part in parts:
+            words = np.array([part[f"w{i}"] for i in range(WIDE)], np.int64).T.reshape(-1, WIDE)
+            keys = np.array(part["key"], np.int64)
+            for at in range(0, len(keys), SLAB):
+                some = np.ascontiguousarray(words[at:at + SLAB]).astype("<i8").view(np.uint8).reshape(-1, 8 * WIDE)
+                bits = np.unpackbits(some, axis=1, bitorder="little").astype(np.int64)
+                for number, place in enumerate(places):
+                    rows, found = block_anchors(bits[:, place[:BLOCK]] @ powers, bits[:, place[BLOCK:]] @ powers, extra)
+                    yield {"key": keys[at:at + SLAB][rows], "anchor": number << 2 * BLOCK | found}
+
+    return run
+
+
+def _shingle_sets(shingle: int):
+    def run(part: dict[str, list]) -> dict[str, list]:
+        return {"key": part["key"], "shingles": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in part["text"]]}
+
+    return run
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id of every row: texts are linked at a Jaccard similarity of their shingles.
+
+    A threshold of a few bits cannot reach a similarity of 0.8, so sketches of 46 bits are drawn
+    from a wide fingerprint and each is covered with anchors as above. At an anchor a replica is a
+    candidate with the lowest and the highest home only, never with all, so a large group of near
+    copies gives rows in proportion to its size. Candidates near in all 256 bits are compared on
+    their shingles exactly. Texts with equal wide fingerprints are one class. The links are exact;
+    that a pair is met at all has a probability, some 0.95 at a similarity of 0.9 and more beyond.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    words = [f"w{i}" for i in range(WIDE)]
+    prints = common.stored(common.map_arrow(rows.select("key", "doc_id", "text"), common.per_batch(_wide(shingle), _WIDE), _WIDE), "wide")
+    classes = common.stored(prints.groupBy(*words).agg(F.min("doc_id").alias("rep"), F.min("key").alias("key")), "wide-classes")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = classes.select("key", *words).repartition(tasks, "key")
+    homes = common.map_arrow(spread, common.batches(_sketched(0), _SKETCHED), _SKETCHED)
+    copies = common.map_arrow(spread, common.batches(_sketched(SKETCH_EXTRA), _SKETCHED), _SKETCHED)
+    hubs = homes.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    met = copies.join(hubs, "anchor").where("low <> key OR high <> key").select(
+        "key", F.explode(F.array_distinct(F.array("low", "high"))).alias("hub")
+    ).where("key <> hub")
+    pairs = met.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+    bits = {side: classes.select(F.col("key").alias(side), *(F.col(w).alias(f"{side}_{w}") for w in words)) for side in "ab"}
+    apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
+    near = common.stored(pairs.join(bits["a"], "a").join(bits["b"], "b").where(apart <= NEAR_BITS).select("a", "b"), "near")
+
+    wanted = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
+    texts = rows.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    sets = common.stored(common.map_arrow(texts, common.per_batch(_shingle_sets(shingle), _SETS), _SETS), "shingle-sets")
+    both = near.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b"
+    )
+    shared = F.size(F.array_intersect("x", "y"))
+    links = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+    groups = common.components(links)
+    members = classes.join(groups, classes.key == groups.node, "left").select(*words, "rep", F.coalesce("component", "key").alias("component"))
+    named = members.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_class = common.stored(members.join(named, "component").select(*words, "component_id"), "named")
+    return prints.join(by_class, words).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id names its group of near copies; rows without an id stay."""
+    groups = similar_groups(docs, shingle, similarity)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_")).distinct()
     named = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept_"), "left_semi")
     return named.unionByName(docs.where("doc_id is null"))
 

@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from pulsemart.llm import common, simhash
+from tests.llm.conftest import DOCS, rows
 
 
 def brute_print(text, n=3):
@@ -83,3 +84,59 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 5 for i in range(200, 260))
     assert got[301] == got[300] == 300 and 7 not in got
+
+
+def shingles(text, n):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def similar_components(texts, n, similarity):
+    sets, parent = [shingles(t, n) for t in texts], list(range(len(texts)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if small >= similarity * large:
+                both = len(sets[i] & sets[j])
+                if both >= similarity * (small + large - both):
+                    a, b = sorted((top(i), top(j)))
+                    parent[b] = a
+    return [top(i) for i in range(len(texts))]
+
+
+def near_copies(seed, n=40):
+    rng = random.Random(seed)
+    out = [None, "", " "]
+    for i in range(n):
+        words = [f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+        out.append(" ".join(words))
+        for _ in range(rng.randint(0, 4)):  # one changed word: similarity of 0.84 and more
+            copy = list(words)
+            copy[rng.randrange(len(copy))] = "other"
+            out.append(" ".join(copy))
+        if rng.random() < 0.5:  # every tenth word changed: far below
+            out.append(" ".join("x" if k % 10 == 0 else w for k, w in enumerate(words)))
+    return out
+
+
+def test_near_copies_are_met_and_others_left_alone(spark):
+    texts = near_copies(8)
+    df = spark.createDataFrame(rows(texts), DOCS)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    top = similar_components(texts, 5, 0.8)
+    assert set(got) == set(range(len(texts)))
+    assert all(top[i] == top[got[i]] for i in got)  # no link that is not there
+    copies = [i for i in got if top[i] != i]
+    assert sum(got[i] != i for i in copies) >= 0.95 * len(copies)
+    assert got[0] == got[1] == got[2] == 0
+
+
+def test_similar_groups_of_odd_tables(odd, empty):
+    assert simhash.similar_groups(odd).count() == odd.count()
+    assert simhash.similar_groups(empty).collect() == []
