@@ -1,9 +1,9 @@
 """Soft-membership mixing: document rates that bring expected domain totals to target weights.
 
 The domains come from the table of labels: ``low`` (quality 0), ``toxic`` (toxic 1) and ``clean``.
-Words that speak for a domain are found from document counts over all labelled rows; a softmax
-classifier over the ``WORDS`` best of them and measures of the whole text is fitted on at most
-``SAMPLE_ROWS`` labelled rows and gives every document a posterior for each domain. Rates
+A softmax classifier is fitted on at most ``SAMPLE_ROWS`` labelled rows, chosen by id hash and taken
+whole: over the ``WORDS`` words whose share of documents there differs most between the domains, and
+measures of the text. It gives every document a posterior for each domain. Rates
 r >= 0 minimise
 
     1/2 sum_k ((sum_d r_d t_d p_dk - w_k T) / t)^2 + RIDGE/2 sum_d (t_d / t) (r_d - 1)^2
@@ -37,7 +37,7 @@ from pulsemart.llm.quality import measures
 
 DOMAINS = ["clean", "low", "toxic"]
 TARGETS = {"clean": 0.90, "low": 0.05, "toxic": 0.05}
-SAMPLE_ROWS, WORDS, LEAST_USES = 6000, 400, 5
+SAMPLE_ROWS, WORDS, LEAST_USES = 12_000, 400, 5
 FIT_STEPS, FIT_RIDGE = 300, 1e-4
 STEPS, RIDGE = 40, 1e-3
 
@@ -131,12 +131,14 @@ def _softmax(margins: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
-    """Fits the domain classifier on the labelled rows of ``docs``."""
+    """Fits the domain classifier on a bounded sample of the labelled rows of ``docs``, taken whole."""
     marked = labels.select(
         F.col("doc_id").cast("long").alias("doc_id"), domain_of(F.col("quality"), F.col("toxic")).cast("int").alias("domain")
     ).where("domain is not null AND doc_id is not null").distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = common.stored(rows.join(marked, "doc_id"), "labelled")
+    present = marked.join(rows.select("doc_id"), "doc_id", "left_semi")
+    chosen = common.stored(present.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(sample_rows), "chosen")
+    known = common.stored(rows.join(F.broadcast(chosen), "doc_id").select("domain", "text"), "labelled")  # ``sample_rows`` ids
     counted = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     sizes = [counted.get(k, 0) for k in range(len(DOMAINS))]
     words = speaking_words(known, sizes) if sum(s > 0 for s in sizes) > 1 else []
@@ -145,9 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
     def sampled(part: dict[str, list]) -> dict[str, list]:
         return {"domain": part["domain"], "features": [empty.features(t).astype(np.float32).tobytes() for t in part["text"]]}
 
-    ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = known.join(F.broadcast(ids), "doc_id", "left_semi").select("domain", "text")  # at most ``sample_rows`` ids
-    found = common.map_arrow(texts, common.per_batch(sampled, _SAMPLED), _SAMPLED).toArrow().to_pydict()
+    found = common.map_arrow(known, common.per_batch(sampled, _SAMPLED), _SAMPLED).toArrow().to_pydict()
     order = sorted(range(len(found["domain"])), key=lambda i: (found["features"][i], found["domain"][i]))
     x = np.frombuffer(b"".join(found["features"][i] for i in order), np.float32).reshape(-1, len(empty.features(None))).astype(float)
     return empty.fit(x, np.array([found["domain"][i] for i in order], np.int64))
