@@ -188,7 +188,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Data
 
 WIDE = 4  # 64-bit words of a wide fingerprint
 SKETCHES, SKETCH_EXTRA = 16, 1  # sketches of two blocks each, drawn from its bits; their threshold
-NEAR_BITS = 64  # of 256: pairs beyond cannot reach a similarity of 0.8 but by four standard errors
+NEAR_BITS, LIKELY_BITS = 56, 36  # of 256: three standard errors above what a similarity of 0.8 gives; likely above it
 
 _WIDE = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), *((f"w{i}", pa.int64()) for i in range(WIDE))])
 _SKETCHED = pa.schema([("key", pa.int64()), ("anchor", pa.int64())])
@@ -243,8 +243,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
 
     A threshold of a few bits cannot reach a similarity of 0.8, so sketches of 46 bits are drawn
     from a wide fingerprint and each is covered with anchors as above. At an anchor a replica is a
-    candidate with the lowest and the highest home only, never with all, so a large group of near
-    copies gives rows in proportion to its size. Candidates near in all 256 bits are compared on
+    candidate with the lowest home only, never with all, so a large group of near copies gives rows
+    in proportion to its size. Candidates near in all 256 bits are compared on
     their shingles exactly. Texts with equal wide fingerprints are one class. The links are exact;
     that a pair is met at all has a probability, some 0.95 at a similarity of 0.9 and more beyond.
     """
@@ -256,25 +256,40 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     spread = classes.select("key", *words).repartition(tasks, "key")
     homes = common.map_arrow(spread, common.batches(_sketched(0), _SKETCHED), _SKETCHED)
     copies = common.map_arrow(spread, common.batches(_sketched(SKETCH_EXTRA), _SKETCHED), _SKETCHED)
-    hubs = homes.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    met = copies.join(hubs, "anchor").where("low <> key OR high <> key").select(
-        "key", F.explode(F.array_distinct(F.array("low", "high"))).alias("hub")
-    ).where("key <> hub")
-    pairs = met.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+    hubs = homes.groupBy("anchor").agg(F.min("key").alias("b"))
+    pairs = copies.join(hubs, "anchor").where("b <> key").select(F.col("key").alias("a"), "b").distinct()
     bits = {side: classes.select(F.col("key").alias(side), *(F.col(w).alias(f"{side}_{w}") for w in words)) for side in "ab"}
     apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
-    near = common.stored(pairs.join(bits["a"], "a").join(bits["b"], "b").where(apart <= NEAR_BITS).select("a", "b"), "near")
+    near = pairs.join(bits["a"], "a").join(bits["b"], "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= NEAR_BITS)
+    near = common.stored(near, "near")
 
     wanted = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
     texts = rows.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
     sets = common.stored(common.map_arrow(texts, common.per_batch(_shingle_sets(shingle), _SETS), _SETS), "shingle-sets")
-    both = near.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b"
-    )
-    shared = F.size(F.array_intersect("x", "y"))
-    links = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
-    groups = common.components(links)
+    def compared(candidates: DataFrame) -> DataFrame:
+        both = candidates.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(
+            sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b"
+        )
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+    # First the closest candidate of each class and the lowest that is likely to hold; then all
+    # candidates whose classes these have not brought together yet.
+    best = near.groupBy("a").agg(
+        F.min(F.struct("apart", "b")).getField("b").alias("closest"), F.min(F.when(F.col("apart") <= LIKELY_BITS, F.col("b"))).alias("likely")
+    )
+    first = common.stored(
+        best.select("a", F.explode(F.array_distinct(F.array_compact(F.array("closest", "likely")))).alias("b")), "first"
+    )
+    found = common.stored(common.components(compared(first)), "found")
+    side = {x: found.select(F.col("node").alias(x), F.col("component").alias(f"{x}_in")) for x in "ab"}
+    rest = near.join(side["a"], "a", "left").join(side["b"], "b", "left").where(
+        F.coalesce("a_in", "a") != F.coalesce("b_in", "b")
+    ).select("a", "b").join(first, ["a", "b"], "left_anti")
+    groups = common.components(
+        compared(rest).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    )
     members = classes.join(groups, classes.key == groups.node, "left").select(*words, "rep", F.coalesce("component", "key").alias("component"))
     named = members.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = common.stored(members.join(named, "component").select(*words, "component_id"), "named")
