@@ -186,54 +186,74 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Data
 
 # ---- near copies at a similarity -----------------------------------------------------------------
 
-WIDE = 4  # 64-bit words of a wide fingerprint
-SKETCHES, SKETCH_EXTRA = 16, 1  # sketches of two blocks each, drawn from its bits; their threshold
-NEAR_BITS, LIKELY_BITS = 56, 36  # of 256: three standard errors above what a similarity of 0.8 gives; likely above it
-
-_WIDE = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), *((f"w{i}", pa.int64()) for i in range(WIDE))])
-_SKETCHED = pa.schema([("key", pa.int64()), ("anchor", pa.int64())])
+COMMON_ROWS, COMMON_LEAST, COMMON_SHINGLES = 10_000, 3, 50_000  # sample that orders the common shingles; how many at most
+CLOSE = 1e-9  # room for rounding where a bound is a product with the similarity
+
+_SET_ROWS = pa.schema([
+    ("key", pa.int64()), ("doc_id", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("size", pa.int32()),
+    ("prefix", pa.list_(pa.int64())),
+])
+_SHINGLES = pa.schema([("shingle", pa.int64())])
 _SETS = pa.schema([("key", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> list[int]:
-    """Four fingerprints from four mixings of the same shingle hashes."""
-    hashes, words = shingle_hashes(text, shingle), []
-    for i in range(WIDE):
-        mixed = hashes + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & 0xFFFFFFFFFFFFFFFF)
-        mixed = (mixed ^ mixed >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        words.append(_majority(mixed ^ mixed >> np.uint64(31)))
-    return words
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes, ascending."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def in_order(shingles: np.ndarray, common_ones: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """An ascending set with the shingles of ``common_ones`` (ascending) put last, by rank."""
+    if not len(common_ones) or not len(shingles):
+        return shingles
+    at = np.minimum(np.searchsorted(common_ones, shingles), len(common_ones) - 1)
+    return shingles[np.argsort(np.where(common_ones[at] == shingles, ranks[at] + 1, 0), kind="stable")]
+
 
+def prefix_length(size: int, similarity: float) -> int:
+    """Two sets at the similarity share one of so many first shingles, in whichever order is common to both."""
+    return size - int(np.ceil(similarity * size - CLOSE)) + 1 if size else 0
 
-def _wide(shingle: int):
+
+def _set_rows(shingle: int, similarity: float, common_ones: np.ndarray, ranks: np.ndarray):
     def run(part: dict[str, list]) -> dict[str, list]:
-        prints = np.array([wide_fingerprint(t, shingle) for t in part["text"]], np.uint64).reshape(-1, WIDE).view(np.int64)
-        return {"key": part["key"], "doc_id": part["doc_id"], **{f"w{i}": prints[:, i] for i in range(WIDE)}}
+        sets = [shingle_set(t, shingle) for t in part["text"]]
+        named = np.array([[xxhash.xxh64_intdigest(s.tobytes(), seed) for seed in (SEED, SEED + 1)] for s in sets], np.uint64)
+        named = named.reshape(-1, 2).view(np.int64)
+        return {
+            "key": part["key"], "doc_id": part["doc_id"], "set_a": named[:, 0], "set_b": named[:, 1], "size": [len(s) for s in sets],
+            "prefix": [in_order(s, common_ones, ranks)[:prefix_length(len(s), similarity)].view(np.int64) for s in sets],
+        }
 
     return run
 
 
-def _sketched(extra: int):
+def _all_shingles(shingle: int):
     def run(parts):
-        draw, powers = np.random.default_rng(SEED), 1 << np.arange(BLOCK)
-        places = [draw.permutation(64 * WIDE)[: 2 * BLOCK] for _ in range(SKETCHES)]
         for part in parts:
-            words = np.array([part[f"w{i}"] for i in range(WIDE)], np.int64).T.reshape(-1, WIDE)
-            keys = np.array(part["key"], np.int64)
-            for at in range(0, len(keys), SLAB):
-                some = np.ascontiguousarray(words[at:at + SLAB]).astype("<i8").view(np.uint8).reshape(-1, 8 * WIDE)
-                bits = np.unpackbits(some, axis=1, bitorder="little").astype(np.int64)
-                for number, place in enumerate(places):
-                    rows, found = block_anchors(bits[:, place[:BLOCK]] @ powers, bits[:, place[BLOCK:]] @ powers, extra)
-                    yield {"key": keys[at:at + SLAB][rows], "anchor": number << 2 * BLOCK | found}
+            for text in part["text"]:
+                yield {"shingle": shingle_set(text, shingle).view(np.int64)}
 
     return run
 
 
+def common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles common in a sample of ``rows`` (key, text), ascending, and their ranks, rarest first.
+
+    Which shingles are found decides how long the lists of the join are, not what it finds.
+    """
+    share = COMMON_ROWS / max(COMMON_ROWS, rows.count())
+    some = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("text")
+    counted = common.map_arrow(some, common.batches(_all_shingles(shingle), _SHINGLES), _SHINGLES).groupBy("shingle").agg(F.count("*").alias("n"))
+    found = counted.where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "shingle").limit(COMMON_SHINGLES).collect()
+    values = np.array([r["shingle"] for r in reversed(found)], np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], np.arange(len(values))[order]
+
+
 def _shingle_sets(shingle: int):
     def run(part: dict[str, list]) -> dict[str, list]:
-        return {"key": part["key"], "shingles": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in part["text"]]}
+        return {"key": part["key"], "shingles": [shingle_set(t, shingle).view(np.int64) for t in part["text"]]}
 
     return run
 
@@ -241,59 +261,78 @@ def _shingle_sets(shingle: int):
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id of every row: texts are linked at a Jaccard similarity of their shingles.
 
-    A threshold of a few bits cannot reach a similarity of 0.8, so sketches of 46 bits are drawn
-    from a wide fingerprint and each is covered with anchors as above. At an anchor a replica is a
-    candidate with the lowest home only, never with all, so a large group of near copies gives rows
-    in proportion to its size. Candidates near in all 256 bits are compared on
-    their shingles exactly. Texts with equal wide fingerprints are one class. The links are exact;
-    that a pair is met at all has a probability, some 0.95 at a similarity of 0.9 and more beyond.
+    Every link is found and none that is not there: all shingles have one order, rare ones first,
+    and two sets at the similarity share one of their first shingles (``prefix_length``). Equal sets
+    are one class. Classes are first compared with one class of like size per shared shingle, then
+    one class of each group with those of other groups, then every pair that shares a first shingle
+    and is not in one group yet; pairs within a group change nothing. So a large group of near copies
+    gives rows in proportion to its size.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
-    words = [f"w{i}" for i in range(WIDE)]
-    prints = common.stored(common.map_arrow(rows.select("key", "doc_id", "text"), common.per_batch(_wide(shingle), _WIDE), _WIDE), "wide")
-    classes = common.stored(prints.groupBy(*words).agg(F.min("doc_id").alias("rep"), F.min("key").alias("key")), "wide-classes")
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = classes.select("key", *words).repartition(tasks, "key")
-    homes = common.map_arrow(spread, common.batches(_sketched(0), _SKETCHED), _SKETCHED)
-    copies = common.map_arrow(spread, common.batches(_sketched(SKETCH_EXTRA), _SKETCHED), _SKETCHED)
-    hubs = homes.groupBy("anchor").agg(F.min("key").alias("b"))
-    pairs = copies.join(hubs, "anchor").where("b <> key").select(F.col("key").alias("a"), "b").distinct()
-    bits = {side: classes.select(F.col("key").alias(side), *(F.col(w).alias(f"{side}_{w}") for w in words)) for side in "ab"}
-    apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
-    near = pairs.join(bits["a"], "a").join(bits["b"], "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= NEAR_BITS)
-    near = common.stored(near, "near")
-
-    wanted = near.select(F.col("a").alias("key")).unionByName(near.select(F.col("b").alias("key"))).distinct()
-    texts = rows.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    sets = common.stored(common.map_arrow(texts, common.per_batch(_shingle_sets(shingle), _SETS), _SETS), "shingle-sets")
+    make = _set_rows(shingle, similarity, *common_shingles(rows.select("key", "text"), shingle))
+    prints = common.stored(common.map_arrow(rows.select("key", "doc_id", "text"), common.per_batch(make, _SET_ROWS), _SET_ROWS), "sets")
+    equal = ["set_a", "set_b", "size"]
+    classes = common.stored(prints.groupBy(*equal).agg(F.min("doc_id").alias("rep"), F.min("key").alias("key")), "classes")
+
+    firsts = prints.select("key", "size", "prefix").join(classes.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    firsts = firsts.select("key", "size", F.posexplode("prefix").alias("at", "shingle"))
+    several = firsts.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
+    listed = common.stored(firsts.join(several.select("shingle"), "shingle", "left_semi"), "listed")
+
+    def possible(x: str, y: str):
+        """Both sets are long enough after the shingle they share; it holds for the first one that similar sets share."""
+        least = F.lit(similarity / (1 + similarity)) * (F.col(f"{x}.size") + F.col(f"{y}.size")) - F.lit(CLOSE)
+        return F.least(F.col(f"{x}.size") - F.col(f"{x}.at"), F.col(f"{y}.size") - F.col(f"{y}.at")) >= least
 
     def compared(candidates: DataFrame) -> DataFrame:
+        candidates = common.stored(candidates, "candidates")
+        wanted = candidates.select(F.col("a").alias("key")).unionByName(candidates.select(F.col("b").alias("key"))).distinct()
+        texts = rows.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+        sets = common.stored(common.map_arrow(texts, common.per_batch(_shingle_sets(shingle), _SETS), _SETS), "shingle-sets")
         both = candidates.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(
             sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b"
         )
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
-    # First the closest candidate of each class and the lowest that is likely to hold; then all
-    # candidates whose classes these have not brought together yet.
-    best = near.groupBy("a").agg(
-        F.min(F.struct("apart", "b")).getField("b").alias("closest"), F.min(F.when(F.col("apart") <= LIKELY_BITS, F.col("b"))).alias("likely")
-    )
-    first = common.stored(
-        best.select("a", F.explode(F.array_distinct(F.array_compact(F.array("closest", "likely")))).alias("b")), "first"
-    )
-    found = common.stored(common.components(compared(first)), "found")
-    side = {x: found.select(F.col("node").alias(x), F.col("component").alias(f"{x}_in")) for x in "ab"}
-    rest = near.join(side["a"], "a", "left").join(side["b"], "b", "left").where(
-        F.coalesce("a_in", "a") != F.coalesce("b_in", "b")
-    ).select("a", "b").join(first, ["a", "b"], "left_anti")
-    groups = common.components(
-        compared(rest).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    )
-    members = classes.join(groups, classes.key == groups.node, "left").select(*words, "rep", F.coalesce("component", "key").alias("component"))
+    def grouped(candidates: DataFrame, found: DataFrame | None = None) -> DataFrame:
+        links = compared(candidates)
+        if found is not None:
+            links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return common.stored(common.components(links), "found")
+
+    def apart(found: DataFrame) -> DataFrame:
+        """``listed`` with groups, without the shingles that one group has alone."""
+        named = listed.join(found, listed.key == found.node, "left").select(
+            "shingle", "key", "size", "at", F.coalesce("component", "key").alias("component")
+        )
+        mixed = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        return common.stored(named.join(mixed.select("shingle"), "shingle", "left_semi"), "apart")
+
+    # One class of like size per shingle, and of these the one met most often.
+    sized = listed.withColumn("band", F.floor(F.log("size") / F.lit(-np.log(similarity))))
+    hubs = sized.groupBy("shingle", "band").agg(F.min("key").alias("b"))
+    met = sized.join(hubs, ["shingle", "band"]).where("key <> b").groupBy(F.col("key").alias("a"), "b").agg(F.count("*").alias("n"))
+    found = grouped(met.groupBy("a").agg(F.max(F.struct("n", "b")).getField("b").alias("b")))
+
+    # One class of each group per shingle against that of the lowest group there.
+    ones = apart(found).groupBy("shingle", "component").agg(F.min(F.struct("key", "size", "at")).alias("one")).select("shingle", "component", "one.*")
+    lowest = ones.groupBy("shingle").agg(F.min(F.struct("component", "key", "size", "at")).alias("one")).select("shingle", "one.*")
+    met = ones.alias("x").join(lowest.alias("y"), "shingle").where((F.col("x.component") != F.col("y.component")) & possible("x", "y"))
+    met = met.groupBy(F.col("x.component").alias("c"), F.col("y.component").alias("d")).agg(F.min(F.struct(F.col("x.key").alias("a"), F.col("y.key").alias("b"))).alias("p"))
+    found = grouped(met.select("p.a", "p.b"), found)
+
+    # Every pair that is left.
+    left = apart(found)
+    pairs = left.alias("x").join(
+        left.alias("y"),
+        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & possible("x", "y"),
+    ).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    groups = grouped(pairs, found)
+    members = classes.join(groups, classes.key == groups.node, "left").select(*equal, "rep", F.coalesce("component", "key").alias("component"))
     named = members.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_class = common.stored(members.join(named, "component").select(*words, "component_id"), "named")
-    return prints.join(by_class, words).select("doc_id", "component_id")
+    by_class = common.stored(members.join(named, "component").select(*equal, "component_id"), "named")
+    return prints.join(by_class, equal).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

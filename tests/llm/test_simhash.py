@@ -140,3 +140,26 @@ def test_near_copies_are_met_and_others_left_alone(spark):
 def test_similar_groups_of_odd_tables(odd, empty):
     assert simhash.similar_groups(odd).count() == odd.count()
     assert simhash.similar_groups(empty).collect() == []
+
+
+def test_every_near_copy_is_linked(spark):
+    """Copies at the threshold, in chains and in one large group: no link is missed."""
+    rng = random.Random(11)
+    texts = near_copies(12)
+    for gap in (45, 50, 60, 75):  # every so many words one is changed: similarities just above and below 0.8
+        for _ in range(25):
+            words = [f"w{rng.randrange(9000)}" for _ in range(300)]
+            texts += [" ".join(words), " ".join("x" if k % gap == 7 else w for k, w in enumerate(words))]
+    words = [f"g{i}" for i in range(120)]
+    for i in range(200):
+        copy = list(words)
+        for k in rng.sample(range(120), rng.randint(0, 3)):
+            copy[k] = f"n{i}"
+        texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows(texts), DOCS)).collect()}
+    top, lowest = similar_components(texts, 5, 0.8), {}
+    for i, t in enumerate(top):
+        lowest.setdefault(t, i)
+    assert got == {i: lowest[t] for i, t in enumerate(top)}
+    assert len(set(got.values())) < len(texts) - 200
