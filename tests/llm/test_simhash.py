@@ -163,3 +163,10 @@ def test_every_near_copy_is_linked(spark):
         lowest.setdefault(t, i)
     assert got == {i: lowest[t] for i, t in enumerate(top)}
     assert len(set(got.values())) < len(texts) - 200
+
+
+def test_one_repeated_shingle_makes_no_class(spark):
+    """Texts that share only a line filling more than half of each are different documents."""
+    texts = ["go " * 200 + " ".join(f"t{i}w{k}" for k in range(60)) for i in range(6)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows(texts), DOCS)).collect()}
+    assert got == {i: i for i in range(len(texts))}
