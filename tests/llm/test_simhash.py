@@ -170,3 +170,12 @@ def test_one_repeated_shingle_makes_no_class(spark):
     texts = ["go " * 200 + " ".join(f"t{i}w{k}" for k in range(60)) for i in range(6)]
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows(texts), DOCS)).collect()}
     assert got == {i: i for i in range(len(texts))}
+
+
+def test_a_repeated_passage_does_not_hide_a_copy(spark):
+    texts = []
+    for i in range(6):
+        words = [f"t{i}w{k}" for k in range(124)]
+        texts += [" ".join(words), " ".join(words[:40] + words[40:59] * 20 + words[59:])]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows(texts), DOCS)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
