@@ -6,13 +6,14 @@ whole: over the ``WORDS`` words whose share of documents there differs most betw
 measures of the text. It gives every document a posterior for each domain. Rates
 r >= 0 minimise
 
-    1/2 sum_k ((sum_d r_d t_d p_dk - w_k T) / t)^2 + RIDGE/2 sum_d (t_d / t) (r_d - 1)^2
+    1/2 sum_k ((sum_d r_d t_d p_dk - w_k T) / t)^2 + ridge/2 sum_d (t_d / t) (r_d - 1)^2
 
-with t_d the words of a document, t those of all, p_dk the posteriors and w_k T the targets. Projected
-gradient steps with momentum run over the whole table: a step needs only the K residuals, so the
-rate of a document follows from its own posteriors and the list of residuals so far, and every step
-is one pass that returns K sums. T is set so that the domain with the largest weight is neither
-thinned nor repeated.
+with t_d the words of a document, t those of all, p_dk the posteriors and w_k T the targets; the ridge
+is ``RIDGE`` of the smallest share that a domain has or shall get, so rare domains reach theirs too. At
+the minimum r_d = max(0, 1 - p_d m) with one multiplier m_k per domain, which solves a convex problem
+in K unknowns: every Newton step is one pass over the whole table that returns sums for a few step
+lengths, until the gradient stands below ``TOLERANCE`` of that smallest share or no step lowers the
+objective. T is set so that the domain with the largest weight is neither thinned nor repeated.
 
 A rate becomes whole copies: its integer part, and one more where the hash of the id falls below the
 fraction, so expected totals are kept.
@@ -39,13 +40,13 @@ DOMAINS = ["clean", "low", "toxic"]
 TARGETS = {"clean": 0.90, "low": 0.05, "toxic": 0.05}
 SAMPLE_ROWS, WORDS, LEAST_USES = 12_000, 400, 5
 FIT_STEPS, FIT_RIDGE = 300, 1e-4
-STEPS, RIDGE = 40, 1e-3
+RIDGE, TOLERANCE, HALVINGS = 1e-3, 1e-6, 12
 
 _EDGES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _USES = pa.schema([("domain", pa.int32()), ("word", pa.string())])
 _SAMPLED = pa.schema([("domain", pa.int32()), ("features", pa.binary())])
 _POSTERIOR = pa.schema([("doc_id", pa.int64()), ("tokens", pa.int64()), *((f"p_{d}", pa.float64()) for d in DOMAINS)])
-_SUMS = pa.schema([(f"s_{d}", pa.float64()) for d in DOMAINS])
+_SUMS = pa.schema([("step", pa.int32()), ("nth", pa.int32()), ("value", pa.float64())])
 _RATED = _POSTERIOR.append(pa.field("rate", pa.float64()))
 
 
@@ -171,58 +172,79 @@ def _domains(part: Mapping[str, list]) -> np.ndarray:
     return np.array([part[f"p_{d}"] for d in DOMAINS], np.float64).reshape(len(DOMAINS), -1).T
 
 
-def _pull(p: np.ndarray, residual: np.ndarray) -> np.ndarray:
-    return p[:, 0] * residual[0] + p[:, 1] * residual[1] + p[:, 2] * residual[2]
+def rates_after(p: np.ndarray, multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, the same before the bound) of documents with posteriors p."""
+    free = 1 - p @ multipliers
+    return np.maximum(0, free), free
 
 
-def rates_after(p: np.ndarray, residuals: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, point of the next gradient) of documents with posteriors p after the steps so far."""
-    rate = ahead = np.ones(len(p))
-    for step, residual in enumerate(residuals):
-        new = np.maximum(0, ahead - (_pull(p, residual) + RIDGE * (ahead - 1)) / (1 + RIDGE))
-        ahead, rate = new + step / (step + 3) * (new - rate), new
-    return rate, ahead
+def _totals(trials: np.ndarray):
+    """Per row of ``trials`` (multipliers): half the squared rates, the domains' words, their products where the rate is free."""
 
-
-def _totals(residuals: list[np.ndarray]):
     def run(parts):
-        sums = np.zeros(len(DOMAINS))
+        sums = np.zeros((len(trials), 1 + len(DOMAINS) + len(DOMAINS) ** 2))
         for part in parts:
-            p = _domains(part)
-            sums += (rates_after(p, residuals)[1] * np.array(part["tokens"], np.float64)) @ p
-        yield {f"s_{d}": [sums[k]] for k, d in enumerate(DOMAINS)}
+            p, tokens = _domains(part), np.array(part["tokens"], np.float64)[:, None]
+            rate, free = rates_after(p, trials.T)
+            squares = (p[:, :, None] * p[:, None, :]).reshape(len(p), -1)
+            sums[:, 0] += (tokens * rate**2 / 2).sum(0)
+            sums[:, 1:1 + len(DOMAINS)] += (tokens * rate).T @ p
+            sums[:, 1 + len(DOMAINS):] += (tokens * (free > 0)).T @ squares
+        step, nth = np.indices(sums.shape)
+        yield {"step": step.ravel(), "nth": nth.ravel(), "value": sums.ravel()}
 
     return run
 
 
-def fit_rates(scored: DataFrame, targets: Mapping[str, float]) -> list[np.ndarray]:
-    """The residuals of every step; ``rates_after`` turns them into the rate of any document."""
+def fit_rates(scored: DataFrame, targets: Mapping[str, float]) -> np.ndarray:
+    """The multipliers; ``rates_after`` turns them into the rate of any document."""
+    k = len(DOMAINS)
 
-    def totals(residuals):
-        sums = common.map_arrow(scored.drop("doc_id"), common.batches(_totals(residuals), _SUMS), _SUMS)
-        row = sums.agg(*(F.sum(f"s_{d}") for d in DOMAINS)).first()  # one row per partition
-        return np.array([x or 0.0 for x in row])
+    def totals(trials):
+        sums = common.map_arrow(scored.drop("doc_id"), common.batches(_totals(trials), _SUMS), _SUMS)
+        out = np.zeros((len(trials), 1 + k + k * k))
+        for row in sums.groupBy("step", "nth").agg(F.sum("value").alias("value")).collect():  # a few sums per trial
+            out[row["step"], row["nth"]] = row["value"]
+        return out
 
-    plain = totals([])
-    weights = np.array([max(0.0, targets.get(d, 0.0)) if plain[k] > 0 else 0.0 for k, d in enumerate(DOMAINS)])
+    best = np.zeros(k)
+    state = totals(best[None])[0]
+    plain = state[1:1 + k]
+    weights = np.array([max(0.0, targets.get(d, 0.0)) if plain[i] > 0 else 0.0 for i, d in enumerate(DOMAINS)])
     if not weights.sum():
-        return []
+        return best
     weights = weights / weights.sum()
     main = int(weights.argmax())
-    wanted, tokens = weights * plain[main] / weights[main], plain.sum()
-    residuals: list[np.ndarray] = [(plain - wanted) / tokens]
-    for _ in range(STEPS - 1):
-        residuals.append((totals(residuals) - wanted) / tokens)
-    return residuals
+    tokens = plain.sum()
+    wanted = weights * plain[main] / weights[main] / tokens
+    shares = np.r_[plain / tokens, wanted]
+    least = shares[shares > 0].min()
+    ridge = RIDGE * least
+
+    def objective(sums, at):
+        return sums[0] / tokens + at @ wanted + ridge / 2 * at @ at
+
+    while True:
+        slope = wanted + ridge * best - state[1:1 + k] / tokens
+        if np.abs(slope).max() <= TOLERANCE * least:
+            return best
+        step = np.linalg.solve(state[1 + k:].reshape(k, k) / tokens + ridge * np.eye(k), slope)
+        trials = np.array([best - step / 2**i for i in range(HALVINGS)])
+        found = totals(trials)
+        values = [objective(sums, at) for sums, at in zip(found, trials)]
+        lowest = int(np.argmin(values))
+        if not values[lowest] < objective(state, best):
+            return best  # no step is lower: as near as the sums are exact
+        best, state = trials[lowest], found[lowest]
 
 
 def document_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
     """doc_id, tokens, posteriors, rate, copies for every row of ``docs``."""
     scored = common.stored(posteriors(docs, fit(docs, labels)), "posteriors")
-    residuals = fit_rates(scored, targets)
+    multipliers = fit_rates(scored, targets)
 
     def rated(part: dict[str, list]) -> dict[str, list]:
-        return {**part, "rate": rates_after(_domains(part), residuals)[0]}
+        return {**part, "rate": rates_after(_domains(part), multipliers)[0]}
 
     with_rates = common.map_arrow(scored, common.per_batch(rated, _RATED), _RATED)
     return with_rates.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
@@ -237,12 +259,12 @@ def copies(rate, doc_id):
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], repeat: bool = True) -> DataFrame:
     """The rows of ``docs``, all columns, as often as their copies say; ``repeat=False``: once at most."""
     model = fit(docs, labels)
-    residuals = fit_rates(common.stored(posteriors(docs, model), "posteriors"), targets)
+    multipliers = fit_rates(common.stored(posteriors(docs, model), "posteriors"), targets)
     rate_type = pa.float64()
 
     def run(parts):
         for part in parts:
-            rates = rates_after(model.posteriors(part.column("text").to_pylist()), residuals)[0]
+            rates = rates_after(model.posteriors(part.column("text").to_pylist()), multipliers)[0]
             yield part.append_column("_rate_", pa.array(rates, type=rate_type))
 
     from pyspark.sql.types import DoubleType, StructType
