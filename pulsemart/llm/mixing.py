@@ -10,7 +10,7 @@ r >= 0 minimise
 
 with t_d the words of a document, t those of all, p_dk the posteriors and w_k T the targets; the ridge
 is ``RIDGE`` of the smallest share that a domain has or shall get, so rare domains reach theirs too. At
-the minimum r_d = max(0, 1 - p_d m) with one multiplier m_k per domain, which solves a convex problem
+the minimum r_d = max(0, 1 - p_d m), or max(1, 1 - p_d m) where a domain is kept whole and leads, with one multiplier m_k per domain, which solves a convex problem
 in K unknowns: every Newton step is one pass over the whole table that returns sums for a few step
 lengths, until the gradient stands below ``TOLERANCE`` of that smallest share or no step lowers the
 objective. T is set so that the domain with the largest weight is neither thinned nor repeated.
@@ -27,7 +27,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -172,36 +172,43 @@ def _domains(part: Mapping[str, list]) -> np.ndarray:
     return np.array([part[f"p_{d}"] for d in DOMAINS], np.float64).reshape(len(DOMAINS), -1).T
 
 
-def rates_after(p: np.ndarray, multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def least_rates(p: np.ndarray, whole: Collection[str]) -> np.ndarray:
+    """1 for documents whose leading domain is in ``whole``, 0 for the others."""
+    return np.isin(p.argmax(1), [DOMAINS.index(d) for d in whole]).astype(float)
+
+
+def rates_after(p: np.ndarray, multipliers: np.ndarray, whole: Collection[str] = ()) -> tuple[np.ndarray, np.ndarray]:
     """(rates, the same before the bound) of documents with posteriors p."""
     free = 1 - p @ multipliers
-    return np.maximum(0, free), free
+    least = least_rates(p, whole)
+    return np.maximum(least[:, None] if free.ndim > 1 else least, free), free
 
 
-def _totals(trials: np.ndarray):
-    """Per row of ``trials`` (multipliers): half the squared rates, the domains' words, their products where the rate is free."""
+def _totals(trials: np.ndarray, whole: Collection[str]):
+    """Per row of ``trials`` (multipliers): integral of the rates, the domains' words, their products where the rate is free."""
 
     def run(parts):
         sums = np.zeros((len(trials), 1 + len(DOMAINS) + len(DOMAINS) ** 2))
         for part in parts:
             p, tokens = _domains(part), np.array(part["tokens"], np.float64)[:, None]
-            rate, free = rates_after(p, trials.T)
+            rate, free = rates_after(p, trials.T, whole)
+            least = least_rates(p, whole)[:, None]
             squares = (p[:, :, None] * p[:, None, :]).reshape(len(p), -1)
-            sums[:, 0] += (tokens * rate**2 / 2).sum(0)
+            sums[:, 0] += (tokens * np.where(free > least, (free**2 + least**2) / 2, least * free)).sum(0)
             sums[:, 1:1 + len(DOMAINS)] += (tokens * rate).T @ p
-            sums[:, 1 + len(DOMAINS):] += (tokens * (free > 0)).T @ squares
+            sums[:, 1 + len(DOMAINS):] += (tokens * (free > least)).T @ squares
         step, nth = np.indices(sums.shape)
         yield {"step": step.ravel(), "nth": nth.ravel(), "value": sums.ravel()}
 
     return run
 
 
-def fit_rates(scored: DataFrame, targets: Mapping[str, float]) -> np.ndarray:
+def fit_rates(scored: DataFrame, targets: Mapping[str, float], whole: Collection[str] = ()) -> np.ndarray:
     """The multipliers; ``rates_after`` turns them into the rate of any document."""
     k = len(DOMAINS)
 
     def totals(trials):
-        sums = common.map_arrow(scored.drop("doc_id"), common.batches(_totals(trials), _SUMS), _SUMS)
+        sums = common.map_arrow(scored.drop("doc_id"), common.batches(_totals(trials, whole), _SUMS), _SUMS)
         out = np.zeros((len(trials), 1 + k + k * k))
         for row in sums.groupBy("step", "nth").agg(F.sum("value").alias("value")).collect():  # a few sums per trial
             out[row["step"], row["nth"]] = row["value"]
@@ -256,15 +263,18 @@ def copies(rate, doc_id):
     return F.floor(rate + uniform)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], repeat: bool = True) -> DataFrame:
-    """The rows of ``docs``, all columns, as often as their copies say; ``repeat=False``: once at most."""
+def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], repeat: bool = True, whole: Collection[str] = ()) -> DataFrame:
+    """The rows of ``docs``, all columns, as often as their copies say; ``repeat=False``: once at most.
+
+    Documents whose leading domain is in ``whole`` have a rate of 1 at least, so all of them stay.
+    """
     model = fit(docs, labels)
-    multipliers = fit_rates(common.stored(posteriors(docs, model), "posteriors"), targets)
+    multipliers = fit_rates(common.stored(posteriors(docs, model), "posteriors"), targets, whole)
     rate_type = pa.float64()
 
     def run(parts):
         for part in parts:
-            rates = rates_after(model.posteriors(part.column("text").to_pylist()), multipliers)[0]
+            rates = rates_after(model.posteriors(part.column("text").to_pylist()), multipliers, whole)[0]
             yield part.append_column("_rate_", pa.array(rates, type=rate_type))
 
     from pyspark.sql.types import DoubleType, StructType

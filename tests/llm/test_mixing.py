@@ -80,3 +80,14 @@ def test_rare_domains_reach_their_targets(spark, sharp):
     rate, _ = m.rates_after(p, m.fit_rates(scored, m.TARGETS))
     shares = rate @ p / rate.sum()
     assert np.abs(shares / [m.TARGETS[d] for d in m.DOMAINS] - 1).max() < 0.01
+
+
+def test_rates_of_whole_domains_are_the_bounded_minimum(spark):
+    rng = np.random.default_rng(5)
+    p, tokens = rng.dirichlet([0.5, 0.5, 0.5], 300), rng.integers(1, 900, 300)
+    scored = spark.createDataFrame(
+        [(i, int(t), *map(float, q)) for i, (t, q) in enumerate(zip(tokens, p))], "doc_id long, tokens long, " + ", ".join(f"p_{d} double" for d in m.DOMAINS)
+    )
+    rate, _ = m.rates_after(p, m.fit_rates(scored, m.TARGETS, ["clean"]), ["clean"])
+    lead = p.argmax(1) == 0
+    assert (rate[lead] >= 1).all() and (rate >= 0).all() and (rate[~lead] < 1).any()

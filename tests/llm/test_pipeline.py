@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as c
-from pulsemart.llm import packing, quality, simhash
+from pulsemart.llm import mixing, packing, quality, simhash
 from tests.llm.test_simhash import similar_components
 
 
@@ -67,3 +67,19 @@ def test_rows_without_an_id_pass_near_dedup(odd):
 
 def test_run(spark):
     assert c.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_mixing_keeps_every_clean_document(spark, tmp_path):
+    """Words of both kinds in every text make the posteriors soft; what leads as clean stays all the same."""
+    rng, words = np.random.default_rng(4), np.array([f"w{i}" for i in range(10)])
+    odds = np.r_[np.full(5, 1.6), np.ones(5)]
+    toxic = np.arange(900) % 9 == 0
+    texts = [" ".join(rng.choice(words, 6, p=(o := odds[::-1] if t else odds) / o.sum())) for t in toxic]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(t)) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    p = mixing.fit(docs, labels).posteriors(texts)
+    leads = set(np.flatnonzero(p.argmax(1) == 0).tolist())
+    assert p[sorted(leads), 0].mean() < 0.97
+    stays = [r.doc_id for r in c.mixing_stage(spark, docs, str(tmp_path)).collect()]
+    assert leads <= set(stays) and len(stays) == len(set(stays)) < 900
