@@ -19,7 +19,8 @@ from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import LongType, StructType
 
 from pulsemart.llm import common
 
@@ -132,10 +133,36 @@ def hilbert_shards(docs: DataFrame, dimensions: Mapping[str, Column] | None = No
     )
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Writes ``docs`` into one folder per shard, in the order of the curve; min/max statistics then prune files."""
+def _with_curve(docs: DataFrame, dimensions: Mapping[str, Column], bits: int) -> DataFrame:
+    """``docs`` with the curve index of every row in ``_curve_``."""
+    rows, names = docs.select("*", *(column.cast("long").alias(f"_axis_{name}_") for name, column in dimensions.items())), list(dimensions)
+
+    def run(parts):
+        for part in parts:
+            axes = np.array([[c or 0 for c in part.column(f"_axis_{name}_").to_pylist()] for name in names], np.int64)
+            yield part.append_column("_curve_", pa.array(hilbert_index(axes.reshape(len(names), -1).T, bits), pa.int64()))
+
+    common.importable(docs.sparkSession)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("_curve_", LongType())).select(*docs.columns, "_curve_")
+
+
+def write_shards(docs: DataFrame, assigned: DataFrame, path: str, dimensions: Mapping[str, Column] | None = None, bits: int = BITS) -> None:
+    """Writes ``docs`` into one folder per shard, in the order of the curve; min/max statistics then prune files.
+
+    ``dimensions`` and ``bits`` as ``assigned`` was made with. Every row is written once: rows with no id or
+    the same id meet their places by size, checksum and curve, and rows alike in all of these are numbered.
+    """
+    text, same = F.coalesce("text", F.lit("")), ["_id_", "_null_", "_size_", "_crc_", "_curve_"]
+    number = F.row_number().over(W.partitionBy(*same).orderBy(*same)).alias("_nth_")
+
+    def named(df: DataFrame, size: Column, crc: Column) -> DataFrame:
+        given = df.withColumns({"_id_": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_null_": F.col("doc_id").cast("long").isNull()})
+        return given.withColumns({"_size_": size.cast("long"), "_crc_": crc}).select("*", number)
+
+    rows = named(_with_curve(docs, dict(dimensions or text_dimensions(bits)), bits), F.octet_length(text) + HEADER, F.crc32(text))
+    places = named(assigned.withColumnRenamed("curve", "_curve_"), F.col("size"), F.col("text_crc32"))
     (
-        docs.join(assigned.select("doc_id", "shard", "slot"), "doc_id")
+        rows.join(places.select(*same, "_nth_", "shard", "slot"), [*same, "_nth_"]).select(*docs.columns, "shard", "slot")
         .repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
         .write.partitionBy("shard").parquet(path)
     )

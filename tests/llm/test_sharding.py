@@ -49,3 +49,12 @@ def test_written_shards_keep_every_row(odd, tmp_path, spark):
     docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
     s.write_shards(docs, s.hilbert_shards(docs, shards=3), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+
+
+def test_written_shards_keep_null_and_repeated_ids(odd, tmp_path, spark):
+    docs = odd.unionByName(odd.where("doc_id % 7 = 0")).unionByName(odd.where("doc_id is null"))
+    s.write_shards(docs, s.hilbert_shards(docs, shards=3), str(tmp_path / "out"))
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter(map(str, written.select(*docs.columns).collect())) == Counter(map(str, docs.collect()))
+    slots = Counter((r.shard, r.slot) for r in written.select("shard", "slot").collect())
+    assert max(slots.values()) == 1
