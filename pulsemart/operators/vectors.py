@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsemart.functions.text import term_hash, words
 from pulsemart.operators.latest import latest_by
 
 DIMENSIONS = 768
-MAX_PROBES = 1000  # more are refused, none is dropped
+MAX_PROBES = 1000  # of a block; more are searched in several
 
 
 def text_vectors(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -60,13 +62,17 @@ def unit(vector: Column) -> Column:
 def nearest(corpus: DataFrame, probe_ids: list[int], key: str, vector: str, k: int) -> DataFrame:
     """The ``k`` most similar corpus rows for each listed row, the row itself left out.
 
-    The length of the list bounds what travels: the probes' vectors reach the corpus as one
-    scalar array, the corpus is read once and not exchanged, and the cut to ``k`` rows per
-    probe starts on the map side.
+    The probes go in blocks of ``MAX_PROBES``, which bounds what travels: the vectors of a block
+    reach the corpus as one scalar array, the corpus is read once per block and not exchanged,
+    and the cut to ``k`` rows per probe starts on the map side.
     """
-    if len(probe_ids) > MAX_PROBES:
-        raise ValueError(f"ask for at most {MAX_PROBES} probes at a time")
     corpus = corpus.select(key, unit(F.col(vector)).alias(vector))
+    ids = list(dict.fromkeys(probe_ids))
+    blocks = [ids[at:at + MAX_PROBES] for at in range(0, max(1, len(ids)), MAX_PROBES)]
+    return reduce(DataFrame.unionByName, [_nearest_block(corpus, block, key, vector, k) for block in blocks])
+
+
+def _nearest_block(corpus: DataFrame, probe_ids: list[int], key: str, vector: str, k: int) -> DataFrame:
     asked = corpus.filter(F.col(key).isin(probe_ids)).agg(
         F.collect_list(F.struct(F.col(key).alias("probe_id"), F.col(vector).alias("probe")))
     )

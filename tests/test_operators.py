@@ -143,3 +143,11 @@ def test_look_back_by_days_starts_at_midnight(spark, sf_dir):
     counted = [since_midnight(x.query_history, "start_time", x.as_of, 30, "DAY").count() for x in (noon, midnight)]
     from_instant = recent(noon.query_history, "start_time", noon.as_of, 30, "DAY").count()
     assert counted[0] == counted[1] >= from_instant
+
+
+def test_nearest_takes_probes_in_blocks(spark, monkeypatch):
+    corpus = spark.createDataFrame([(i, [1.0, i / 10, (i * i % 7) / 7]) for i in range(12)], "id long, v array<float>")
+    whole = sorted(map(str, nearest(corpus, list(range(5)), "id", "v", 3).collect()))
+    monkeypatch.setattr("pulsemart.operators.vectors.MAX_PROBES", 2)
+    blocks = sorted(map(str, nearest(corpus, list(range(5)), "id", "v", 3).collect()))
+    assert len(whole) == 15 and blocks == whole
