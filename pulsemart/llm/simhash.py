@@ -275,14 +275,23 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     classes = common.stored(prints.groupBy(*equal).agg(F.min("doc_id").alias("rep"), F.min("key").alias("key")), "classes")
 
     firsts = prints.select("key", "size", "prefix").join(classes.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    firsts = firsts.select("key", "size", F.posexplode("prefix").alias("at", "shingle"))
+    firsts = firsts.select("key", "size", F.explode("prefix").alias("shingle"))
     several = firsts.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
     listed = common.stored(firsts.join(several.select("shingle"), "shingle", "left_semi"), "listed")
 
-    def possible(x: str, y: str):
-        """Both sets are long enough after the shingle they share; it holds for the first one that similar sets share."""
-        least = F.lit(similarity / (1 + similarity)) * (F.col(f"{x}.size") + F.col(f"{y}.size")) - F.lit(CLOSE)
-        return F.least(F.col(f"{x}.size") - F.col(f"{x}.at"), F.col(f"{y}.size") - F.col(f"{y}.at")) >= least
+    def like_sizes():
+        return F.least("x.size", "y.size") >= F.lit(similarity) * F.greatest("x.size", "y.size") - F.lit(CLOSE)
+
+    def enough(n):
+        """Sets that share ``n`` of their first shingles can be similar: the rest of one bounds what else they share."""
+        rest = F.ceil(F.lit(similarity) * F.greatest("x_size", "y_size") - F.lit(CLOSE)) - 1
+        return n + rest >= F.lit(similarity / (1 + similarity)) * (F.col("x_size") + F.col("y_size")) - F.lit(CLOSE)
+
+    def met(x: DataFrame, y: DataFrame, different) -> DataFrame:
+        """Pairs that share enough shingles of the two lists."""
+        sides = [F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.size").alias("x_size"), F.col("y.size").alias("y_size")]
+        both = x.alias("x").join(y.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & different & like_sizes())
+        return both.groupBy(*sides).agg(F.count("*").alias("n")).where(enough(F.col("n")))
 
     def compared(candidates: DataFrame) -> DataFrame:
         candidates = common.stored(candidates, "candidates")
@@ -304,31 +313,26 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     def apart(found: DataFrame) -> DataFrame:
         """``listed`` with groups, without the shingles that one group has alone."""
         named = listed.join(found, listed.key == found.node, "left").select(
-            "shingle", "key", "size", "at", F.coalesce("component", "key").alias("component")
+            "shingle", "key", "size", F.coalesce("component", "key").alias("component")
         )
         mixed = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
         return common.stored(named.join(mixed.select("shingle"), "shingle", "left_semi"), "apart")
 
     # One class of like size per shingle, and of these the one met most often.
     sized = listed.withColumn("band", F.floor(F.log("size") / F.lit(-np.log(similarity))))
-    hubs = sized.groupBy("shingle", "band").agg(F.min("key").alias("b"))
-    met = sized.join(hubs, ["shingle", "band"]).where("key <> b").groupBy(F.col("key").alias("a"), "b").agg(F.count("*").alias("n"))
-    found = grouped(met.groupBy("a").agg(F.max(F.struct("n", "b")).getField("b").alias("b")))
+    hubs = sized.groupBy("shingle", "band").agg(F.min(F.struct("key", "size")).alias("hub")).select("shingle", "band", "hub.*")
+    likely = met(sized, hubs, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") != F.col("y.key")))
+    found = grouped(likely.groupBy("a").agg(F.max(F.struct("n", "b")).getField("b").alias("b")))
 
     # One class of each group per shingle against that of the lowest group there.
-    ones = apart(found).groupBy("shingle", "component").agg(F.min(F.struct("key", "size", "at")).alias("one")).select("shingle", "component", "one.*")
-    lowest = ones.groupBy("shingle").agg(F.min(F.struct("component", "key", "size", "at")).alias("one")).select("shingle", "one.*")
-    met = ones.alias("x").join(lowest.alias("y"), "shingle").where((F.col("x.component") != F.col("y.component")) & possible("x", "y"))
-    met = met.groupBy(F.col("x.component").alias("c"), F.col("y.component").alias("d")).agg(F.min(F.struct(F.col("x.key").alias("a"), F.col("y.key").alias("b"))).alias("p"))
-    found = grouped(met.select("p.a", "p.b"), found)
+    ones = apart(found).groupBy("shingle", "component").agg(F.min(F.struct("key", "size")).alias("one")).select("shingle", "component", "one.*")
+    lowest = ones.groupBy("shingle").agg(F.min(F.struct("component", "key", "size")).alias("one")).select("shingle", "one.*")
+    found = grouped(met(ones, lowest, F.col("x.component") != F.col("y.component")).select("a", "b"), found)
 
     # Every pair that is left.
     left = apart(found)
-    pairs = left.alias("x").join(
-        left.alias("y"),
-        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & possible("x", "y"),
-    ).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    groups = grouped(pairs, found)
+    pairs = met(left, left, (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")))
+    groups = grouped(pairs.select("a", "b"), found)
     members = classes.join(groups, classes.key == groups.node, "left").select(*equal, "rep", F.coalesce("component", "key").alias("component"))
     named = members.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = common.stored(members.join(named, "component").select(*equal, "component_id"), "named")
