@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pulsemart.llm import cover_tree, exact_dedup, language, mixing, packing, quality, sharding, simhash, substrings, urls
+from pulsemart.llm import (
+    bitplanes, cover_tree, exact_dedup, language, mixing, packing, quality, sharding, simhash, substrings, urls,
+)
 
-MODULES = [cover_tree, exact_dedup, language, mixing, packing, quality, sharding, simhash, substrings, urls]
+MODULES = [bitplanes, cover_tree, exact_dedup, language, mixing, packing, quality, sharding, simhash, substrings, urls]
 
 
 def queries() -> dict:
