@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pulsemart.llm import (
-    bitplanes, cover_tree, exact_dedup, language, mixing, packing, quality, sharding, simhash, spelling, substrings, urls,
+    bitplanes, boilerplate, cover_tree, exact_dedup, language, mixing, packing, quality, sharding, simhash, spelling, substrings, urls,
 )
 
-MODULES = [bitplanes, cover_tree, exact_dedup, language, mixing, packing, quality, sharding, simhash, spelling, substrings, urls]
+MODULES = [bitplanes, boilerplate, cover_tree, exact_dedup, language, mixing, packing, quality, sharding, simhash, spelling, substrings, urls]
 
 
 def queries() -> dict:
