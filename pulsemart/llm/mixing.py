@@ -4,16 +4,20 @@ The domains come from the table of labels: ``low`` (quality 0), ``toxic`` (toxic
 A softmax classifier is fitted on at most ``SAMPLE_ROWS`` labelled rows, chosen by id hash and taken
 whole: over the ``WORDS`` words whose share of documents there differs most between the domains, and
 measures of the text. It gives every document a posterior for each domain. Rates
-r >= 0 minimise
+r >= 0 minimise the squared residuals of the domains,
 
-    1/2 sum_k ((sum_d r_d t_d p_dk - w_k T) / t)^2 + ridge/2 sum_d (t_d / t) (r_d - 1)^2
+    1/2 sum_k ((sum_d r_d t_d p_dk - w_k T) / (t s_k))^2
 
-with t_d the words of a document, t those of all, p_dk the posteriors and w_k T the targets; the ridge
-is ``RIDGE`` of the smallest share that a domain has or shall get, so rare domains reach theirs too. At
-the minimum r_d = max(0, 1 - p_d m), or max(1, 1 - p_d m) where a domain is kept whole and leads, with one multiplier m_k per domain, which solves a convex problem
-in K unknowns: every Newton step is one pass over the whole table that returns sums for a few step
-lengths, until the gradient stands below ``TOLERANCE`` of that smallest share or no step lowers the
-objective. T is set so that the domain with the largest weight is neither thinned nor repeated.
+with t_d the words of a document, t those of all, p_dk the posteriors, w_k T the targets and s_k the
+share that domain k shall have. The rates start at 1 and take projected gradient steps
+r_d <- max(0, r_d - p_d g), or max(1, ...) where a domain is kept whole and leads. The vector g of K
+numbers is the residual under a preconditioner over domains (three kinds: from the rows whose rate is
+free, from all rows, and its diagonal) times a step length; one pass over the whole table returns the
+totals of all of them and the nearest is taken, until the residuals stand below ``TOLERANCE`` of the
+smallest share or no step comes nearer. As a rate depends on the posterior and the steps alone, passes
+exchange a few sums and no rate is stored. Steps lie in the span of the posteriors, so rates move no
+further from 1 than the targets ask. T is set so that the domain with the largest weight is neither
+thinned nor repeated.
 
 A rate becomes whole copies: its integer part, and one more where the hash of the id falls below the
 fraction, so expected totals are kept.
@@ -40,7 +44,7 @@ DOMAINS = ["clean", "low", "toxic"]
 TARGETS = {"clean": 0.90, "low": 0.05, "toxic": 0.05}
 SAMPLE_ROWS, WORDS, LEAST_USES = 12_000, 400, 5
 FIT_STEPS, FIT_RIDGE = 300, 1e-4
-RIDGE, TOLERANCE, HALVINGS = 1e-3, 1e-6, 12
+RIDGE, TOLERANCE, HALVINGS, PROGRESS = 1e-3, 1e-6, 8, 1e-3
 
 _EDGES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _USES = pa.schema([("domain", pa.int32()), ("word", pa.string())])
@@ -177,26 +181,28 @@ def least_rates(p: np.ndarray, whole: Collection[str]) -> np.ndarray:
     return np.isin(p.argmax(1), [DOMAINS.index(d) for d in whole]).astype(float)
 
 
-def rates_after(p: np.ndarray, multipliers: np.ndarray, whole: Collection[str] = ()) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, the same before the bound) of documents with posteriors p."""
-    free = 1 - p @ multipliers
+def rates_after(p: np.ndarray, steps: np.ndarray, whole: Collection[str] = ()) -> np.ndarray:
+    """The rates of documents with posteriors p after the projected steps (one row of domain gradients each)."""
     least = least_rates(p, whole)
-    return np.maximum(least[:, None] if free.ndim > 1 else least, free), free
+    rates = np.ones(len(p))
+    for step in steps:
+        rates = np.maximum(least, rates - p @ step)
+    return rates
 
 
-def _totals(trials: np.ndarray, whole: Collection[str]):
-    """Per row of ``trials`` (multipliers): integral of the rates, the domains' words, their products where the rate is free."""
+def _totals(steps: np.ndarray, trials: np.ndarray, whole: Collection[str]):
+    """Per trial of a next step: the domains' words at its rates, and their products over rows whose rate is free."""
 
     def run(parts):
-        sums = np.zeros((len(trials), 1 + len(DOMAINS) + len(DOMAINS) ** 2))
+        k = len(DOMAINS)
+        sums = np.zeros((len(trials), k + k * k))
         for part in parts:
             p, tokens = _domains(part), np.array(part["tokens"], np.float64)[:, None]
-            rate, free = rates_after(p, trials.T, whole)
             least = least_rates(p, whole)[:, None]
+            rates = np.maximum(least, rates_after(p, steps, whole)[:, None] - p @ trials.T)
             squares = (p[:, :, None] * p[:, None, :]).reshape(len(p), -1)
-            sums[:, 0] += (tokens * np.where(free > least, (free**2 + least**2) / 2, least * free)).sum(0)
-            sums[:, 1:1 + len(DOMAINS)] += (tokens * rate).T @ p
-            sums[:, 1 + len(DOMAINS):] += (tokens * (free > least)).T @ squares
+            sums[:, :k] += (tokens * rates).T @ p
+            sums[:, k:] += (tokens * (rates > least)).T @ squares
         step, nth = np.indices(sums.shape)
         yield {"step": step.ravel(), "nth": nth.ravel(), "value": sums.ravel()}
 
@@ -204,54 +210,56 @@ def _totals(trials: np.ndarray, whole: Collection[str]):
 
 
 def fit_rates(scored: DataFrame, targets: Mapping[str, float], whole: Collection[str] = ()) -> np.ndarray:
-    """The multipliers; ``rates_after`` turns them into the rate of any document."""
+    """The projected-gradient steps, a row of K numbers each; ``rates_after`` turns them into the rate of any document."""
     k = len(DOMAINS)
 
-    def totals(trials):
-        sums = common.map_arrow(scored.drop("doc_id"), common.batches(_totals(trials, whole), _SUMS), _SUMS)
-        out = np.zeros((len(trials), 1 + k + k * k))
+    def totals(steps, trials):
+        sums = common.map_arrow(scored.drop("doc_id"), common.batches(_totals(steps, trials, whole), _SUMS), _SUMS)
+        out = np.zeros((len(trials), k + k * k))
         for row in sums.groupBy("step", "nth").agg(F.sum("value").alias("value")).collect():  # a few sums per trial
             out[row["step"], row["nth"]] = row["value"]
         return out
 
-    best = np.zeros(k)
-    state = totals(best[None])[0]
-    plain = state[1:1 + k]
+    steps = np.zeros((0, k))
+    plain = totals(steps, np.zeros((1, k)))[0]
     weights = np.array([max(0.0, targets.get(d, 0.0)) if plain[i] > 0 else 0.0 for i, d in enumerate(DOMAINS)])
     if not weights.sum():
-        return best
+        return steps
     weights = weights / weights.sum()
     main = int(weights.argmax())
-    tokens = plain.sum()
+    tokens = plain[:k].sum()
     wanted = weights * plain[main] / weights[main] / tokens
-    shares = np.r_[plain / tokens, wanted]
+    shares = np.r_[plain[:k] / tokens, wanted]
     least = shares[shares > 0].min()
-    ridge = RIDGE * least
+    scale = np.maximum(wanted, least)  # a residual counts against the share its domain shall have
+    spread = plain[k:].reshape(k, k) / tokens
 
-    def objective(sums, at):
-        return sums[0] / tokens + at @ wanted + ridge / 2 * at @ at
+    def risk(state):
+        return 0.5 * (((state[:k] / tokens - wanted) / scale) ** 2).sum()
 
+    state = plain
     while True:
-        slope = wanted + ridge * best - state[1:1 + k] / tokens
-        if np.abs(slope).max() <= TOLERANCE * least:
-            return best
-        step = np.linalg.solve(state[1 + k:].reshape(k, k) / tokens + ridge * np.eye(k), slope)
-        trials = np.array([best - step / 2**i for i in range(HALVINGS)])
-        found = totals(trials)
-        values = [objective(sums, at) for sums, at in zip(found, trials)]
-        lowest = int(np.argmin(values))
-        if not values[lowest] < objective(state, best):
-            return best  # no step is lower: as near as the sums are exact
-        best, state = trials[lowest], found[lowest]
+        residual = state[:k] / tokens - wanted
+        if np.abs(residual).max() <= TOLERANCE * least:
+            return steps
+        free, small = state[k:].reshape(k, k) / tokens, RIDGE * least * np.eye(k)
+        ways = [np.linalg.solve(free + small, residual), np.linalg.solve(spread + small, residual), residual / (np.diag(spread) + RIDGE * least)]
+        trials = np.array([way / 2**i for way in ways for i in range(HALVINGS)])
+        found = totals(steps, trials)
+        risks = [risk(one) for one in found]
+        lowest = int(np.argmin(risks))
+        if not risks[lowest] < risk(state) * (1 - PROGRESS):
+            return steps  # no step brings the totals nearer
+        steps, state = np.vstack([steps, trials[lowest]]), found[lowest]
 
 
 def document_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
     """doc_id, tokens, posteriors, rate, copies for every row of ``docs``."""
     scored = common.stored(posteriors(docs, fit(docs, labels)), "posteriors")
-    multipliers = fit_rates(scored, targets)
+    steps = fit_rates(scored, targets)
 
     def rated(part: dict[str, list]) -> dict[str, list]:
-        return {**part, "rate": rates_after(_domains(part), multipliers)[0]}
+        return {**part, "rate": rates_after(_domains(part), steps)}
 
     with_rates = common.map_arrow(scored, common.per_batch(rated, _RATED), _RATED)
     return with_rates.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
@@ -269,12 +277,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], repeat
     Documents whose leading domain is in ``whole`` have a rate of 1 at least, so all of them stay.
     """
     model = fit(docs, labels)
-    multipliers = fit_rates(common.stored(posteriors(docs, model), "posteriors"), targets, whole)
+    steps = fit_rates(common.stored(posteriors(docs, model), "posteriors"), targets, whole)
     rate_type = pa.float64()
 
     def run(parts):
         for part in parts:
-            rates = rates_after(model.posteriors(part.column("text").to_pylist()), multipliers, whole)[0]
+            rates = rates_after(model.posteriors(part.column("text").to_pylist()), steps, whole)
             yield part.append_column("_rate_", pa.array(rates, type=rate_type))
 
     from pyspark.sql.types import DoubleType, StructType

@@ -32,26 +32,32 @@ def test_domains_on_rows_not_learned_from(tables):
     assert np.mean(got == np.array(true)) > 0.93
 
 
-def test_steps_reach_the_least_squares_solution(spark):
+def scored_rows(spark, p, tokens):
+    rows = [(i, int(t), *map(float, q)) for i, (t, q) in enumerate(zip(tokens, p))]
+    return spark.createDataFrame(rows, "doc_id long, tokens long, " + ", ".join(f"p_{d} double" for d in m.DOMAINS))
+
+
+@pytest.mark.parametrize("alpha, targets", [
+    (0.5, {"clean": 0.7, "low": 0.2, "toxic": 0.1}), (0.5, m.TARGETS), (2.0, m.TARGETS), (0.1, {"clean": 1.0}), (1.0, {"clean": 1.0, "low": 1.0}),
+])
+def test_steps_reach_the_least_squares_solution(spark, alpha, targets):
     rng = np.random.default_rng(3)
-    p = rng.dirichlet([0.5, 0.5, 0.5], 200)
-    tokens = rng.integers(1, 900, 200)
-    scored = spark.createDataFrame(
-        [(i, int(t), *map(float, q)) for i, (t, q) in enumerate(zip(tokens, p))], "doc_id long, tokens long, " + ", ".join(f"p_{d} double" for d in m.DOMAINS)
-    )
-    targets = {"clean": 0.7, "low": 0.2, "toxic": 0.1}
-    rate, _ = m.rates_after(p, m.fit_rates(scored, targets))
-    w = np.array([targets[d] for d in m.DOMAINS])
-    wanted, total = w * (tokens @ p)[0] / w[0], tokens.sum()
+    p, tokens = rng.dirichlet([alpha] * 3, 200), rng.integers(1, 900, 200)
+    rate = m.rates_after(p, m.fit_rates(scored_rows(spark, p, tokens), targets))
+    w = np.array([targets.get(d, 0.0) for d in m.DOMAINS])
+    w /= w.sum()
+    main, plain, total = int(w.argmax()), tokens @ p, tokens.sum()
+    wanted = w * plain[main] / w[main] / total
+    shares = np.r_[plain / total, wanted]
+    scale = np.maximum(wanted, shares[shares > 0].min())
 
     def risk(r):
-        return ((((r * tokens) @ p - wanted) / total) ** 2).sum() / 2 + m.RIDGE / 2 * (tokens / total * (r - 1) ** 2).sum()
+        return ((((r * tokens) @ p / total - wanted) / scale) ** 2).sum() / 2
 
     best = np.ones(200)
     for _ in range(20_000):  # plain projected gradient, much longer
-        e = ((best * tokens) @ p - wanted) / total
-        best = np.maximum(0, best - 0.5 * (p @ e + m.RIDGE * (best - 1)))
-    assert risk(rate) - risk(best) < 1e-4
+        best = np.maximum(0, best - 0.3 * scale.min() ** 2 * (p @ ((((best * tokens) @ p) / total - wanted) / scale**2)))
+    assert (rate >= 0).all() and risk(rate) <= risk(best) * 1.02 + 1e-6
 
 
 def test_odd_tables(spark, odd, empty):
@@ -76,8 +82,7 @@ def test_rare_domains_reach_their_targets(spark, sharp):
     """Toxic text of 0.1 % of the words is brought to 5 %."""
     kinds = np.repeat([0, 1, 2], [9490, 500, 10])
     p = np.eye(3)[kinds] * sharp + np.array([[1.0, 0.0, 0.0]]) * (1 - sharp)
-    scored = spark.createDataFrame([(i, 100, *map(float, q)) for i, q in enumerate(p)], "doc_id long, tokens long, " + ", ".join(f"p_{d} double" for d in m.DOMAINS))
-    rate, _ = m.rates_after(p, m.fit_rates(scored, m.TARGETS))
+    rate = m.rates_after(p, m.fit_rates(scored_rows(spark, p, [100] * len(p)), m.TARGETS))
     shares = rate @ p / rate.sum()
     assert np.abs(shares / [m.TARGETS[d] for d in m.DOMAINS] - 1).max() < 0.01
 
@@ -85,9 +90,6 @@ def test_rare_domains_reach_their_targets(spark, sharp):
 def test_rates_of_whole_domains_are_the_bounded_minimum(spark):
     rng = np.random.default_rng(5)
     p, tokens = rng.dirichlet([0.5, 0.5, 0.5], 300), rng.integers(1, 900, 300)
-    scored = spark.createDataFrame(
-        [(i, int(t), *map(float, q)) for i, (t, q) in enumerate(zip(tokens, p))], "doc_id long, tokens long, " + ", ".join(f"p_{d} double" for d in m.DOMAINS)
-    )
-    rate, _ = m.rates_after(p, m.fit_rates(scored, m.TARGETS, ["clean"]), ["clean"])
+    rate = m.rates_after(p, m.fit_rates(scored_rows(spark, p, tokens), m.TARGETS, ["clean"]), ["clean"])
     lead = p.argmax(1) == 0
     assert (rate[lead] >= 1).all() and (rate >= 0).all() and (rate[~lead] < 1).any()
