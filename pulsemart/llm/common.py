@@ -73,6 +73,28 @@ def crc_fold(column: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % folds
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and the digest of the text of every row of ``docs``: the key of ``rows_of``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+
+
+def rows_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, with the (doc_id, digest) of ``keys``, each key once.
+
+    ``keys``: distinct, with ``n``, the rows of ``docs`` that have the key. Texts cross the network
+    once for the join; only rows whose key occurs several times are compared with one another.
+    """
+    keys = stored(keys.select(F.col("doc_id").alias("_id_"), F.col("digest").alias("_digest_"), F.col("n").alias("_n_")), "keys")
+    rows = docs.withColumn("_text_digest_", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    same = rows["doc_id"].cast("long").eqNullSafe(keys["_id_"]) & (rows["_text_digest_"] == keys["_digest_"])
+    single = rows.join(keys.where("_n_ = 1"), same, "left_semi")
+    if not keys.where("_n_ > 1").limit(1).collect():
+        return single.select(*docs.columns)
+    several = rows.join(keys.where("_n_ > 1"), same, "left_semi").dropDuplicates(["doc_id", "_text_digest_"])
+    return single.unionByName(several).select(*docs.columns)
+
+
 def chunked(values: list, size: int) -> Iterator[list]:
     it = iter(values)
     while part := list(itertools.islice(it, size)):

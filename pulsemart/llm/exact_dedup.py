@@ -2,7 +2,7 @@
 
 Every text is reduced to one row per input task by a trie first, so a group of copies that holds
 a third of all rows crosses the network once per task. The rows are then dealt by length and
-content hash; each partition inserts the full byte strings into a compressed radix trie whose
+content hash, compressed on the way; each partition inserts the full byte strings into a compressed radix trie whose
 terminal nodes hold the owner and the number of rows. A trie above its memory budget writes whole
 subtrees to disk and finishes them afterwards.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import pickle
 import tempfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsemart.llm import common
 
-TRIE_BYTES = 128 << 20  # bytes of text a trie holds in memory before subtrees go to disk
+TRIE_BYTES = 128 << 20  # memory a trie may take before subtrees go to disk
+NODE_BYTES = 480  # of a node beside its edge: the object, its dictionary, a value
 OUT_ROWS, OUT_BYTES = 4096, 8 << 20  # of one Arrow batch handed back to Spark
 
 
@@ -46,7 +48,7 @@ class Trie:
             child = node.children.get(key[at])
             if child is None:
                 node.children[key[at]] = Node(key[at:], {}, value)
-                self.size += len(key) - at
+                self.size += len(key) - at + NODE_BYTES
                 if self.size > self.budget:
                     self._spill()
                 return
@@ -55,6 +57,7 @@ class Trie:
                 upper = Node(child.edge[:common_bytes], {child.edge[common_bytes]: child})
                 child.edge = child.edge[common_bytes:]
                 node.children[key[at]] = child = upper
+                self.size += NODE_BYTES
             node, at = child, at + len(child.edge)
         if node.file is not None:
             pickle.dump((key[at:], value), node.file)
@@ -102,7 +105,7 @@ class Trie:
         for item in part.items():
             pickle.dump(item, file)
         child.children, child.value, child.file = {}, None, file
-        self.size -= largest
+        self.size -= largest - NODE_BYTES - len(child.edge)
 
 
 def _shared(edge: bytes, key: bytes, at: int) -> int:
@@ -117,7 +120,7 @@ def _bytes(node: Node) -> int:
     total, stack = 0, [node]
     while stack:
         top = stack.pop()
-        total += len(top.edge)
+        total += len(top.edge) + NODE_BYTES
         stack.extend(top.children.values())
     return total
 
@@ -130,8 +133,8 @@ def _best(largest: bool):
     return merge
 
 
-_LOCAL = pa.schema([("body", pa.binary()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("owner", pa.int64()), ("n", pa.int64())])
-_OWNERS = pa.schema([("sha", pa.string()), ("n_bytes", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+_LOCAL = pa.schema([("body", pa.binary()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("owner", pa.int64()), ("n", pa.int64())])
+_OWNERS = pa.schema([("sha", pa.binary()), ("n_bytes", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
 
 def _tried(parts: Iterator[dict[str, list]], merge, budget: int) -> Trie:
@@ -144,21 +147,23 @@ def _tried(parts: Iterator[dict[str, list]], merge, budget: int) -> Trie:
 
 def _combine(merge, budget: int):
     def run(parts):
-        body, owner, n, sha, held = [], [], [], [], 0
+        out, held = {name: [] for name in _LOCAL.names}, 0
         for key, (best, count, tag) in _tried(parts, merge, budget).items():
-            body.append(key), owner.append(best), n.append(count), sha.append(tag)
-            held += len(key)
-            if len(body) >= OUT_ROWS or held >= OUT_BYTES:
-                yield {"body": body, "n_bytes": list(map(len, body)), "sha": sha, "owner": owner, "n": n}
-                body, owner, n, sha, held = [], [], [], [], 0
-        yield {"body": body, "n_bytes": list(map(len, body)), "sha": sha, "owner": owner, "n": n}
+            out["body"].append(zlib.compress(key, 1)), out["n_bytes"].append(len(key))
+            out["owner"].append(best), out["n"].append(count), out["sha"].append(tag)
+            held += len(out["body"][-1])
+            if len(out["body"]) >= OUT_ROWS or held >= OUT_BYTES:
+                yield out
+                out, held = {name: [] for name in _LOCAL.names}, 0
+        yield out
 
     return run
 
 
 def _own(merge, budget: int):
     def run(parts):
-        items = ((len(key), value) for key, value in _tried(parts, merge, budget).items())
+        whole = ({**part, "body": map(zlib.decompress, part["body"])} for part in parts)
+        items = ((len(key), value) for key, value in _tried(whole, merge, budget).items())
         for some in iter(lambda: [x for _, x in zip(range(OUT_ROWS), items)], []):
             yield {
                 "sha": [v[2] for _, v in some], "n_bytes": [k for k, _ in some],
@@ -174,27 +179,23 @@ def exact_groups(docs: DataFrame, keep: str = "largest", trie_bytes: int = TRIE_
     ``keep``: the id that owns a group, ``largest`` or ``smallest``.
     """
     merge = _best(keep == "largest")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = common.keyed(docs)
     rows = texts.select(
-        F.encode("text", "UTF-8").alias("body"), F.sha2("text", 256).alias("sha"),
+        F.encode("text", "UTF-8").alias("body"), F.col("digest").alias("sha"),
         F.col("doc_id").alias("owner"), F.lit(1).cast("long").alias("n"),
     )
     local = common.map_arrow(rows, common.batches(_combine(merge, trie_bytes), _LOCAL), _LOCAL)
     dealt = local.repartition("n_bytes", "sha")
     owners = common.map_arrow(dealt, common.batches(_own(merge, trie_bytes), _OWNERS), _OWNERS)
-    ids = texts.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
-    return (
-        ids.join(owners.withColumnRenamed("sha", "text_sha256"), ["text_sha256", "n_bytes"])
-        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    )
+    ids = texts.select("doc_id", F.col("digest").alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
+    return ids.join(owners, ["sha", "n_bytes"]).select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def without_copies(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The rows of ``docs``, all columns, that own their group; a repeated owner row is kept once."""
-    owners = exact_groups(docs, keep).where("kept").select(F.col("doc_id").alias("_owner_"), F.col("text_sha256").alias("_sha_")).distinct()
-    rows = docs.withColumn("_text_sha_", F.sha2(F.coalesce("text", F.lit("")), 256))
-    same = (F.col("_text_sha_") == F.col("_sha_")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_owner_"))
-    return rows.join(owners, same, "left_semi").dropDuplicates(["doc_id", "_text_sha_"]).select(*docs.columns)
+    owners = exact_groups(docs, keep).where("kept").groupBy("doc_id", F.unhex("text_sha256").alias("digest")).agg(F.count("*").alias("n"))
+    return common.rows_of(docs, owners)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ SEED = 42
 SLAB = 4096  # fingerprints replicated at a time
 
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_KEYED = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("fp", pa.int64())])
 _ANCHORS = pa.schema([("fp", pa.int64()), ("anchor", pa.int64())])
 
 
@@ -74,6 +75,11 @@ def _prints(shingle: int):
     return run
 
 
+def _keyed_prints(shingle: int):
+    make = _prints(shingle)
+    return lambda part: {**make(part), "digest": part["digest"]}
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp (the bits as a signed long) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -184,167 +190,25 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Data
     )
 
 
-# ---- near copies at a similarity -----------------------------------------------------------------
-
-COMMON_ROWS, COMMON_LEAST, COMMON_SHINGLES = 10_000, 3, 50_000  # sample that orders the common shingles; how many at most
-CLOSE = 1e-9  # room for rounding where a bound is a product with the similarity
-
-_SET_ROWS = pa.schema([
-    ("key", pa.int64()), ("doc_id", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("size", pa.int32()),
-    ("prefix", pa.list_(pa.int64())),
-])
-_SHINGLES = pa.schema([("shingle", pa.int64())])
-_SETS = pa.schema([("key", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-
-
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct shingle hashes, ascending."""
-    return np.unique(shingle_hashes(text, shingle))
-
-
-def in_order(shingles: np.ndarray, common_ones: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """An ascending set with the shingles of ``common_ones`` (ascending) put last, by rank."""
-    if not len(common_ones) or not len(shingles):
-        return shingles
-    at = np.minimum(np.searchsorted(common_ones, shingles), len(common_ones) - 1)
-    return shingles[np.argsort(np.where(common_ones[at] == shingles, ranks[at] + 1, 0), kind="stable")]
-
+def grouped_prints(prints: DataFrame, max_bits: int) -> DataFrame:
+    """fp, component of every fingerprint of ``prints``; a component is named by its smallest fingerprint."""
+    values = common.stored(prints.select("fp").distinct(), "fps")
+    groups = common.components(linked_prints(values, max_bits))
+    return values.join(groups, values.fp == groups.node, "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
-def prefix_length(size: int, similarity: float) -> int:
-    """Two sets at the similarity share one of so many first shingles, in whichever order is common to both."""
-    return size - int(np.ceil(similarity * size - CLOSE)) + 1 if size else 0
 
+def one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one stands for each group of linked fingerprints.
 
-def _set_rows(shingle: int, similarity: float, common_ones: np.ndarray, ranks: np.ndarray):
-    def run(part: dict[str, list]) -> dict[str, list]:
-        sets = [shingle_set(t, shingle) for t in part["text"]]
-        named = np.array([[xxhash.xxh64_intdigest(s.tobytes(), seed) for seed in (SEED, SEED + 1)] for s in sets], np.uint64)
-        named = named.reshape(-1, 2).view(np.int64)
-        return {
-            "key": part["key"], "doc_id": part["doc_id"], "set_a": named[:, 0], "set_b": named[:, 1], "size": [len(s) for s in sets],
-            "prefix": [in_order(s, common_ones, ranks)[:prefix_length(len(s), similarity)].view(np.int64) for s in sets],
-        }
-
-    return run
-
-
-def _all_shingles(shingle: int):
-    def run(parts):
-        for part in parts:
-            for text in part["text"]:
-                yield {"shingle": shingle_set(text, shingle).view(np.int64)}
-
-    return run
-
-
-def common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles common in a sample of ``rows`` (key, text), ascending, and their ranks, rarest first.
-
-    Which shingles are found decides how long the lists of the join are, not what it finds.
-    """
-    share = COMMON_ROWS / max(COMMON_ROWS, rows.count())
-    some = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("text")
-    counted = common.map_arrow(some, common.batches(_all_shingles(shingle), _SHINGLES), _SHINGLES).groupBy("shingle").agg(F.count("*").alias("n"))
-    found = counted.where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "shingle").limit(COMMON_SHINGLES).collect()
-    values = np.array([r["shingle"] for r in reversed(found)], np.int64).view(np.uint64)
-    order = np.argsort(values)
-    return values[order], np.arange(len(values))[order]
-
-
-def _shingle_sets(shingle: int):
-    def run(part: dict[str, list]) -> dict[str, list]:
-        return {"key": part["key"], "shingles": [shingle_set(t, shingle).view(np.int64) for t in part["text"]]}
-
-    return run
-
-
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id of every row: texts are linked at a Jaccard similarity of their shingles.
-
-    Every link is found and none that is not there: all shingles have one order, rare ones first,
-    and two sets at the similarity share one of their first shingles (``prefix_length``). Equal sets
-    are one class. Classes are first compared with one class of like size per shared shingle, then
-    one class of each group with those of other groups, then every pair that shares a first shingle
-    and is not in one group yet; pairs within a group change nothing. So a large group of near copies
-    gives rows in proportion to its size.
+    The smallest doc_id of a group stays (a null id only where the group has no other); of several
+    texts with that id the one whose digest is smallest, once.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
-    make = _set_rows(shingle, similarity, *common_shingles(rows.select("key", "text"), shingle))
-    prints = common.stored(common.map_arrow(rows.select("key", "doc_id", "text"), common.per_batch(make, _SET_ROWS), _SET_ROWS), "sets")
-    equal = ["set_a", "set_b", "size"]
-    classes = common.stored(prints.groupBy(*equal).agg(F.min("doc_id").alias("rep"), F.min("key").alias("key")), "classes")
-
-    firsts = prints.select("key", "size", "prefix").join(classes.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    firsts = firsts.select("key", "size", F.explode("prefix").alias("shingle"))
-    several = firsts.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
-    listed = common.stored(firsts.join(several.select("shingle"), "shingle", "left_semi"), "listed")
-
-    def like_sizes():
-        return F.least("x.size", "y.size") >= F.lit(similarity) * F.greatest("x.size", "y.size") - F.lit(CLOSE)
-
-    def enough(n):
-        """Sets that share ``n`` of their first shingles can be similar: the rest of one bounds what else they share."""
-        rest = F.ceil(F.lit(similarity) * F.greatest("x_size", "y_size") - F.lit(CLOSE)) - 1
-        return n + rest >= F.lit(similarity / (1 + similarity)) * (F.col("x_size") + F.col("y_size")) - F.lit(CLOSE)
-
-    def met(x: DataFrame, y: DataFrame, different) -> DataFrame:
-        """Pairs that share enough shingles of the two lists."""
-        sides = [F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.size").alias("x_size"), F.col("y.size").alias("y_size")]
-        both = x.alias("x").join(y.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & different & like_sizes())
-        return both.groupBy(*sides).agg(F.count("*").alias("n")).where(enough(F.col("n")))
-
-    def compared(candidates: DataFrame) -> DataFrame:
-        candidates = common.stored(candidates, "candidates")
-        wanted = candidates.select(F.col("a").alias("key")).unionByName(candidates.select(F.col("b").alias("key"))).distinct()
-        texts = rows.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
-        sets = common.stored(common.map_arrow(texts, common.per_batch(_shingle_sets(shingle), _SETS), _SETS), "shingle-sets")
-        both = candidates.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(
-            sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b"
-        )
-        shared = F.size(F.array_intersect("x", "y"))
-        return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-    def grouped(candidates: DataFrame, found: DataFrame | None = None) -> DataFrame:
-        links = compared(candidates)
-        if found is not None:
-            links = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        return common.stored(common.components(links), "found")
-
-    def apart(found: DataFrame) -> DataFrame:
-        """``listed`` with groups, without the shingles that one group has alone."""
-        named = listed.join(found, listed.key == found.node, "left").select(
-            "shingle", "key", "size", F.coalesce("component", "key").alias("component")
-        )
-        mixed = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        return common.stored(named.join(mixed.select("shingle"), "shingle", "left_semi"), "apart")
-
-    # One class of like size per shingle, and of these the one met most often.
-    sized = listed.withColumn("band", F.floor(F.log("size") / F.lit(-np.log(similarity))))
-    hubs = sized.groupBy("shingle", "band").agg(F.min(F.struct("key", "size")).alias("hub")).select("shingle", "band", "hub.*")
-    likely = met(sized, hubs, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") != F.col("y.key")))
-    found = grouped(likely.groupBy("a").agg(F.max(F.struct("n", "b")).getField("b").alias("b")))
-
-    # One class of each group per shingle against that of the lowest group there.
-    ones = apart(found).groupBy("shingle", "component").agg(F.min(F.struct("key", "size")).alias("one")).select("shingle", "component", "one.*")
-    lowest = ones.groupBy("shingle").agg(F.min(F.struct("component", "key", "size")).alias("one")).select("shingle", "one.*")
-    found = grouped(met(ones, lowest, F.col("x.component") != F.col("y.component")).select("a", "b"), found)
-
-    # Every pair that is left.
-    left = apart(found)
-    pairs = met(left, left, (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")))
-    groups = grouped(pairs.select("a", "b"), found)
-    members = classes.join(groups, classes.key == groups.node, "left").select(*equal, "rep", F.coalesce("component", "key").alias("component"))
-    named = members.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_class = common.stored(members.join(named, "component").select(*equal, "component_id"), "named")
-    return prints.join(by_class, equal).select("doc_id", "component_id")
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id names its group of near copies; rows without an id stay."""
-    groups = similar_groups(docs, shingle, similarity)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_")).distinct()
-    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept_"), "left_semi")
-    return named.unionByName(docs.where("doc_id is null"))
+    keyed = common.keyed(docs)
+    both = common.map_arrow(keyed, common.per_batch(_keyed_prints(shingle), _KEYED), _KEYED)
+    prints = common.stored(both.groupBy("doc_id", "digest").agg(F.first("fp").alias("fp"), F.count("*").alias("n")), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest", "n")
+    kept = prints.join(grouped_prints(prints, max_bits), "fp").groupBy("component").agg(F.min(order).alias("one"))
+    return common.rows_of(docs, kept.select("one.doc_id", "one.digest", "one.n"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from pulsemart.llm import common, simhash
 from tests.llm.conftest import DOCS, rows
@@ -86,96 +87,20 @@ def test_components_of_chains_and_stars(spark):
     assert got[301] == got[300] == 300 and 7 not in got
 
 
-def shingles(text, n):
-    words = (text or "").encode().lower().split()
-    return {tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+def test_one_of_each_group_stays(spark, odd):
+    table = odd.unionByName(odd.where("doc_id < 3")).unionByName(odd.where("doc_id is null").withColumn("text", F.lit("no other")))
+    data = [(r.doc_id, r.text) for r in table.collect()]
+    top = brute_components([brute_print(t) for _, t in data])
+    groups = {}
+    for (doc_id, text), t in zip(data, top):
+        groups.setdefault(t, set()).add((doc_id is None, doc_id, text))
+    out = simhash.one_of_each(table)
+    got = [(r.doc_id is None, r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == table.columns and len(got) == len(groups)
+    for members in groups.values():
+        least = min((a, b or 0) for a, b, _ in members)
+        assert sum(g in members and (g[0], g[1] or 0) == least for g in got) == 1
 
 
-def similar_components(texts, n, similarity):
-    sets, parent = [shingles(t, n) for t in texts], list(range(len(texts)))
-
-    def top(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(texts)):
-        for j in range(i):
-            small, large = sorted((len(sets[i]), len(sets[j])))
-            if small >= similarity * large:
-                both = len(sets[i] & sets[j])
-                if both >= similarity * (small + large - both):
-                    a, b = sorted((top(i), top(j)))
-                    parent[b] = a
-    return [top(i) for i in range(len(texts))]
-
-
-def near_copies(seed, n=40):
-    rng = random.Random(seed)
-    out = [None, "", " "]
-    for i in range(n):
-        words = [f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
-        out.append(" ".join(words))
-        for _ in range(rng.randint(0, 4)):  # one changed word: similarity of 0.84 and more
-            copy = list(words)
-            copy[rng.randrange(len(copy))] = "other"
-            out.append(" ".join(copy))
-        if rng.random() < 0.5:  # every tenth word changed: far below
-            out.append(" ".join("x" if k % 10 == 0 else w for k, w in enumerate(words)))
-    return out
-
-
-def test_near_copies_are_met_and_others_left_alone(spark):
-    texts = near_copies(8)
-    df = spark.createDataFrame(rows(texts), DOCS)
-    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
-    top = similar_components(texts, 5, 0.8)
-    assert set(got) == set(range(len(texts)))
-    assert all(top[i] == top[got[i]] for i in got)  # no link that is not there
-    copies = [i for i in got if top[i] != i]
-    assert sum(got[i] != i for i in copies) >= 0.95 * len(copies)
-    assert got[0] == got[1] == got[2] == 0
-
-
-def test_similar_groups_of_odd_tables(odd, empty):
-    assert simhash.similar_groups(odd).count() == odd.count()
-    assert simhash.similar_groups(empty).collect() == []
-
-
-def test_every_near_copy_is_linked(spark):
-    """Copies at the threshold, in chains and in one large group: no link is missed."""
-    rng = random.Random(11)
-    texts = near_copies(12)
-    for gap in (45, 50, 60, 75):  # every so many words one is changed: similarities just above and below 0.8
-        for _ in range(25):
-            words = [f"w{rng.randrange(9000)}" for _ in range(300)]
-            texts += [" ".join(words), " ".join("x" if k % gap == 7 else w for k, w in enumerate(words))]
-    words = [f"g{i}" for i in range(120)]
-    for i in range(200):
-        copy = list(words)
-        for k in rng.sample(range(120), rng.randint(0, 3)):
-            copy[k] = f"n{i}"
-        texts.append(" ".join(copy))
-    rng.shuffle(texts)
-    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows(texts), DOCS)).collect()}
-    top, lowest = similar_components(texts, 5, 0.8), {}
-    for i, t in enumerate(top):
-        lowest.setdefault(t, i)
-    assert got == {i: lowest[t] for i, t in enumerate(top)}
-    assert len(set(got.values())) < len(texts) - 200
-
-
-def test_one_repeated_shingle_makes_no_class(spark):
-    """Texts that share only a line filling more than half of each are different documents."""
-    texts = ["go " * 200 + " ".join(f"t{i}w{k}" for k in range(60)) for i in range(6)]
-    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows(texts), DOCS)).collect()}
-    assert got == {i: i for i in range(len(texts))}
-
-
-def test_a_repeated_passage_does_not_hide_a_copy(spark):
-    texts = []
-    for i in range(6):
-        words = [f"t{i}w{k}" for k in range(124)]
-        texts += [" ".join(words), " ".join(words[:40] + words[40:59] * 20 + words[59:])]
-    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows(texts), DOCS)).collect()}
-    assert got == {i: i - i % 2 for i in range(len(texts))}
+def test_one_of_each_of_an_empty_table(empty):
+    assert simhash.one_of_each(empty).collect() == []
