@@ -3,13 +3,13 @@
 Each stage reads what its predecessor kept. The first four return the columns of documents; the last
 returns one row per packed piece. Every stage judges its own input: quality learns from the labels
 of all rows given, groups of copies and near copies are found among the rows that are left, and the
-mixing rates are fitted to what is left then. Near copies share four fifths
-of their shingles of five words or more. The
-mixing targets ask for clean text only, without repeating any document; a document whose leading
-domain is clean is never thinned.
+mixing rates are fitted to what is left then. Near copies are texts whose fingerprints of three-word
+shingles differ in two bits or fewer, as in op8_simhash. Mixing brings clean text to 98 per cent of
+the words, low and toxic text to one each; no document is repeated, so a domain below its weight stays
+whole, and one whose leading domain is clean is never thinned.
 
-Defined results: rows with a null text are empty texts; rows without an id pass the near-dedup
-stage; an empty table gives an empty result.
+Defined results: rows with a null text are empty texts; of a group of near copies the smallest id
+stays, a row without an id only if the group has no other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pulsemart.llm import common, exact_dedup, mixing, packing, quality, simhash
 from pulsemart.sources.store import shared_folder
 
-SHINGLE_WORDS, SIMILARITY = 5, 0.8
-TARGETS = {"clean": 1.0, "low": 0.0, "toxic": 0.0}
+SHINGLE_WORDS, MAX_BITS = 3, 2
+TARGETS = {"clean": 0.98, "low": 0.01, "toxic": 0.01}
 WHOLE = ["clean"]
 
 
@@ -35,7 +35,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs, SHINGLE_WORDS, SIMILARITY)
+    return simhash.one_of_each(docs, SHINGLE_WORDS, MAX_BITS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
