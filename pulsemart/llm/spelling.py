@@ -33,20 +33,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulsemart.llm import common
 
-LETTERS = re.compile("[A-Za-zÀ-ÿ]+")
 UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 HELD = 200_000  # words a task counts before it hands them on
 COMMON_PAIRS = 256  # pairs of one key above which the key is lengthened
-SEEDS = (1, 2)
+OUT_ROWS = 20_000  # of one Arrow batch handed back to Spark
+REPLACED, WHOLE, TAKEN = 0, 1, 2  # kinds of a lengthened key: a place left open; the shorter word; a place taken out
 
 _COUNTS = pa.schema([("word", pa.string()), ("n", pa.int64())])
-_KEYS = pa.schema([("word", pa.string()), ("n", pa.int64()), ("chunks", pa.bool_()), ("key", pa.string())])
-_OPEN = pa.schema([("word", pa.string()), ("n", pa.int64()), ("chunks", pa.bool_()), ("key", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
+_KEYS = pa.schema([
+    ("word", pa.string()), ("n", pa.int64()), ("key", pa.int64()), ("chunk", pa.bool_()), ("longer", pa.bool_()),
+    ("first", pa.int32()), ("last", pa.int32()),
+])
+_OPEN = pa.schema([("word", pa.string()), ("n", pa.int64()), ("name", pa.int64()), ("kind", pa.int32())])
 
 
-def spelled(doc_id: int | None, run: str, typos: int) -> str:
-    """The run, without one letter where ``typos`` divides the checksum of the id and the run."""
-    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+def spelled(before: int, run: str, typos: int) -> str:
+    """The run, without one letter where ``typos`` divides its checksum; ``before``: the checksum of the id and a colon."""
+    h = zlib.crc32(run.encode(), before)
     if h % typos:
         return run
     at = h % len(run)
@@ -54,12 +57,15 @@ def spelled(doc_id: int | None, run: str, typos: int) -> str:
 
 
 def _counting(typos: int, shortest: int):
+    runs = re.compile(f"[A-Za-zÀ-ÿ]{{{shortest},}}")  # a letter can only be lost, so shorter runs never count
+
     def run(parts):
         held: Counter[str] = Counter()
         for part in parts:
             for doc_id, text in zip(part["doc_id"], part["text"]):
-                for word, n in Counter(LETTERS.findall((text or "").translate(UPPER))).items():
-                    word = spelled(doc_id, word, typos)
+                before = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+                for word, n in Counter(runs.findall((text or "").translate(UPPER))).items():
+                    word = spelled(before, word, typos)
                     if len(word) >= shortest:
                         held[word] += n
                 if len(held) >= HELD:
@@ -82,113 +88,122 @@ def cut(length: int) -> int:
     return (length + 1) // 2
 
 
-def chunk_keys(word: str) -> list[str]:
-    """The two disjoint chunks with the length of the word and their number."""
-    h = cut(len(word))
-    return [f"{len(word)}.0.{word[:h]}", f"{len(word)}.1.{word[h:]}"]
+def _name(text: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text, seed) - (1 << 63)
+
+
+def chunk_keys(word: str) -> list[tuple[int, int, int]]:
+    """(key, first, last) of the two disjoint chunks; a key holds the length of the word, the number and the chunk."""
+    h, n = cut(len(word)), len(word)
+    return [(_name(f"{n}.0.{word[:h]}"), 0, h), (_name(f"{n}.1.{word[h:]}"), h, n)]
 
 
-def gram_keys(word: str) -> list[str]:
-    """The positional grams that can be a chunk of a word as long or one shorter, within one place of it."""
-    keys = set()
-    for length in (len(word) - 1, len(word)):
+def gram_keys(word: str) -> list[tuple[int, bool, int, int]]:
+    """(key, longer, first, last) of the positional grams that can be a chunk, within one place of it, of a word as long
+    or, where ``longer``, one shorter."""
+    keys = []
+    for length in (len(word), len(word) - 1):
         h = cut(length)
         for number, (start, end) in enumerate(((0, h), (h, length))):
             for at in range(max(0, start - 1), min(start + 1, len(word) - (end - start)) + 1):
-                keys.add(f"{length}.{number}.{word[at:at + end - start]}")
-    return sorted(keys)
+                keys.append((_name(f"{length}.{number}.{word[at:at + end - start]}"), length < len(word), at, at + end - start))
+    return keys
 
 
-def _keyed(part: dict[str, list]) -> dict[str, list]:
+def _keyed(parts):
     rows = []
-    for word, n in zip(part["word"], part["n"]):
-        rows += [(word, n, True, key) for key in chunk_keys(word)]
-        rows += [(word, n, False, key) for key in gram_keys(word)]
-    return dict(zip(_KEYS.names, map(list, zip(*rows)))) if rows else {name: [] for name in _KEYS.names}
+    for part in parts:
+        for word, n in zip(part["word"], part["n"]):
+            rows += [(word, n, key, True, False, a, b) for key, a, b in chunk_keys(word)]
+            rows += [(word, n, key, False, longer, a, b) for key, longer, a, b in gram_keys(word)]
+            if len(rows) >= OUT_ROWS:
+                yield _columns(_KEYS, rows)
+                rows = []
+    yield _columns(_KEYS, rows)
 
 
-def open_places(word: str, tag: str) -> list[tuple[int, int]]:
-    """128-bit names of the word with each place left out, one after another, in time linear in the word.
+def _columns(schema: pa.Schema, rows: list[tuple]) -> dict[str, list]:
+    return dict(zip(schema.names, map(list, zip(*rows)))) if rows else {name: [] for name in schema.names}
 
-    ``tag`` '?' leaves the place open and keeps it; '' takes it out.
-    """
-    out = []
-    for seed in SEEDS:
-        head, tail, heads, tails = xxhash.xxh64(seed=seed), xxhash.xxh64(seed=seed), [], []
-        for c in word:
-            heads.append(head.intdigest())
-            head.update(c)
-        for c in reversed(word):
-            tails.append(tail.intdigest())
-            tail.update(c)
-        out.append([
-            int.from_bytes(xxhash.xxh64_digest(f"{a},{b},{i if tag else ''}{tag}", seed=seed), "big", signed=True)
-            for i, (a, b) in enumerate(zip(heads, reversed(tails)))
-        ])
-    return list(zip(*out))
-
-
-def whole(word: str) -> list[tuple[int, int]]:
-    """Names under which the word meets longer ones that have one place taken out: each way to cut it in two."""
+
+def _ends(word: str) -> tuple[list[int], list[int]]:
+    """Digests of every beginning and of every end of the word, shortest beginning and longest end first; linear."""
     out = []
-    for seed in SEEDS:
-        head, tail, heads, tails = xxhash.xxh64(seed=seed), xxhash.xxh64(seed=seed), [], []
-        for c in word:
-            heads.append(head.intdigest())
-            head.update(c)
-        heads.append(head.intdigest())
-        for c in reversed(word):
-            tails.append(tail.intdigest())
-            tail.update(c)
-        tails.append(tail.intdigest())
-        out.append([
-            int.from_bytes(xxhash.xxh64_digest(f"{a},{b},", seed=seed), "big", signed=True)
-            for a, b in zip(heads, reversed(tails))
-        ])
-    return list(zip(*out))
-
-
-def _lengthened(part: dict[str, list]) -> dict[str, list]:
-    """Rows of common keys, once per name; only names with the same rest meet again."""
+    for letters in (word, reversed(word)):
+        digest = xxhash.xxh64()
+        found = [digest.intdigest()]
+        for c in letters:
+            digest.update(c)
+            found.append(digest.intdigest())
+        out.append(found)
+    return out[0], out[1][::-1]
+
+
+def lengthened(word: str, kind: int, places) -> list[int]:
+    """Names of the word with each of ``places`` left open or taken out, or of the word cut there (``WHOLE``)."""
+    heads, tails = _ends(word)
+    if kind == REPLACED:
+        return [_name(f"{heads[i]},{i},{tails[i + 1]}") for i in places]
+    if kind == TAKEN:
+        return [_name(f"{heads[i]},{tails[i + 1]}", 1) for i in places]
+    return [_name(f"{heads[i]},{tails[i]}", 1) for i in places]
+
+
+def _lengthening(parts):
     rows = []
-    for word, n, chunks, key in zip(part["word"], part["n"], part["chunks"], part["key"]):
-        length = int(key[:key.index(".")])
-        if len(word) == length:
-            rows += [(word, n, chunks, key, *name) for name in open_places(word, "?")]
-        rows += [(word, n, chunks, key, *name) for name in (whole(word) if chunks else open_places(word, "") if len(word) > length else [])]
-    return dict(zip(_OPEN.names, map(list, zip(*rows)))) if rows else {name: [] for name in _OPEN.names}
+    for part in parts:
+        for word, n, spans in zip(part["word"], part["n"], part["spans"]):
+            places = {REPLACED: set(), WHOLE: set(), TAKEN: set()}
+            for span in spans:
+                outside = {*range(span["first"]), *range(span["last"], len(word))}
+                if not span["longer"]:
+                    places[REPLACED] |= outside
+                if span["chunk"]:
+                    places[WHOLE] |= {*range(span["first"] + 1), *range(span["last"], len(word) + 1)}
+                if span["longer"]:
+                    places[TAKEN] |= outside
+            for kind, some in places.items():
+                rows += [(word, n, name, kind) for name in lengthened(word, kind, sorted(some))]
+            if len(rows) >= OUT_ROWS:
+                yield _columns(_OPEN, rows)
+                rows = []
+    yield _columns(_OPEN, rows)
 
 
 def near_pairs(words: DataFrame, common_pairs: int = COMMON_PAIRS) -> DataFrame:
     """word, n, other, other_n: every ordered pair of words of ``words`` (word, n) exactly one edit apart."""
-    keyed = common.stored(common.map_arrow(words.select("word", "n"), common.per_batch(_keyed, _KEYS), _KEYS), "keys")
-    sizes = keyed.groupBy("key").agg(
-        F.count_if("chunks").alias("x"), F.count_if(~F.col("chunks")).alias("y"), F.min("word").alias("low"), F.max("word").alias("high")
-    ).where("x > 0 and low <> high")
-    sizes = common.stored(sizes.select("key", (F.col("x") * F.col("y") > common_pairs).alias("common")), "key-sizes")
-
-    def met(rows: DataFrame, keys: list[str]) -> DataFrame:
-        x, y = rows.where("chunks").alias("x"), rows.where("not chunks").alias("y")
-        same = F.lit(True)
-        for k in keys:
-            same = same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
-        once = (F.char_length("x.word") < F.char_length("y.word")) | (F.col("x.word") < F.col("y.word"))
-        near = F.levenshtein("x.word", "y.word", 1) == 1
-        return x.join(y, same & once & near).select(
-            F.col("x.word").alias("word"), F.col("x.n").alias("n"), F.col("y.word").alias("other"), F.col("y.n").alias("other_n")
-        )
-
-    rare = keyed.join(sizes.where("not common").select("key"), "key", "left_semi")
-    wide = keyed.join(sizes.where("common").select("key"), "key", "left_semi").select(*_KEYS.names)
-    wide = common.map_arrow(wide, common.per_batch(_lengthened, _OPEN), _OPEN)
-    pairs = met(rare, ["key"]).unionByName(met(wide, ["key", "a", "b"])).distinct()
+    keyed = common.stored(common.map_arrow(words.select("word", "n"), common.batches(_keyed, _KEYS), _KEYS), "keys")
+    sizes = keyed.groupBy("key").agg(F.count_if("chunk").alias("x"), F.count_if(~F.col("chunk")).alias("y"))
+    # A word alone has its chunk and its gram at a key.
+    sizes = sizes.where("x > 0 and x + y > 2").select("key", (F.col("x") * F.col("y") > common_pairs).alias("common"))
+    shared = keyed.join(common.stored(sizes, "key-sizes"), "key")
+
+    def sides(x: str, y: str):
+        """The members of a group on either side; a group is bounded in size."""
+        member = F.struct("word", "n", *(["kind"] if "kind" in x else []))
+        return F.collect_list(F.when(F.expr(x), member)).alias("xs"), F.collect_list(F.when(F.expr(y), member)).alias("ys")
+
+    def paired(groups: DataFrame, meets) -> DataFrame:
+        both = groups.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
+        both = both.where(meets & (F.levenshtein("x.word", "y.word", 1) == 1))
+        return both.select(F.col("x.word").alias("word"), F.col("x.n").alias("n"), F.col("y.word").alias("other"), F.col("y.n").alias("other_n"))
+
+    short = F.char_length("x.word") < F.char_length("y.word")
+    rare = shared.where("not common").groupBy("key").agg(*sides("chunk", "not chunk"))
+    pairs = paired(rare, short | (F.col("x.word") < F.col("y.word")))
+
+    spans = shared.where("common").groupBy("word", "n").agg(F.collect_list(F.struct("chunk", "longer", "first", "last")).alias("spans"))
+    names = common.map_arrow(spans, common.batches(_lengthening, _OPEN), _OPEN).groupBy("name")
+    names = names.agg(*sides(f"kind <> {TAKEN}", f"kind <> {WHOLE}")).where("size(xs) > 0 and size(ys) > 0 and (size(xs) > 1 or xs[0].kind <> ys[0].kind)")
+    once = f"(x.kind = {REPLACED} and y.kind = {REPLACED} and x.word < y.word) or (x.kind = {WHOLE} and y.kind = {TAKEN})"
+    pairs = pairs.unionByName(paired(names, F.expr(once))).distinct()
     return pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
 
 
 def variants(words: DataFrame, factor: int = 5, common_pairs: int = COMMON_PAIRS) -> DataFrame:
     """word, form, root, n, n_near, form_n of every word of ``words`` (word, n)."""
-    pairs = common.stored(near_pairs(words, common_pairs), "pairs")
-    best = pairs.groupBy("word").agg(
+    best = near_pairs(words, common_pairs)
+    best = best.groupBy("word").agg(
         F.count("*").alias("n_near"),
         F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("form"))).alias("best"),
     ).select("word", "n_near", F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n"))

@@ -57,20 +57,22 @@ def found(df):
     return {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in df.collect()}
 
 
+def names(word, kind):
+    return set(s.lengthened(word, kind, range(len(word) + (kind == s.WHOLE))))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("abÀ", min_size=2, max_size=9), st.text("abÀ", min_size=2, max_size=9))
 def test_one_edit_always_leaves_a_shared_key(a, b):
     x, y = sorted((a, b), key=len)
     if distance_is_one(x, y):
-        assert set(s.chunk_keys(x)) & set(s.gram_keys(y))
-        names = set(s.open_places(x, "?")) & set(s.open_places(y, "?")) if len(x) == len(y) else set(s.whole(x)) & set(s.open_places(y, ""))
-        assert names
+        assert {k for k, *_ in s.chunk_keys(x)} & {k for k, *_ in s.gram_keys(y)}
+        assert names(x, s.REPLACED) & names(y, s.REPLACED) if len(x) == len(y) else names(x, s.WHOLE) & names(y, s.TAKEN)
 
 
 def test_few_words_share_a_lengthened_key():
     words = ["".join(p) for p in itertools.product("abc", repeat=6)]
-    names = Counter(name for w in words for name in s.open_places(w, "?"))
-    assert max(names.values()) == 3
+    assert max(Counter(name for w in words for name in names(w, s.REPLACED)).values()) == 3
 
 
 def words_with_counts(spark):
