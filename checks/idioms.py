@@ -65,6 +65,10 @@ SQL = {
     "s6_values_lookup": n("dx_code, dx_name, lookup_category",
                           "fact_diagnosis JOIN lk_diagnoses ON upper(icd_code) = dx_code"),
     "s7_row_generator": f"SELECT c_custkey AS id, {u('c_custkey', 1, 16000, 32000)} AS days FROM customer",
+    "s8_key_registry": """
+        WITH loads AS (SELECT patient_id, CASE WHEN CAST(right(patient_id, 1) AS INTEGER) % 2 = 0 THEN 1 ELSE 2 END AS load
+                       FROM dim_patient)
+        SELECT patient_id, row_number() OVER (ORDER BY load, patient_id) AS patient_key FROM loads""",
     "s8_surrogate_keys": f"SELECT {key('encounter_id')} AS encounter_key, encounter_id FROM fact_encounter",
     "s9_versioned_snapshot": n(f"'V1' AS dataset_version, {printed(CLINICAL_DAY)} AS created_at, computed_risk", "fact_rehab_referral"),
     "s10_log_scan": f"""

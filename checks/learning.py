@@ -99,18 +99,21 @@ OPINIONS = """
                 ELSE 'MODERATE' END AS second_opinion FROM fact_rehab_referral"""
 FOUND = lambda items: f"list_filter({LISTED(items)}, lambda t: contains(lower(note_text), t))"
 
+HISTORY = f"""
+    WITH ordered AS (
+      SELECT *, row(address, marital_status, primary_language) AS state,
+             lag(row(address, marital_status, primary_language)) OVER w AS before_state, lag(1) OVER w AS had_before
+      FROM raw_patients WINDOW w AS (PARTITION BY patient_id ORDER BY load_timestamp ASC NULLS LAST, record_id)),
+    changed AS (SELECT * FROM ordered WHERE had_before IS NULL OR before_state IS DISTINCT FROM state)
+    SELECT patient_id, {STATE}, strftime(load_timestamp, '%Y-%m-%d %H:%M:%S.%f') AS effective_from,
+           CASE WHEN lead(1) OVER v IS NULL THEN '9999-12-31 00:00:00.000000'
+                ELSE strftime(lead(load_timestamp) OVER v, '%Y-%m-%d %H:%M:%S.%f') END AS effective_to,
+           lead(1) OVER v IS NULL AS is_current
+    FROM changed WINDOW v AS (PARTITION BY patient_id ORDER BY load_timestamp ASC NULLS LAST, record_id)"""
+
 SQL = {
-    "t9_patient_history": f"""
-        WITH ordered AS (
-          SELECT *, row(address, marital_status, primary_language) AS state,
-                 lag(row(address, marital_status, primary_language)) OVER w AS before_state, lag(1) OVER w AS had_before
-          FROM raw_patients WINDOW w AS (PARTITION BY patient_id ORDER BY load_timestamp ASC NULLS LAST, record_id)),
-        changed AS (SELECT * FROM ordered WHERE had_before IS NULL OR before_state IS DISTINCT FROM state)
-        SELECT patient_id, {STATE}, strftime(load_timestamp, '%Y-%m-%d %H:%M:%S.%f') AS effective_from,
-               CASE WHEN lead(1) OVER v IS NULL THEN '9999-12-31 00:00:00.000000'
-                    ELSE strftime(lead(load_timestamp) OVER v, '%Y-%m-%d %H:%M:%S.%f') END AS effective_to,
-               lead(1) OVER v IS NULL AS is_current
-        FROM changed WINDOW v AS (PARTITION BY patient_id ORDER BY load_timestamp ASC NULLS LAST, record_id)""",
+    "t9_patient_history": HISTORY,
+    "t9_merged_history": HISTORY,
     "l1_patient_clinical_features": f"SELECT *, {printed(CLINICAL_DAY)} AS feature_computed_at FROM ({FEATURES})",
     "l2_diagnosis_features": DX,
     "l3_medication_features": MED,

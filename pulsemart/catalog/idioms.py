@@ -10,11 +10,13 @@ from pulsemart.functions import dates, masks, numbers as num, rules
 from pulsemart.operators.latest import latest_by, newest_first
 from pulsemart.operators.neighbours import windowed
 from pulsemart.operators.sampling import sample
+from pulsemart.operators.surrogates import registered
 from pulsemart.plans import audit, dashboard as d, features as f, gold, governance, quality, usage
 from pulsemart.plans.health import Health
 from pulsemart.plans.logs import Logs, recent
 from pulsemart.sources import bridge, generators, lookups as L, store
 from pulsemart.sources.schemas import schema
+from pulsemart.sources.versions import VersionedTable
 
 PATIENT = "PAT-000000000016"
 READER = "CLINICIAN_3"
@@ -45,7 +47,11 @@ def typed_scan(h: Health):
 
 
 def ctas(h: Health):
-    return _n(store.save(h.fact_encounter, _folder(h, "fact_encounter")), "encounter_type")
+    """Builds the table anew over an older version, which stays readable until the new one is complete."""
+    table = VersionedTable(h.spark, _folder(h, "fact_encounter"), "encounter_id")
+    table.overwrite(h.fact_encounter.where("encounter_type = 'EMERGENCY'"))
+    table.overwrite(h.fact_encounter)
+    return _n(table.read(), "encounter_type")
 
 
 def insert_select(h: Health):
@@ -59,9 +65,12 @@ def insert_select(h: Health):
 
 
 def full_refresh(h: Health):
-    path = _folder(h, "fact_rehab_outcome")
-    store.refresh(h.fact_rehab_outcome, path)
-    return _n(store.refresh(h.fact_rehab_outcome, path), "measurement_point")
+    """Reloads the table twice; the second load reads what the first has stored."""
+    table = VersionedTable(h.spark, _folder(h, "fact_rehab_outcome"), "outcome_id")
+    table.overwrite(h.fact_rehab_outcome)
+    table.overwrite(table.read())
+    table.remove_old()
+    return _n(table.read(), "measurement_point")
 
 
 def named_view(h: Health):
@@ -85,6 +94,13 @@ def surrogate_keys(h: Health):
     return h.stored("fact_encounter").select("encounter_key", "encounter_id")
 
 
+def key_registry(h: Health):
+    """Numbers of two loads: patients of even customers first, then all of them."""
+    registry = VersionedTable(h.spark, _folder(h, "patient_keys"), "patient_id")
+    registered(registry, h.dim_patient.where(F.right("patient_id", F.lit(1)).cast("int") % 2 == 0), "patient_id", "patient_key")
+    return registered(registry, h.dim_patient, "patient_id", "patient_key")
+
+
 def versioned_snapshot(h: Health):
     rows = h.fact_rehab_referral.select("referral_id", "computed_risk")
     saved = store.save(store.snapshot(rows, "V1", h.as_of), _folder(h, "training"), ["dataset_version"])
@@ -114,6 +130,7 @@ SCANS = {
     "s6_values_lookup": values_lookup,
     "s7_row_generator": row_generator,
     "s8_surrogate_keys": surrogate_keys,
+    "s8_key_registry": key_registry,
     "s9_versioned_snapshot": versioned_snapshot,
     "s10_log_scan": lambda h: recent(
         _logs(h).query_history, "start_time", _logs(h).as_of, 30, "DAY", {"warehouse_name": "HEALTH_%"}

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pulsemart.functions import text as tx
-from pulsemart.operators.history import versions
+from pulsemart.operators.history import merge_versions, stored_versions, versions
 from pulsemart.operators.vectors import nearest
 from pulsemart.plans import embeddings as em, features as f, notes as n
 from pulsemart.plans.health import Health
 from pulsemart.sources import bridge, lookups
-from pulsemart.sources.store import table_counts
+from pulsemart.sources.store import shared_folder, table_counts
+from pulsemart.sources.versions import VersionedTable
 
 TRACKED = ["address", "marital_status", "primary_language"]
 MODEL_COLUMNS = ["model_id", "model_name", "model_version", "model_type", "task", "target_platform",
@@ -47,7 +50,17 @@ def _nearest_to_classes(h: Health):
     return nearest(corpus, [r.vec_id for r in firsts], "vec_id", "embedding", 5)
 
 
+def _merged_history(h: Health):
+    """The history of patients from a stored dimension into which three loads are merged, the last one first."""
+    table = VersionedTable(h.spark, f"{shared_folder(h.spark)}/tables/dim_patient-{uuid.uuid4().hex}", "patient_id")
+    load = F.pmod(F.xxhash64("patient_id", "record_id"), F.lit(3))
+    for number in (2, 0, 1):
+        merge_versions(table, h.raw_patients.where(load == number), TRACKED)
+    return stored_versions(table, TRACKED)
+
+
 QUERIES = {
+    "t9_merged_history": _merged_history,
     "t9_patient_history": lambda h: versions(h.raw_patients, "patient_id", TRACKED),
     "l1_patient_clinical_features": _features,
     "l2_diagnosis_features": lambda h: f.diagnosis_block(h.fact_diagnosis),

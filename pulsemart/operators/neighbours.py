@@ -3,6 +3,9 @@
 A plain window sends every row of a key to one task. Keys above a row limit are cut into
 slices along the sort order instead; each slice also receives the last rows of the slices
 before it, so the window sees exactly the neighbours it would see in the whole key.
+
+Everything is part of the plan: rows per key are counted when the plan runs, not when it is built,
+and the cuts follow from the smallest and largest place of a key, so that every retry cuts alike.
 """
 
 from __future__ import annotations
@@ -24,57 +27,49 @@ def windowed(
     columns: Callable[[WindowSpec], dict[str, Column]],
     hot_rows: int = HOT_ROWS,
     sized_by: DataFrame | None = None,
+    place: str | None = None,
+    unknown_last: bool = False,
 ) -> DataFrame:
     """Adds ``columns(window)``, where the window runs over ``key`` (never null) in ascending ``order``.
 
     ``order`` must be a total order within a key, and the columns may look at most
-    ``lookback`` rows back. One pass counts rows per key; only if a key exceeds ``hot_rows``
-    is the sliced form added, and then only for the rows of such keys. ``sized_by`` is a
-    cheaper frame to count in: any frame that has at least as many rows per key as ``df``,
+    ``lookback`` rows back. ``place`` is a number or time that never falls along the order (by default its
+    first column; rows without one come first, or with ``unknown_last`` last): a key of more than
+    ``hot_rows`` rows is cut into equal spans of it, so only rows alike in it are never parted.
+    ``sized_by`` is a cheaper frame to count in, with at least the rows and places of each key of ``df``,
     such as the stored table that ``df`` is derived from.
     """
-    hot = _hot_bounds(df, df if sized_by is None else sized_by, key, order, hot_rows)
-    if hot is None:
-        return df.withColumns(columns(Window.partitionBy(key).orderBy(*order)))
-    hot = F.broadcast(hot)  # rows / hot_rows bounds at most, over all keys
-    calm = df.join(hot, key, "left_anti")
-    plain = calm.withColumns(columns(Window.partitionBy(key).orderBy(*order)))
-    sliced = _with_carried_rows(df.join(hot, key), key, order, lookback)
-    exact = sliced.withColumns(columns(Window.partitionBy(key, "_slice").orderBy(*order)))
-    return plain.unionByName(exact.filter(~F.col("_carried")).drop("_slice", "_carried"))
-
-
-def _hot_bounds(df: DataFrame, sized_by: DataFrame, key: str, order: list[str], hot_rows: int) -> DataFrame | None:
-    """Keys above the limit with the sort values at which they are cut, or None.
-
-    A sample only chooses where to cut; every row is kept, wherever the cuts fall. The bounds
-    are brought to the driver (bounded, see above) so that they are the same on every retry.
-    """
-    counted = sized_by.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
-    wanted = F.ceil(F.col("_rows") / hot_rows)
-    hot = [(r[0], r["_rows"], r["_slices"]) for r in counted.withColumn("_slices", wanted).collect()]
-    if not hot:
-        return None
-    spark = df.sparkSession
-    key_type = df.schema[key].dataType.simpleString()
-    sizes = spark.createDataFrame(hot, f"`{key}` {key_type}, _rows long, _slices long")
-    place = F.struct(*order)
-    sampled = (
-        df.join(F.broadcast(sizes), key)
-        .filter(F.rand(17) < 20 * F.col("_slices") / F.col("_rows"))
-        .groupBy(key, "_slices")
-        .agg(F.array_sort(F.collect_list(place)).alias("_all"))
-    )
-    step = F.greatest(F.lit(1), (F.size("_all") / F.col("_slices")).cast("int"))
-    bounds = sampled.select(key, F.filter("_all", lambda _, i: (i > 0) & (i % step == 0)).alias("_bounds"))
-    fixed = spark.createDataFrame(bounds.collect(), bounds.schema)
-    return sizes.select(key).join(fixed, key, "left")
+    place = place or order[0]
+    hot = F.broadcast(_hot_keys(df if sized_by is None else sized_by, key, place, hot_rows))  # rows / hot_rows at most
+    if dict(df.dtypes)[place] in ("timestamp", "timestamp_ntz", "date"):
+        at = _micros(place)
+    else:
+        at = F.col(place).cast("double")
+    span = F.floor((at - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * F.col("_slices"))
+    unknown = F.col("_slices") - 1 if unknown_last else F.lit(0)
+    inside = F.least(F.greatest(F.coalesce(span, unknown), F.lit(0)), F.col("_slices") - 1)
+    sliced = df.join(hot, key, "left").withColumn("_slice", F.coalesce(inside, F.lit(0)).cast("int")).drop("_low", "_high")
+    cut = sliced.where("_slices is not null").drop("_slices")
+    rows = sliced.drop("_slices").withColumn("_carried", F.lit(False)).unionByName(_carried_rows(cut, key, order, lookback))
+    found = rows.withColumns(columns(Window.partitionBy(key, "_slice").orderBy(*order)))
+    return found.filter(~F.col("_carried")).drop("_slice", "_carried")
+
+
+def _micros(name: str) -> Column:
+    return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+
+
+def _hot_keys(df: DataFrame, key: str, place: str, hot_rows: int) -> DataFrame:
+    """Keys above the limit, the span of their places and the slices they are cut into."""
+    timed = dict(df.dtypes)[place] in ("timestamp", "timestamp_ntz", "date")
+    at = _micros(place) if timed else F.col(place).cast("double")
+    sizes = df.groupBy(key).agg(F.count("*").alias("_rows"), F.min(at).alias("_low"), F.max(at).alias("_high"))
+    slices = F.ceil(F.col("_rows") / hot_rows).alias("_slices")
+    return sizes.where(F.col("_rows") > hot_rows).select(key, "_low", "_high", slices)
 
 
-def _with_carried_rows(df: DataFrame, key: str, order: list[str], lookback: int) -> DataFrame:
-    place = F.struct(*order)
-    cut = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= place)), F.lit(0))
-    sliced = df.withColumn("_slice", cut).drop("_bounds").withColumn("_carried", F.lit(False))
+def _carried_rows(sliced: DataFrame, key: str, order: list[str], lookback: int) -> DataFrame:
+    """The last rows of each slice, once for every later slice whose first rows look back to them."""
     # The slices that exist, numbered without gaps, so "the slice before" always has a row.
     slices = sliced.select(key, "_slice").distinct()
     numbered = slices.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_slice")))
@@ -82,7 +77,7 @@ def _with_carried_rows(df: DataFrame, key: str, order: list[str], lookback: int)
         sliced.withColumn("_piece", F.struct(key, "_slice")), "_piece", [F.desc(c) for c in order], lookback
     ).drop("_piece")
     # Each slice holds at least one row, so the last `lookback` slices hold enough of them.
-    carried = (
+    return (
         tails.join(F.broadcast(numbered), [key, "_slice"])
         .withColumn("_to", F.explode(F.sequence(F.col("_n") + 1, F.col("_n") + lookback)))
         .drop("_slice", "_n")
@@ -90,4 +85,3 @@ def _with_carried_rows(df: DataFrame, key: str, order: list[str], lookback: int)
         .drop("_to")
         .withColumn("_carried", F.lit(True))
     )
-    return sliced.unionByName(carried)
