@@ -308,7 +308,7 @@ SQL = {
         WHERE failures >= 2""",
     "z3_daily_sessions": f"""
         SELECT CAST(session_date AS VARCHAR) AS session_date, count(*) AS sessions_conducted,
-               count(DISTINCT patient_id) > 0 AS unique_patients_estimate, avg(duration_minutes) AS avg_duration, avg(peak_hr) AS avg_peak_hr,
+               count(DISTINCT patient_id) AS unique_patients, avg(duration_minutes) AS avg_duration, avg(peak_hr) AS avg_peak_hr,
                {ONE('exercise_terminated_early')} AS early_terminations,
                {TOTAL('ecg_monitor_minutes')} AS total_ecg_minutes FROM raw_rehab_sessions GROUP BY 1""",
     "z4_newest_encounters": """

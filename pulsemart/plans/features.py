@@ -109,16 +109,8 @@ def cardiac_rehab_features(
         means = {f"rolling_3_avg_{n}": F.avg(c).over(last_three) for n, c in pairs.items()}
         return means | {f"{n}_delta": F.col(c) - F.lag(c).over(window) for n, c in pairs.items()}
 
-    found = windowed(
-        joined.withColumn("_place", _place()), "patient_id", ["session_number", "referral_id", "session_id"], 2, trends, hot_rows,
-        None if sized_by is None else sized_by.withColumn("_place", _place()), "_place",
-    )
-    return found.drop("_place").withColumn("feature_computed_at", as_of)
-
-
-def _place() -> Column:
-    """A number that never falls along session number and referral: the padded digits of the referral break ties."""
-    return F.col("session_number") + F.substring("referral_id", -12, 12).cast("double") / 1e12
+    found = windowed(joined, "patient_id", ["session_number", "referral_id", "session_id"], 2, trends, hot_rows, sized_by)
+    return found.withColumn("feature_computed_at", as_of)
 
 
 def latest_encounter(encounters: DataFrame) -> DataFrame:

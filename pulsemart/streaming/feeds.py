@@ -13,6 +13,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsemart.sources.store import shared_folder
+from pulsemart.sources.versions import VersionedTable
+
+MERGED_FILES = 200  # files of streamed state above which it is put together
 
 
 def read_feed(spark: SparkSession, folder: str, pattern: str, files_per_batch: int | None = None) -> DataFrame:
@@ -53,8 +56,28 @@ def run_to_table(
         return shape(spark.createDataFrame([], stream.schema)).withColumn("batch", F.lit(0))  # nothing has arrived yet
 
 
-def newest_state(batches: DataFrame, keys: list[str]) -> DataFrame:
-    """The last emitted row per key of an update-mode aggregate."""
-    values = [c for c in batches.columns if c not in (*keys, "batch")]
-    last = batches.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
-    return last.select(*keys, "v.*")
+def run_to_versions(
+    stream: DataFrame, table: VersionedTable, shape: Callable[[DataFrame], DataFrame], merged: Callable[[DataFrame], DataFrame],
+    files: int = MERGED_FILES,
+) -> DataFrame | None:
+    """Runs the stream into a versioned table of mergeable state; its rows, or None if nothing has arrived yet.
+
+    A batch appends ``shape(batch)``, and the manifest takes the number of the batch in the same commit, so a batch
+    that runs again after a failure is not counted twice. Above ``files`` files the state is put together by
+    ``merged``, so it holds what the keys need and not what the batches brought.
+    """
+    def store(batch: DataFrame, number: int) -> None:
+        manifest = table.manifest()
+        if number <= manifest["counters"].get("batch", -1):
+            return
+        table.append(shape(batch), {"batch": number})
+        if len(table.manifest()["files"]) > files:
+            table.overwrite(merged(table.read()))
+            table.remove_old()
+
+    query = (
+        stream.writeStream.option("checkpointLocation", f"{table.folder}/progress")
+        .trigger(availableNow=True).foreachBatch(store).start()
+    )
+    query.awaitTermination()
+    return table.read() if table.versions() else None

@@ -7,11 +7,15 @@ or doubled where summer time begins or ends; the session's zone must be UTC.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from pulsemart.functions.numbers import count_where
 from pulsemart.operators.latest import latest_by, newest_first
-from pulsemart.streaming.feeds import newest_state, run_to_table
+from pulsemart.sources.store import shared_folder
+from pulsemart.sources.versions import VersionedTable
+from pulsemart.streaming.feeds import MERGED_FILES, run_to_table, run_to_versions
 
 
 def _in_utc(feed: DataFrame) -> None:
@@ -54,17 +58,38 @@ def login_spikes(
     return _windowed_counts(found, ["user_name"], folder).filter(F.col("failures") >= at_least)
 
 
-def daily_sessions(sessions: DataFrame, folder: str | None = None) -> DataFrame:
-    """Session figures per day, kept up to date. Distinct patients are estimated on a stream."""
-    daily = sessions.groupBy("session_date").agg(
-        F.count("*").alias("sessions_conducted"),
-        F.approx_count_distinct("patient_id").alias("unique_patients_estimate"),
-        F.avg("duration_minutes").alias("avg_duration"),
-        F.avg("peak_hr").alias("avg_peak_hr"),
-        count_where(F.col("exercise_terminated_early")).alias("early_terminations"),
-        F.sum("ecg_monitor_minutes").alias("total_ecg_minutes"),
+def _patient_days(sessions: DataFrame) -> DataFrame:
+    """Figures per day and patient that can be added up; their number is the exact count of patients of a day."""
+    keyed = sessions.groupBy("session_date", "patient_id").agg(
+        F.count("*").alias("n"), F.sum("duration_minutes").alias("duration"), F.count("duration_minutes").alias("n_duration"),
+        F.sum("peak_hr").alias("peak_hr"), F.count("peak_hr").alias("n_peak_hr"),
+        count_where(F.col("exercise_terminated_early")).alias("early"), F.sum("ecg_monitor_minutes").alias("ecg"),
+    )
+    return keyed.withColumn("state_key", F.xxhash64("session_date", "patient_id"))
+
+
+def _put_together(state: DataFrame) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in ("n", "duration", "n_duration", "peak_hr", "n_peak_hr", "early", "ecg")]
+    return state.groupBy("session_date", "patient_id").agg(*sums, F.first("state_key").alias("state_key"))
+
+
+def daily_sessions(sessions: DataFrame, folder: str | None = None, files: int = MERGED_FILES) -> DataFrame:
+    """Session figures per day, kept up to date, with the exact number of different patients.
+
+    Batches store figures per day and patient, which add up in any order; state grows with the pairs of day and
+    patient, not with batches or sessions. No watermark is needed, so rows of any delay are counted.
+    """
+    spark = sessions.sparkSession
+    table = VersionedTable(spark, folder or f"{shared_folder(spark)}/feeds/{uuid.uuid4().hex}", "state_key")
+    state = run_to_versions(sessions, table, _patient_days, _put_together, files)
+    if state is None:
+        state = _patient_days(spark.createDataFrame([], sessions.schema))
+    return _put_together(state).groupBy("session_date").agg(
+        F.sum("n").alias("sessions_conducted"), F.count("patient_id").alias("unique_patients"),
+        (F.sum("duration") / F.nullif(F.sum("n_duration"), F.lit(0))).alias("avg_duration"),
+        (F.sum("peak_hr") / F.nullif(F.sum("n_peak_hr"), F.lit(0))).alias("avg_peak_hr"),
+        F.sum("early").alias("early_terminations"), F.sum("ecg").alias("total_ecg_minutes"),
     )
-    return newest_state(run_to_table(daily, "update", folder=folder), ["session_date"])
 
 
 def newest_per_key(feed: DataFrame, key: str, load_time: str, record: str, folder: str | None = None) -> DataFrame:

@@ -97,3 +97,26 @@ def test_other_zones_are_refused(spark, sf_dir):
             monitors.failure_spikes(stream, "ts", F.col("event_type") == "error", 0)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@pytest.mark.parametrize("cuts, merged", [(1, 200), (5, 3)])
+def test_daily_sessions_count_patients_exactly_over_any_cut(spark, sf_dir, tmp_path, cuts, merged):
+    raw = bridge.raw_rehab_sessions(spark, bridge.lines_with_patient(spark, sf_dir))
+    mixed = raw.unionByName(raw.where("session_number = 7")).withColumn("_at", F.xxhash64("record_id"))
+    folder = tmp_path / "sessions"
+    stream = _split(spark, mixed, folder, cuts, "_at")
+    got = monitors.daily_sessions(stream.drop("_at"), str(tmp_path / "state"), files=merged)
+    want = mixed.groupBy("session_date").agg(
+        F.count("*").alias("sessions_conducted"), F.countDistinct("patient_id").alias("unique_patients"),
+        F.avg("duration_minutes").alias("avg_duration"), F.avg("peak_hr").alias("avg_peak_hr"),
+        F.count(F.when(F.col("exercise_terminated_early"), 1)).alias("early_terminations"),
+        F.sum("ecg_monitor_minutes").alias("total_ecg_minutes"),
+    )
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    # Goes on where it stopped: nothing is counted twice, and what comes later is added.
+    again = monitors.daily_sessions(feeds.read_feed(spark, str(folder), "*.parquet").drop("_at"), str(tmp_path / "state"))
+    assert again.select(F.sum("sessions_conducted")).first()[0] == mixed.count()
+    raw.where("session_number = 8").withColumn("_at", F.lit(0).cast("long")).coalesce(1).write.mode("append").parquet(str(folder))
+    more = monitors.daily_sessions(feeds.read_feed(spark, str(folder), "*.parquet").drop("_at"), str(tmp_path / "state"))
+    assert more.select(F.sum("sessions_conducted")).first()[0] == mixed.count() + raw.where("session_number = 8").count()
+    assert more.select(F.sum("unique_patients")).first()[0] == want.select(F.sum("unique_patients")).first()[0]
