@@ -233,8 +233,9 @@ def cosine_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"),
         F.col("embedding").cast("array<double>").alias("vector"),
     ).withColumn("usable", F.col("vec_id").isNotNull() & F.col("label").isNotNull() & _valid("vector"))
-    classes = rows.where("usable").groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
-    classes = common.stored(classes.withColumn("dim", F.size("vector")), "classes")
+    # A class of equal vectors has a number of its own: rows of different vectors may carry one vec_id.
+    classes = rows.where("usable").groupBy("label", "vector").agg(F.min("vec_id").alias("low"), F.count("*").alias("mult"))
+    classes = common.stored(classes.withColumn("dim", F.size("vector")).withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     large = classes.groupBy(*_KEY).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).orderBy(F.desc("n"), *_KEY).limit(PIVOT_LABELS).collect()
     sizes = spark.createDataFrame([(r["label"], r["dim"], min(PIVOTS, 2 * -(-r["n"] // BLOCK))) for r in large], "label string, dim int, pivots int")
@@ -259,10 +260,13 @@ def cosine_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     groups = common.components(linked.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_class = (
+    members = common.stored(
         classes.join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "vector", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("label", "vector", "low", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")),
+        "members",
     )
+    named = members.groupBy("component").agg(F.min("low").alias("component_id"))
+    by_class = members.join(named, "component").select("label", "vector", "n_links", "component_id")
     joined = rows.where("usable").join(by_class, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -90,3 +90,9 @@ def test_children_lie_inside_half_the_radius():
     tree = c.CoverTree(x / np.linalg.norm(x, axis=1)[:, None])
     leaves = [i for n, m in enumerate(tree.members) if not tree.children[n] for i in m]
     assert sorted(leaves) == list(range(400))
+
+
+def test_rows_of_one_id_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 1, "", ""), (1, [0.0, 1.0, 0.0], 1, "", ""), (2, [1.0, 0.01, 0.0], 1, "", ""), (0, [0.0, 1.0, 0.0], 2, "", "")]
+    result = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in c.cosine_links(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(result) == [(0, 0, 0, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
