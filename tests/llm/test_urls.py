@@ -63,3 +63,27 @@ def test_no_or_one_kind_of_label(spark):
 
 def test_empty(spark):
     assert u.judge(frame(spark, ["x"]).limit(0)).collect() == []
+
+
+def test_both_verdicts_where_no_rule_fits(spark):
+    judged = u.op7_url_verdicts(spark, "/root/testdata/sf0.1").where("rule is null")
+    found = {r.verdict: r["count"] for r in judged.groupBy("verdict").count().collect()}
+    assert min(found.get("allow", 0), found.get("block", 0)) > 100
+
+
+def test_a_rule_left_out_is_judged_by_likeness(spark):
+    """The trees learn without one rule and judge its URLs; what they can know is the likeness to the others."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    ruled = u.with_rule(u.host_and_path(pages)).where("rule is not null").cache()
+    right = {}
+    for rule in ("net/es/", "net/fr/"):
+        known = ruled.where(F.col("rule") != rule).select("url", (F.col("rule_verdict") == "block").cast("int").alias("label"))
+        got = u.judge(ruled.where(F.col("rule") == rule).select("page_id", "url"), known, rules=[])
+        right[rule] = got.agg(F.avg((F.col("verdict") == "block").cast("double"))).first()[0]
+    assert min(right.values()) > 0.9, right
+
+
+def test_out_of_fold_statistics_leave_the_own_label_out(spark):
+    rows = [("s", 0, 1.0), ("s", 0, 1.0), ("s", 1, 0.0), ("t", 2, 1.0)]
+    got = {(r.suffix, r.fold): r.suffix_block_rate for r in u.out_of_fold_statistics(spark.createDataFrame(rows, "suffix string, fold int, label double")).collect()}
+    assert got == {("s", 0): 5 / 11, ("s", 1): 7 / 12, ("t", 2): 0.5}
