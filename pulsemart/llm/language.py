@@ -2,9 +2,10 @@
 
 A text is the counts of its hashed byte trigrams (letters only, lower case, blanks squeezed), scaled
 to unit length. One linear support vector machine per family separates it from the other families;
-within a family of several languages one machine per language separates it from its relatives. The
-machines are fitted on at most ``SAMPLE_ROWS`` labelled texts, as many of each language, taken
-whole and chosen by id hash; every text of the table is then judged whole.
+within a family of several languages one machine for each pair of them votes, and the language with most
+votes is taken (ties: the larger sum of its shares). The machines are fitted on at most ``SAMPLE_ROWS``
+labelled texts, about as many of each language, taken whole and chosen by id hash; every text of the table
+is then judged whole.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, or when nothing was
 labelled; a language with no known family is a family of its own; with one language learned, that
@@ -14,9 +15,11 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsemart.llm import common
 
@@ -70,6 +73,15 @@ def one_versus_rest(x: np.ndarray, y: np.ndarray, classes: list[str]) -> np.ndar
     return w
 
 
+def one_versus_one(x: np.ndarray, y: np.ndarray, classes: list[str]) -> np.ndarray:
+    """Weights (cells + 1, pairs) of one machine for each pair of classes, in the order of ``combinations``."""
+    out = []
+    for first, second in combinations(classes, 2):
+        rows = (y == first) | (y == second)
+        out.append(one_versus_rest(x[rows], y[rows], [first])[:, 0])
+    return np.stack(out, axis=1)
+
+
 class Model:
     """Machines for the families and, per family of several languages, for its languages."""
 
@@ -80,17 +92,14 @@ class Model:
         self.families = sorted(set(family))
         self.top = one_versus_rest(x, family, self.families) if len(self.families) > 1 else None
         self.members = {f: sorted({c for c in self.learned if FAMILY.get(c, c) == f}) for f in self.families}
-        self.inner = {
-            f: one_versus_rest(x[family == f], y[family == f], codes)
-            for f, codes in self.members.items() if len(codes) > 1
-        }
+        self.inner = {f: one_versus_one(x[family == f], y[family == f], codes) for f, codes in self.members.items() if len(codes) > 1}
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.learned or not has_letter(text):
             return "und", 0.0
         x = np.append(cells(text), np.float32(1))
         family, sure = _choice(self.families, self.top, x)
-        code, surer = _choice(self.members[family], self.inner.get(family), x)
+        code, surer = _vote(self.members[family], self.inner.get(family), x)
         return code, sure * surer
 
 
@@ -104,18 +113,38 @@ def _choice(names: list[str], weights: np.ndarray | None, x: np.ndarray) -> tupl
     return names[best], float(shares[best] / shares.sum())
 
 
+def _vote(names: list[str], weights: np.ndarray | None, x: np.ndarray) -> tuple[str, float]:
+    """The class that wins most of its pairs, and the mean of its shares in them."""
+    if weights is None:
+        return names[0], 1.0
+    votes, shares = np.zeros(len(names)), np.zeros(len(names))
+    margins = (x @ weights).astype(float) * SHARPNESS
+    for (i, j), margin in zip(combinations(range(len(names)), 2), margins.tolist()):
+        share = 1 / (1 + np.exp(-2 * np.clip(margin, -20, 20)))
+        votes[i if margin >= 0 else j] += 1
+        shares[i] += share
+        shares[j] += 1 - share
+    best = int(np.lexsort((-shares, -votes))[0])
+    return names[best], float(shares[best] / (len(names) - 1))
+
+
 def _sampled(part: dict[str, list]) -> dict[str, list]:
     keep = [i for i, t in enumerate(part["text"]) if has_letter(t)]
     return {"lang": [part["lang"][i] for i in keep], "cells": [cells(part["text"][i]).tobytes() for i in keep]}
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on a bounded sample of the rows of ``docs`` (doc_id, text, lang), as many of each language."""
-    ids = docs.where("lang is not null").select("doc_id", "lang")
-    n_languages = max(1, ids.select("lang").distinct().count())
-    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.withColumn("nth", nth).where(F.col("nth") <= max(2, sample_rows // n_languages)).select("doc_id", "lang").distinct()
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    """Fits on a bounded sample of the rows of ``docs`` (doc_id, text, lang), about as many of each language.
+
+    The share taken of a language follows from its count; only rows, not ids, are bounded where one id has many.
+    """
+    marked = docs.where("lang is not null").select("doc_id", "lang")
+    counted = common.stored(marked.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    wanted = max(1, sample_rows // max(1, counted.count()))
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = marked.join(counted, "lang").where(hashed < F.lit(wanted) / F.col("n")).select("doc_id", "lang").distinct()
+    chosen = common.stored(chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample_rows), "sample")
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").limit(sample_rows)
     found = common.map_arrow(texts.select("lang", "text"), common.per_batch(_sampled, _SAMPLED), _SAMPLED).toArrow().to_pydict()
     order = sorted(range(len(found["lang"])), key=lambda i: (found["lang"][i], found["cells"][i]))
     if not order:
