@@ -3,8 +3,8 @@
 Trusted positives are rows labelled 1; the unlabelled text is a sample of all learnable rows, whose
 labels are not looked at. With the class prior p, the risk of a scorer g under the loss l is
 p E+[l(g)] + max(0, Eu[l(-g)] - p E+[l(-g)]); where the second part turns negative, the step goes
-against it. The prior is the share of positives among the learnable labelled rows, kept inside
-bounds. The scorer is logistic over measures of the whole text: shares of character kinds, how
+against it. The prior is estimated from the positives and the unlabelled rows alone (``class_prior``), so
+labels 0 are never read and it does not matter how rows were picked for labelling. The scorer is logistic over measures of the whole text: shares of character kinds, how
 words and lines repeat, word lengths. It is fitted on at most ``SAMPLE_ROWS`` positives and as many
 unlabelled rows, chosen by id hash; every text is then scored whole.
 
@@ -23,7 +23,7 @@ from pulsemart.llm import common
 
 SAMPLE_ROWS = 20_000  # positives, and unlabelled rows, the scorer is fitted on, at most
 STEPS, RATE, RIDGE, SLACK = 800, 0.05, 1e-4, 0.0
-PRIOR_BOUNDS = (0.02, 0.98)
+PRIOR_BOUNDS, DOUBT = (0.02, 0.98), 0.1  # of the estimated prior; the chance that its bound fails
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
 _SAMPLED = pa.schema([("kind", pa.int32()), ("measures", pa.binary())])
@@ -63,7 +63,8 @@ def measures(text: str | None) -> np.ndarray:
 class Scorer:
     """Logistic over standardised measures."""
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float):
+    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, parting: bool = False):
+        """``parting``: plain logistic risk of positives against unlabelled rows, for the estimate of the prior."""
         self.w = None
         if not len(positive) or not len(unlabelled):
             return
@@ -75,7 +76,9 @@ class Scorer:
             gp, gu = p @ w, u @ w
             negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
             of_negative = u.T @ _sigmoid(gu) / len(u) - prior * (p.T @ _sigmoid(gp)) / len(p)
-            if negative >= -SLACK:
+            if parting:
+                slope = -0.5 * (p.T @ _sigmoid(-gp)) / len(p) + 0.5 * (u.T @ _sigmoid(gu)) / len(u)
+            elif negative >= -SLACK:
                 slope = -prior * (p.T @ _sigmoid(-gp)) / len(p) + of_negative
             else:
                 slope = -of_negative
@@ -88,39 +91,63 @@ class Scorer:
         z = np.clip((rows - self.mean) / self.scale, -6, 6)
         return np.hstack([z, np.ones((len(z), 1))])
 
+    def rate(self, rows: np.ndarray) -> np.ndarray:
+        """Scores of rows of measures."""
+        return _sigmoid(self._ready(rows) @ self.w)
+
     def score(self, texts: list[str | None]) -> list[float]:
         if self.w is None or not texts:
             return [0.5] * len(texts)
-        return _sigmoid(self._ready(np.array([measures(t) for t in texts])) @ self.w).tolist()
+        return self.rate(np.array([measures(t) for t in texts])).tolist()
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled rows, from the two samples alone.
+
+    A logistic score parts positives from unlabelled rows on one half; on the other half the share of
+    unlabelled rows above a threshold, divided by that of the positives, bounds the prior from above, and
+    is nearest to it where no negative scores as high. The threshold is the one with the least upper
+    confidence bound of this ratio. Both halves take turns. No negative label is read.
+    """
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    found = []
+    for turn in (0, 1):
+        scorer = Scorer(positive[turn::2], unlabelled[turn::2], 0.5, parting=True)
+        p, u = np.sort(scorer.rate(positive[1 - turn::2])), np.sort(scorer.rate(unlabelled[1 - turn::2]))
+        above_p = 1 - np.arange(len(p)) / len(p)
+        above_u = 1 - np.searchsorted(u, p) / len(u)
+        doubt = np.sqrt(np.log(4 / DOUBT) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
+        best = int(np.argmin((above_u + doubt) / above_p))
+        found.append(above_u[best] / above_p[best])
+    return float(np.clip(np.mean(found), *PRIOR_BOUNDS))
+
+
 def _sampled(part: dict[str, list]) -> dict[str, list]:
     return {"kind": part["kind"], "measures": [measures(t).tobytes() for t in part["text"]]}
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable, sample_rows: int = SAMPLE_ROWS) -> Scorer:
     """``learnable``: a condition on doc_id; rows outside it are not learned from."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("mark")).where("mark is not null").where(learnable)
-    share = known.agg(F.avg((F.col("mark") == 1).cast("double"))).first()[0]
-    prior = float(np.clip(share if share is not None else 0.5, *PRIOR_BOUNDS))
+    known = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where(learnable)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(learnable)
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    trusted = known.where("mark = 1").join(rows.select("doc_id"), "doc_id", "left_semi").select("doc_id").distinct()
+    trusted = known.join(rows.select("doc_id"), "doc_id", "left_semi").select("doc_id").distinct()
     ids = [
         trusted.orderBy(*by_hash).limit(sample_rows).withColumn("kind", F.lit(1)),
         rows.select("doc_id").distinct().orderBy(*by_hash).limit(sample_rows).withColumn("kind", F.lit(0)),
     ]
     chosen = common.stored(ids[0].unionByName(ids[1]), "sample")
-    texts = rows.join(F.broadcast(chosen), "doc_id").select("kind", "text")  # at most twice ``sample_rows`` ids
+    texts = rows.join(F.broadcast(chosen), "doc_id").select("kind", "text").limit(4 * sample_rows)  # one id may have many rows
     found = common.map_arrow(texts, common.per_batch(_sampled, _SAMPLED), _SAMPLED).toArrow().to_pydict()
     width = len(measures(""))
     of = {k: sorted(m for kind, m in zip(found["kind"], found["measures"]) if kind == k) for k in (0, 1)}
     as_rows = {k: np.frombuffer(b"".join(v), np.float64).reshape(-1, width) for k, v in of.items()}
-    return Scorer(as_rows[1], as_rows[0], prior)
+    return Scorer(as_rows[1], as_rows[0], class_prior(as_rows[1], as_rows[0]))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: int = 1) -> DataFrame:

@@ -30,6 +30,71 @@ def test_unknown_codes_are_families(spark):
     assert all(r.lang_pred == ["xx", "yy"][r.doc_id % 2] for r in language.identify(df).collect())
 
 
+def test_pairs_of_a_family_of_three_vote(spark):
+    """One machine for each pair; the votes equal those counted by hand."""
+    rng = np.random.default_rng(4)
+    roots = {"fr": "eau oui aux", "es": "cion llo que", "it": "zio gli che", "de": "ung sch ein"}
+    texts, codes = [], []
+    for i in range(200):
+        code = list(roots)[i % 4]
+        texts.append(" ".join(rng.choice(roots[code].split()) + rng.choice(["a", "e", "i", "na"]) for _ in range(30)))
+        codes.append(code)
+    df = spark.createDataFrame([(i, t, c, *r[3:]) for i, (t, c, r) in enumerate(zip(texts, codes, rows(texts)))], DOCS)
+    model = language.fit(df)
+    assert model.members["romance"] == ["es", "fr", "it"] and model.inner["romance"].shape[1] == 3 and "germanic" not in model.inner
+    for text, code in zip(texts, codes):
+        got, score = model.predict(text)
+        assert got == code and 0 < score <= 1
+        margins = np.append(language.cells(text), np.float32(1)) @ model.inner["romance"]
+        wins = [(m >= 0, pair) for m, pair in zip(margins, [("es", "fr"), ("es", "it"), ("fr", "it")])]
+        votes = [pair[0] if first else pair[1] for first, pair in wins]
+        if code != "de":
+            assert votes.count(code) == 2
+    got = language.identify(df).where("held_out").collect()
+    assert np.mean([r.lang_pred == codes[r.doc_id] for r in got]) > 0.95
+
+
+def test_many_languages_and_many_rows_of_one_id_stay_bounded(spark):
+    texts = [f"{c}{d} {d}{c} {c}{c}" for c in "abcdefghij" for d in "klmnopqrst"] * 3
+    df = spark.createDataFrame([(i % 3, t, f"x{i % 90}", *r[3:]) for i, (t, r) in enumerate(zip(texts, rows(texts)))], DOCS)
+    assert len(language.fit(df, sample_rows=20).learned) <= 20
+
+
+def test_prior_is_read_off_positives_and_unlabelled_rows():
+    rng = np.random.default_rng(6)
+    for prior in (0.2, 0.5, 0.8):
+        def draw(share, n):
+            return rng.normal(size=(n, 4)) + 2.2 * (rng.random(n) < share)[:, None]
+
+        found = quality.class_prior(draw(1.0, 3000), draw(prior, 3000))
+        assert abs(found - prior) < 0.06, (prior, found)
+    assert quality.class_prior(np.zeros((0, 4)), np.zeros((9, 4))) == 0.5
+
+
+def test_labels_rich_in_positives_do_not_move_the_prior(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    biased = labels.where("quality = 1 or doc_id % 10 = 0")
+    a, b = (quality.score_quality(docs, x).orderBy("doc_id").collect() for x in (labels, biased))
+    assert a == b
+
+
+def test_risk_equals_its_definition():
+    """The gradient of the scorer is that of the non-negative unbiased risk, by differences."""
+    rng = np.random.default_rng(2)
+    p, u, prior = rng.normal(1, 1, (300, 3)), np.vstack([rng.normal(1, 1, (200, 3)), rng.normal(-1, 1, (300, 3))]), 0.4
+    w = quality.Scorer(p, u, prior).w
+
+    def risk(w):
+        both = np.vstack([p, u])
+        ready = lambda r: np.hstack([np.clip((r - both.mean(0)) / (both.std(0) + 1e-6), -6, 6), np.ones((len(r), 1))])
+        gp, gu = ready(p) @ w, ready(u) @ w
+        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+        return prior * np.logaddexp(0, -gp).mean() + max(negative, -quality.SLACK) + quality.RIDGE / 2 * w @ w
+
+    least = min(risk(w + d) for d in rng.normal(scale=0.3, size=(2000, 4)))
+    assert risk(w) <= least + 0.02
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.score_quality(docs, labels).join(labels, "doc_id").collect()
