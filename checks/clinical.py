@@ -71,6 +71,18 @@ def change(name: str) -> str:
     return f"CASE WHEN b.{name} <> 0 AND d.{name} <> 0 THEN d.{name} - b.{name} END"
 
 
+THOUSANDTHS = lambda c: f"CAST(CAST(round({c} * 1000) AS BIGINT) AS VARCHAR)"
+SECONDS = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+# All columns of the clinical summary as text, in its order.
+VIEW = [
+    "e.encounter_id", "e.patient_id", "p.first_name || ' ' || p.last_name", "CAST(p.age AS VARCHAR)", "p.gender",
+    "p.ethnicity", "e.encounter_type", "e.department", "e.attending_provider", SECONDS("e.admit_date"),
+    SECONDS("e.discharge_date"), "CAST(e.length_of_stay_days AS VARCHAR)", "e.discharge_status", "d.icd_code",
+    "d.description", "d.cardiac_category", "m.medication_name", "m.drug_class", "r.qualifying_diagnosis",
+    "r.computed_risk", THOUSANDTHS("r.lvef_percent"), "CAST(s.session_number AS VARCHAR)",
+    THOUSANDTHS("s.achieved_hrr_percent"), "CAST(s.safety_flag AS VARCHAR)",
+]
+
 SQL = {
     "t1_dim_patient": f"""
         SELECT * EXCLUDE (load_timestamp) REPLACE (CAST(date_of_birth AS VARCHAR) AS date_of_birth), TRUE AS is_active,
@@ -161,6 +173,11 @@ SQL = {
                max(s.achieved_hrr_percent) AS max_hrr_percent,
                CAST(sum(CASE WHEN s.safety_flag THEN 1 ELSE 0 END) AS BIGINT) AS flagged_rows
         FROM {SUMMARY} GROUP BY 1, 2, 3""",
+    "m8_clinical_summary_rows": f"""
+        SELECT encounter_id, patient_id, count(*) AS summary_rows,
+               CAST(sum(CAST('0x' || left(md5(line), 8) AS BIGINT)) AS BIGINT) AS row_digests
+        FROM (SELECT e.encounter_id, e.patient_id, concat_ws('|', {", ".join(f"coalesce({c}, '')" for c in VIEW)}) AS line
+              FROM {SUMMARY}) GROUP BY 1, 2""",
     "m9_diagnosis_category_counts": """
         SELECT cardiac_category, count(*) AS num_diagnoses, count(DISTINCT patient_id) AS unique_patients
         FROM fact_diagnosis WHERE cardiac_category IS NOT NULL GROUP BY 1""",

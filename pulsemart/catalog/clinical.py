@@ -44,6 +44,7 @@ QUERIES = {
     "m6_claims_summary": lambda h: g.claims_summary(h.raw_claims),
     "m7_patient_hemodynamic_trend": lambda h: g.patient_hemodynamic_trend(h.fact_rehab_session),
     "m8_clinical_summary": lambda h: g.clinical_summary_digest(*_star(h)),
+    "m8_clinical_summary_rows": lambda h: g.clinical_summary_checksums(*_star(h)),
     "m9_diagnosis_category_counts": lambda h: g.diagnosis_category_counts(h.fact_diagnosis),
     "d1_platform_kpis": lambda h: d.platform_kpis(h.silver_tables(), h.raw_claims),
     "d2_daily_sessions": lambda h: d.daily_sessions(h.fact_rehab_session),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsemart.functions import dates, rules
 from pulsemart.functions.numbers import count_where, percent
@@ -210,6 +210,35 @@ def clinical_summary(
     )
 
 
+def row_digest(columns: list[str], types: dict[str, str]) -> Column:
+    """A 32-bit number from all columns of a row: sums of it do not depend on the order of rows.
+
+    Numbers that are not whole count in thousandths, times in seconds, unset values as nothing between two bars.
+    """
+    def text(name: str) -> Column:
+        kind, value = types[name], F.col(name)
+        if kind in ("double", "float"):
+            value = F.round(value * 1000).cast("long")
+        elif kind.startswith("timestamp"):
+            value = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
+        return F.coalesce(value.cast("string"), F.lit(""))
+
+    return F.conv(F.left(F.md5(F.concat_ws("|", *[text(c) for c in columns])), F.lit(8)), 16, 10).cast("long")
+
+
+def clinical_summary_checksums(*star: DataFrame) -> DataFrame:
+    """Per encounter: the rows of the clinical summary and the sum of the digests of all their columns.
+
+    Every row of the view is made. The fan-out over a patient's sessions is one join with the sessions of that
+    patient's referrals; where a patient has very many, adaptive execution splits both sides.
+    """
+    view = clinical_summary(*star)
+    digest = row_digest(view.columns, dict(view.dtypes))
+    return view.select("encounter_id", "patient_id", digest.alias("digest")).groupBy("encounter_id", "patient_id").agg(
+        F.count("*").alias("summary_rows"), F.sum("digest").alias("row_digests")
+    )
+
+
 def _encounter_branches(encounters: DataFrame, patients: DataFrame, diagnoses: DataFrame, medications: DataFrame):
     """Encounters of current patients with the size of their diagnosis and medication branch."""
     people = patients.filter("is_current").select(
