@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -49,12 +50,12 @@ MODEL = {
     },
 }
 
-# Many-to-one steps from a fact towards the patient: table -> (next table, key).
-PARENT = {
-    "fact_rehab_session": ("fact_rehab_referral", "referral_id"),
-    "fact_rehab_outcome": ("fact_rehab_referral", "referral_id"),
-    "fact_rehab_referral": ("dim_patient", "patient_id"),
-}
+# Many-to-one relationships: table, the table it leads to, and their key, which is unique there.
+RELATIONS = [
+    ("fact_rehab_session", "fact_rehab_referral", "referral_id"),
+    ("fact_rehab_outcome", "fact_rehab_referral", "referral_id"),
+    ("fact_rehab_referral", "dim_patient", "patient_id"),
+]
 
 
 def metrics(
@@ -72,42 +73,87 @@ def metrics(
     return df.groupBy(*keys).agg(*[F.expr(spec["measures"][m]).alias(m) for m in measures])
 
 
-def _path(table: str, owner: str) -> list[tuple[str, str]]:
-    steps, at = [], table
-    while at != owner:
-        at, key = PARENT[at]
-        steps.append((at, key))
-    return steps
+def path(table: str, owner: str, relations: list[tuple[str, str, str]] = RELATIONS) -> list[tuple[str, str]]:
+    """The shortest way from ``table`` to ``owner`` along many-to-one relationships: (table reached, key) per step."""
+    ways, seen = [(table, [])], {table}
+    while ways:
+        at, steps = ways.pop(0)
+        if at == owner:
+            return steps
+        for child, parent, key in relations:
+            if child == at and parent not in seen:
+                seen.add(parent)
+                ways.append((parent, [*steps, (parent, key)]))
+    raise ValueError(f"{table} does not lead to {owner}")
+
+
+class Partial:
+    """Measures as states that add up: kept per key while they are carried from table to table.
+
+    Sums and counts add up as they are, a mean is a sum and a count. What is counted distinct stays a key
+    of the state until the end.
+    """
+
+    FORM = re.compile(r"(count|sum|avg)\((DISTINCT )?(.*)\)$", re.S)
+
+    def __init__(self, measures: dict[str, str]):
+        self.first, self.last, self.distinct = {}, {}, {}
+        for name, text in measures.items():
+            found = self.FORM.match(text)
+            if not found:
+                raise ValueError(f"no state is known for {text}")
+            function, once, value = found.groups()
+            if once and function == "count":
+                column = f"_once_{len(self.distinct)}"
+                self.distinct[column] = F.expr(value)
+                self.last[name] = F.countDistinct(column)
+            elif function == "count":
+                self.first[f"_n_{name}"] = F.count("*") if value == "*" else F.count(F.expr(value))
+                self.last[name] = F.sum(f"_n_{name}")
+            else:
+                self.first[f"_s_{name}"] = F.sum(F.expr(value))
+                self.last[name] = F.sum(f"_s_{name}")
+                if function == "avg":
+                    self.first[f"_n_{name}"] = F.count(F.expr(value))
+                    self.last[name] = F.sum(f"_s_{name}") / F.nullif(F.sum(f"_n_{name}"), F.lit(0))
+
+    def begin(self, df: DataFrame, key: str) -> DataFrame:
+        states = [column.alias(name) for name, column in self.first.items()] or [F.count("*").alias("_rows")]
+        return df.groupBy(key, *[c.alias(n) for n, c in self.distinct.items()]).agg(*states)
+
+    def move(self, state: DataFrame, key: str) -> DataFrame:
+        """The same states added up by another key that has been joined to them."""
+        kept = [c for c in state.columns if c.startswith(("_n_", "_s_"))] or ["_rows"]
+        return state.groupBy(key, *self.distinct).agg(*[F.sum(c).alias(c) for c in kept])
+
+    def end(self, state: DataFrame, key: str) -> DataFrame:
+        return state.groupBy(key).agg(*[column.alias(name) for name, column in self.last.items()])
 
 
 def metrics_across(
-    tables: dict[str, DataFrame], dimension: tuple[str, str], measures: dict[str, list[str]]
+    tables: dict[str, DataFrame], dimension: tuple[str, str], measures: dict[str, list[str]],
+    model: dict[str, dict] = MODEL, relations: list[tuple[str, str, str]] = RELATIONS,
 ) -> DataFrame:
     """Measures of several tables by one dimension of a table they all lead to.
 
-    Each fact is carried to the dimension along many-to-one keys and aggregated on its own;
-    only the aggregates are joined, so no fact is counted twice through another.
+    Each fact is added up by its first key before any join; the states are carried along many-to-one keys and
+    added up again after each step. Only the results are joined, so no fact is counted twice through another.
     """
     owner, name = dimension
-    value = F.expr(MODEL[owner]["dimensions"][name])
+    value = F.expr(model[owner]["dimensions"][name])
     parts = [tables[owner].select(value.alias(name)).distinct()]
     for table, wanted in measures.items():
-        steps = _path(table, owner)
+        partial = Partial({m: model[table]["measures"][m] for m in wanted})
+        steps = path(table, owner, relations)
         if not steps:
-            parts.append(metrics(tables, table, wanted, [name]))
+            parts.append(partial.end(partial.begin(tables[table].withColumn("_dim", value), "_dim"), "_dim").withColumnRenamed("_dim", name))
             continue
-        first_key = steps[0][1]
-        bridge = tables[steps[0][0]]
-        if len(steps) == 2:
-            bridge = bridge.select(first_key, steps[1][1]).join(
-                tables[owner].select(steps[1][1], value.alias("_dim")), steps[1][1]
-            )
-        else:
-            bridge = bridge.select(first_key, value.alias("_dim"))
-        carried = tables[table].join(bridge.select(first_key, "_dim"), first_key)
-        parts.append(carried.groupBy(F.col("_dim").alias(name)).agg(
-            *[F.expr(MODEL[table]["measures"][m]).alias(m) for m in wanted]
-        ))
+        state = partial.begin(tables[table], steps[0][1])
+        for (reached, key), (_, onward) in zip(steps, steps[1:]):
+            state = partial.move(state.join(tables[reached].select(key, onward), key), onward)
+        last = steps[-1][1]
+        ends = state.join(tables[owner].select(last, value.alias("_dim")), last)
+        parts.append(partial.end(ends, "_dim").withColumnRenamed("_dim", name))
     return reduce(lambda a, b: _left_null_safe(a, b, name), parts)
 
 
