@@ -158,6 +158,33 @@ SQL = {
                  QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY score DESC, position) <= 3)
         SELECT best.note_id, string_agg(sentence, ' ' ORDER BY best.position) AS summary
         FROM best JOIN phrases ON best.note_id = phrases.note_id AND best.position = phrases.position GROUP BY 1""",
+    "x1_tfidf_summaries": f"""
+        WITH split AS (SELECT note_id, list_filter(list_transform(regexp_extract_all(note_text, '[^.!?\n]+[.!?]?'),
+                              lambda s: trim(s)), lambda s: length(s) > 1) AS parts
+                       FROM raw_clinical_notes WHERE note_text IS NOT NULL),
+        phrases AS (SELECT note_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS position FROM split),
+        used AS (SELECT note_id, position, unnest({WORDS('sentence')}) AS word FROM phrases),
+        whole AS (SELECT note_id, unnest(list_distinct({WORDS('note_text')})) AS word FROM raw_clinical_notes),
+        spread AS (SELECT word, count(*) AS notes FROM whole GROUP BY 1),
+        within AS (SELECT note_id, word, count(*) AS f FROM used GROUP BY 1, 2),
+        weighed AS (SELECT note_id, within.word, f * CAST(round(ln((SELECT count(*) FROM raw_clinical_notes
+                           WHERE note_text IS NOT NULL)::DOUBLE / notes) * 1000) AS BIGINT) AS weight
+                    FROM within JOIN spread ON within.word = spread.word),
+        scored AS (SELECT u.note_id, u.position, CAST(floor(sum(weight)::DOUBLE / count(*)) AS BIGINT) AS score,
+                          list_distinct(list(u.word)) AS ws
+                   FROM used u JOIN weighed w ON u.note_id = w.note_id AND u.word = w.word GROUP BY 1, 2),
+        one AS (SELECT *, position AS pos FROM scored
+                QUALIFY row_number() OVER (PARTITION BY note_id ORDER BY score DESC, position) = 1),
+        two AS (SELECT s.note_id, s.position AS pos, s.ws FROM scored s JOIN one ON s.note_id = one.note_id AND s.position <> one.pos
+                QUALIFY row_number() OVER (PARTITION BY s.note_id ORDER BY
+                  s.score * (100 - len(list_intersect(s.ws, one.ws)) * 100 // len(s.ws)) DESC, s.position) = 1),
+        three AS (SELECT s.note_id, s.position AS pos FROM scored s JOIN one ON s.note_id = one.note_id AND s.position <> one.pos
+                  JOIN two ON s.note_id = two.note_id AND s.position <> two.pos
+                  QUALIFY row_number() OVER (PARTITION BY s.note_id ORDER BY s.score * (100 - greatest(
+                    len(list_intersect(s.ws, one.ws)), len(list_intersect(s.ws, two.ws))) * 100 // len(s.ws)) DESC, s.position) = 1),
+        best AS (SELECT note_id, pos FROM one UNION ALL SELECT note_id, pos FROM two UNION ALL SELECT note_id, pos FROM three)
+        SELECT best.note_id, string_agg(sentence, ' ' ORDER BY best.pos) AS summary
+        FROM best JOIN phrases ON best.note_id = phrases.note_id AND best.pos = phrases.position GROUP BY 1""",
     "x2_note_sentiment": f"""
         SELECT note_id, note_type, patient_id, left(note_text, 200) AS note_preview, score AS sentiment_score,
                CASE WHEN score > 0.2 THEN 'POSITIVE' WHEN score < -0.2 THEN 'NEGATIVE' ELSE 'NEUTRAL' END

@@ -48,6 +48,12 @@ def _nearest(h: Health):
     return nearest_of(bridge.star(h.spark, h.sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, "vec_id", "embedding", 5)[0]
 
 
+def _tfidf_summaries(h: Health):
+    notes = h.raw_clinical_notes
+    total = notes.filter(F.col("note_text").isNotNull()).agg(F.count("*")).scalar()
+    return n.tfidf_summaries(notes, n.document_frequencies(notes), total)
+
+
 def _merged_history(h: Health):
     """The history of patients from a stored dimension into which three loads are merged, the last one first."""
     table = VersionedTable(h.spark, f"{shared_folder(h.spark)}/tables/dim_patient-{uuid.uuid4().hex}", "patient_id")
@@ -77,6 +83,7 @@ QUERIES = {
     "l11_medication_embeddings": lambda h: em.described(em.embedded(em.medication_texts(h.fact_medication), "label")),
     "l12_note_embeddings": lambda h: em.described(em.note_embeddings(h.raw_clinical_notes)),
     "x1_note_summaries": lambda h: n.summaries(h.raw_clinical_notes),
+    "x1_tfidf_summaries": _tfidf_summaries,
     "x2_note_sentiment": lambda h: n.sentiment(h.raw_clinical_notes),
     "x3_sentiment_counts": lambda h: n.sentiment_counts(n.sentiment(h.raw_clinical_notes)),
     "x4_note_entities": lambda h: n.entities(h.raw_clinical_notes),

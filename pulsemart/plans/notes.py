@@ -53,6 +53,62 @@ def summaries(notes: DataFrame, keep: int = 3) -> DataFrame:
     )
 
 
+def document_frequencies(notes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """word, notes: in how many notes a word stands; with ``known``, the frequencies of earlier notes added on."""
+    words = F.explode(F.array_distinct(tx.words(F.col("note_text")))).alias("word")
+    counted = notes.filter(F.col("note_text").isNotNull()).select(words).groupBy("word").agg(F.count("*").alias("notes"))
+    if known is None:
+        return counted
+    return counted.unionByName(known.select("word", "notes")).groupBy("word").agg(F.sum("notes").alias("notes"))
+
+
+def tfidf_summaries(notes: DataFrame, frequencies: DataFrame, total: Column, keep: int = 3) -> DataFrame:
+    """The ``keep`` sentences that say most of what other notes do not, none repeating another, in reading order.
+
+    A word weighs its count in the note times the logarithm of ``total`` notes over those that have it, in
+    thousandths; a sentence weighs the mean of its words. Sentences are chosen one after another, and each
+    loses the share of its different words that a chosen one has already. Texts are dealt once, by note; what
+    is exchanged by word is the place of the word.
+    """
+    texts = notes.filter(F.col("note_text").isNotNull()).select("note_id", "note_text").repartition("note_id").select(
+        "note_id", tx.sentences(F.col("note_text")).alias("sentences")
+    )
+    used = texts.select("note_id", F.posexplode("sentences").alias("position", "sentence")).select(
+        "note_id", "position", F.explode(tx.words(F.col("sentence"))).alias("word")
+    )
+    places = used.groupBy("note_id", "word").agg(F.count("*").alias("f"), F.collect_list("position").alias("positions"))
+    weight = F.round(F.log(total / F.col("notes")) * 1000).cast("long") * F.col("f")
+    weighed = places.join(frequencies, "word").select("note_id", "word", weight.alias("weight"), "positions")
+    scored = (
+        weighed.select("note_id", "word", "weight", F.explode("positions").alias("position"))
+        .groupBy("note_id", "position")
+        .agg(F.floor(F.sum("weight") / F.count("*")).alias("score"), F.collect_set("word").alias("words"))
+    )
+    listed = scored.groupBy("note_id").agg(F.collect_list(F.struct("position", "score", "words")).alias("open"))
+
+    def best(column: str, covered: Column) -> Column:
+        """The sentence of most weight without its share of words in ``covered``, a list of word sets."""
+        def left(s: Column) -> Column:
+            shared = F.array_max(F.transform(covered, lambda w: F.size(F.array_intersect(s["words"], w)) * 100))
+            share = F.coalesce(F.floor(shared / F.size(s["words"])), F.lit(0))
+            return F.struct((s["score"] * (100 - share)).alias("value"), (-s["position"]).alias("place"))
+
+        return -F.array_max(F.transform(column, left))["place"]
+
+    chosen = listed.withColumn("chosen", F.array().cast("array<int>")).withColumn("covered", F.array().cast("array<array<string>>"))
+    for _ in range(keep):
+        chosen = chosen.withColumn("_next", best("open", F.col("covered")))
+        taken = F.filter("open", lambda s: s["position"] == F.col("_next"))
+        chosen = chosen.select(
+            "note_id", F.filter("open", lambda s: s["position"] != F.col("_next")).alias("open"),
+            F.when(F.col("_next").isNull(), F.col("chosen")).otherwise(F.array_append("chosen", F.col("_next"))).alias("chosen"),
+            F.concat("covered", F.transform(taken, lambda s: s["words"])).alias("covered"),
+        )
+    return texts.join(chosen.select("note_id", F.array_sort("chosen").alias("chosen")), "note_id").select(
+        "note_id", F.concat_ws(" ", F.transform("chosen", lambda p: F.get("sentences", p))).alias("summary")
+    )
+
+
 def sentiment_score(text: Column) -> Column:
     """(positive - negative) / (positive + negative) lexicon words, 0 without any."""
     good, bad = tx.count_of(text, POSITIVE), tx.count_of(text, NEGATIVE)
