@@ -97,6 +97,8 @@ OPINIONS = """
                 WHEN lvef_percent >= 50 AND gxt_peak_mets >= 7
                   AND qualifying_diagnosis NOT IN ('STEMI', 'HFrEF', 'CABG') THEN 'LOW'
                 ELSE 'MODERATE' END AS second_opinion FROM fact_rehab_referral"""
+PHRASES = n.phrase_index()
+ANY_PHRASE = "|".join(sorted(PHRASES, key=lambda p: (-len(p), p)))
 FOUND = lambda items: f"list_filter({LISTED(items)}, lambda t: contains(lower(note_text), t))"
 
 HISTORY = f"""
@@ -199,6 +201,19 @@ SQL = {
                  'procedures': {FOUND(n.PROCEDURE_TERMS)},
                  'follow_up': regexp_extract(note_text, '{n.FOLLOW_UP_PATTERN}', 1) }}) AS VARCHAR)
                AS extracted_entities FROM raw_clinical_notes""",
+    "x4_entity_spans": f"""
+        WITH known AS ({values([(p, k, c) for p, (k, c) in PHRASES.items()], ['phrase', 'kind', 'code'])}),
+        texts AS (SELECT note_id, note_text, lower(regexp_replace(note_text, '[^A-Za-z0-9]', ' ', 'g')) AS blanked
+                  FROM raw_clinical_notes WHERE note_text IS NOT NULL),
+        parts AS (SELECT note_id, note_text, regexp_extract_all(blanked, '\\b({ANY_PHRASE})\\b', 1) AS found,
+                         regexp_split_to_array(blanked, '\\b(?:{ANY_PHRASE})\\b') AS gaps FROM texts),
+        placed AS (SELECT note_id, note_text, found, gaps, unnest(range(1, len(found) + 1)) AS nth FROM parts),
+        spans AS (SELECT note_id, note_text, found[nth] AS phrase, CAST(
+                    list_sum(list_transform(gaps[1:nth], lambda g: length(g)))
+                    + coalesce(list_sum(list_transform(found[1:nth - 1], lambda f: length(f))), 0) AS INTEGER) AS start FROM placed)
+        SELECT note_id, kind, code, substring(note_text, start + 1, length(spans.phrase)) AS mention, start,
+               regexp_matches(substring(note_text, start - least(start, {n.LOOK_BACK}) + 1, least(start, {n.LOOK_BACK})), '{n.NEGATION}') AS negated
+        FROM spans JOIN known ON known.phrase = spans.phrase""",
     "x5_risk_second_opinion": OPINIONS,
     "x6_risk_agreement": f"""
         SELECT count(*) AS referrals,

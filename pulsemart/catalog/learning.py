@@ -87,6 +87,7 @@ QUERIES = {
     "x2_note_sentiment": lambda h: n.sentiment(h.raw_clinical_notes),
     "x3_sentiment_counts": lambda h: n.sentiment_counts(n.sentiment(h.raw_clinical_notes)),
     "x4_note_entities": lambda h: n.entities(h.raw_clinical_notes),
+    "x4_entity_spans": lambda h: n.entity_spans(h.raw_clinical_notes),
     "x5_risk_second_opinion": lambda h: n.risk_opinions(h.fact_rehab_referral),
     "x6_risk_agreement": lambda h: n.agreement(n.risk_opinions(h.fact_rehab_referral)),
     "x7_note_previews": lambda h: h.raw_clinical_notes.select(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsemart.functions import rules, text as tx
 from pulsemart.functions.numbers import count_where
 from pulsemart.operators.latest import latest_by
+from pulsemart.sources import lookups as L
 
 # Small clinical lexicons.
 POSITIVE = ["improved", "improving", "stable", "tolerated", "good", "successfully", "comfortably", "uncomplicated",
@@ -148,6 +151,60 @@ def entities(notes: DataFrame) -> DataFrame:
     )
 
 
+def phrase_index() -> dict[str, tuple[str, str]]:
+    """Lower-case phrase -> (kind, code) from the code tables: full names, their categories, drugs without dose."""
+    def plain(name: str) -> str:
+        return " ".join(re.sub("[^a-z0-9]", " ", name.lower()).split())
+
+    index: dict[str, tuple[str, str]] = {}
+    for code, name, _ in L.DIAGNOSES:
+        index[plain(name)] = ("DIAGNOSIS", code)
+    for category in sorted({category for _, _, category in L.DIAGNOSES} - {"COMORBIDITY", "CARDIAC_DEVICE"}):
+        index.setdefault(plain(category.replace("_", " ")), ("DIAGNOSIS", category))
+    for name, drug_class in L.MEDICATIONS:
+        words = [w for w in plain(name).split() if not w[0].isdigit() and len(w) > 2]
+        for phrase in (plain(name), " ".join(words), words[0]):
+            index.setdefault(phrase, ("MEDICATION", drug_class))
+    for code, name, *_ in L.LAB_TESTS:
+        index.setdefault(plain(name), ("LABORATORY", code))
+    return index
+
+
+NEGATION = "(?i)(?:^|[^a-z])(?:no|not|never|without|denies|denied)(?:[^a-z.!?][^.!?\n]*)?$"
+LOOK_BACK = 40  # characters before a phrase in which a negation of the same sentence counts
+
+
+def entity_spans(notes: DataFrame, index: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """note_id, kind, code, mention, start, negated: every phrase of the code tables in each whole note.
+
+    ``start`` counts characters from 0. At one place the longest phrase counts, and spans do not overlap.
+    Signs between words count as blanks. The index is a fixed list, so it travels as one pattern: a scan over
+    the note, without an exchange and without listing its words.
+    """
+    index = index or phrase_index()
+    listed = "|".join(sorted(index, key=lambda p: (-len(p), p)))
+    pattern = F.lit(f"(?<![a-z0-9])({listed})(?![a-z0-9])")
+    blanked = F.regexp_replace(F.col("note_text"), "[^A-Za-z0-9]", " ")
+    texts = notes.filter(F.col("note_text").isNotNull()).select("note_id", "note_text", F.lower(blanked).alias("blanked"))
+    parts = texts.select(
+        "note_id", "note_text", F.regexp_extract_all("blanked", pattern, F.lit(1)).alias("found"),
+        F.split("blanked", f"(?<![a-z0-9])(?:{listed})(?![a-z0-9])", -1).alias("gaps"),
+    ).filter(F.size("found") > 0)
+    widths = F.zip_with(F.slice("gaps", F.lit(1), F.size("found")), "found", lambda g, f: F.struct(F.length(g).alias("g"), F.length(f).alias("f")))
+    placed = parts.withColumn("widths", widths).select("note_id", "note_text", "widths", F.posexplode("found").alias("nth", "phrase"))
+    before = F.aggregate(F.slice("widths", F.lit(1), F.col("nth")), F.lit(0), lambda total, w: total + w["g"] + w["f"])
+    start = before + F.get("widths", F.col("nth"))["g"]
+    kinds = F.create_map(*[F.lit(x) for p, (kind, code) in index.items() for x in (p, f"{kind} {code}")])
+    spans = placed.withColumn("start", start).withColumn("known", F.try_element_at(kinds, F.col("phrase")))
+    back = F.least(F.col("start"), F.lit(LOOK_BACK))
+    ahead = F.substring(F.col("note_text"), F.col("start") - back + 1, back)
+    return spans.select(
+        "note_id", F.substring_index("known", " ", 1).alias("kind"), F.substring_index("known", " ", -1).alias("code"),
+        F.substring(F.col("note_text"), F.col("start") + 1, F.length("phrase")).alias("mention"), "start",
+        ahead.rlike(NEGATION).alias("negated"),
+    )
+
+
 def risk_opinions(referrals: DataFrame) -> DataFrame:
     """The stored risk next to a second rule set that also weighs the diagnosis."""
     lvef, mets = F.col("lvef_percent"), F.col("gxt_peak_mets")

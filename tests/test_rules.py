@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from pulsemart.functions import dates, masks, rules
+from pulsemart.plans import notes
 
 
 def one(spark, expression):
@@ -117,3 +119,25 @@ def test_mask_dob(spark):
 def test_quality_rows(spark, status, analyst, engineer):
     assert one(spark, masks.may_read_quality(lit(status, "string"), "HEALTH_ANALYST")) is analyst
     assert one(spark, masks.may_read_quality(lit(status, "string"), "HEALTH_DATA_ENGINEER")) is engineer
+
+
+def test_entity_spans_against_brute_force(spark):
+    index = {"heart failure": ("D", "HF"), "chronic heart failure": ("D", "CHF"), "heart": ("D", "H"), "aspirin": ("M", "A"), "ldl": ("L", "1")}
+    texts = [
+        "No chronic heart failure. Heart\nfailure; ASPIRIN, aspirins and ldl!", "Denies aspirin. Heart", "heart failure heart failure", "", None,
+        "é heart-failure naïve: never had any chronic\theart  failure", "x " * 3000 + "without known LDL" + " y" * 50,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "note_id int, note_text string")
+    got = sorted((r.note_id, r.start, r.code, r.mention, r.negated) for r in notes.entity_spans(df, index).collect())
+    want = []
+    for i, text in enumerate(texts):
+        flat, at = re.sub("[^a-z0-9]", " ", re.sub("[^A-Za-z0-9]", " ", text or "").lower()), 0
+        while at < len(flat):
+            fits = [p for p in index if flat.startswith(p, at) and not flat[at - 1:at].strip() and not flat[at + len(p):at + len(p) + 1].strip()]
+            if fits:
+                p = max(fits, key=len)
+                want.append((i, at, index[p][1], text[at:at + len(p)], bool(re.search(notes.NEGATION, text[max(0, at - notes.LOOK_BACK):at]))))
+                at += len(p)
+            else:
+                at += 1
+    assert got == sorted(want) and sum(w[4] for w in want) >= 3
