@@ -111,7 +111,7 @@ class VersionedTable:
         return [{"path": r.path[r.path.index(name):], "low": r.low, "high": r.high, "rows": r.rows} for r in found]
 
     def _next(self, manifest: dict, new: list[dict], kept: list[dict], schema: T.StructType, counters: dict | None) -> Written:
-        files = sorted([*kept, *new], key=lambda f: (f["low"], f["high"]))
+        files = sorted([*kept, *new], key=lambda f: (f["low"] is not None, f["low"], f["high"]))
         self._commit(manifest["version"] + 1, files, schema, {**manifest["counters"], **(counters or {})})
         return Written(manifest["version"] + 1, len(new), len(kept))
 

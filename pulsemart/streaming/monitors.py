@@ -92,15 +92,22 @@ def daily_sessions(sessions: DataFrame, folder: str | None = None, files: int =
     )
 
 
-def newest_per_key(feed: DataFrame, key: str, load_time: str, record: str, folder: str | None = None) -> DataFrame:
+def newest_per_key(
+    feed: DataFrame, key: str, load_time: str, record: str, folder: str | None = None, files: int = MERGED_FILES,
+) -> DataFrame:
     """Newest row per key of a feed.
 
-    Every micro-batch keeps its own newest rows; the reader keeps the newest of those. Nothing
-    already written is rewritten, so a batch costs what it brings.
+    Every micro-batch appends its own newest rows; above ``files`` files the newest of all are put together, so
+    what is stored grows with the keys and not with the batches. The reader keeps the newest of what is stored.
     """
-    order = lambda: newest_first(load_time, record)
-    batches = run_to_table(feed, "append", lambda batch: latest_by(batch, key, order()), folder)
-    return latest_by(batches, key, order()).drop("batch")
+    spark = feed.sparkSession
+    table = VersionedTable(spark, folder or f"{shared_folder(spark)}/feeds/{uuid.uuid4().hex}", key)
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return latest_by(rows, key, newest_first(load_time, record))
+
+    state = run_to_versions(feed, table, newest, newest, files)
+    return newest(spark.createDataFrame([], feed.schema) if state is None else state)
 
 
 def without_repeats(

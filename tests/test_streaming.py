@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsemart.operators.latest import latest_by, newest_first
 from pulsemart.sources import bridge
+from pulsemart.sources.versions import VersionedTable
 from pulsemart.streaming import feeds, monitors
 
 
@@ -34,7 +35,9 @@ def test_newest_per_key_over_batches(spark, sf_dir, tmp_path):
     orders = bridge.star(spark, sf_dir, "orders")
     raw = bridge.raw_encounters(spark, sf_dir, orders)
     stream = _split(spark, raw, tmp_path / "encounters", 4, "record_id")
-    got = monitors.newest_per_key(stream, "encounter_id", "load_timestamp", "record_id")
+    got = monitors.newest_per_key(stream, "encounter_id", "load_timestamp", "record_id", str(tmp_path / "state"), files=3)
+    stored = VersionedTable(spark, str(tmp_path / "state"), "encounter_id")
+    assert len(stored.manifest()["files"]) <= 3 + 4 and stored.read().count() < raw.count()
     want = latest_by(raw, "encounter_id", newest_first("load_timestamp", "record_id"))
     columns = ["encounter_id", "record_id", "discharge_status"]
     assert sorted(got.select(*columns).collect()) == sorted(want.select(*columns).collect())
