@@ -151,3 +151,15 @@ def test_nearest_takes_probes_in_blocks(spark, monkeypatch):
     monkeypatch.setattr("pulsemart.operators.vectors.MAX_PROBES", 2)
     blocks = sorted(map(str, nearest(corpus, list(range(5)), "id", "v", 3).collect()))
     assert len(whole) == 15 and blocks == whole
+
+
+def test_building_look_back_frames_starts_no_job(spark):
+    df = spark.createDataFrame(_hot_rows(5), "k string, n int, s string, v int")
+    loads = df.selectExpr("k", "n AS record_id", "s AS state", "timestamp_seconds(n) AS load_timestamp")
+    spark.sparkContext.setJobGroup("look-back", "building")
+    try:
+        windowed(df, "k", ["n", "s"], 2, lambda w: {"change": F.col("v") - F.lag("v").over(w)}, 7)
+        versions(loads, "k", ["state"], hot_rows=7)
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("look-back")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
