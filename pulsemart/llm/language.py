@@ -144,8 +144,8 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = marked.join(counted, "lang").where(hashed < F.lit(wanted) / F.col("n")).select("doc_id", "lang").distinct()
     chosen = common.stored(chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample_rows), "sample")
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").limit(sample_rows)
-    found = common.map_arrow(texts.select("lang", "text"), common.per_batch(_sampled, _SAMPLED), _SAMPLED).toArrow().to_pydict()
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    found = common.map_arrow(texts.select("lang", "text"), common.per_batch(_sampled, _SAMPLED), _SAMPLED).limit(sample_rows).toArrow().to_pydict()
     order = sorted(range(len(found["lang"])), key=lambda i: (found["lang"][i], found["cells"][i]))
     if not order:
         return Model(np.zeros((0, CELLS), np.float32), [])

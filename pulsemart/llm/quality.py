@@ -142,8 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, learnable, sample_rows: int = SAMPLE
         rows.select("doc_id").distinct().orderBy(*by_hash).limit(sample_rows).withColumn("kind", F.lit(0)),
     ]
     chosen = common.stored(ids[0].unionByName(ids[1]), "sample")
-    texts = rows.join(F.broadcast(chosen), "doc_id").select("kind", "text").limit(4 * sample_rows)  # one id may have many rows
-    found = common.map_arrow(texts, common.per_batch(_sampled, _SAMPLED), _SAMPLED).toArrow().to_pydict()
+    texts = rows.join(F.broadcast(chosen), "doc_id").select("kind", "text")
+    measured = common.map_arrow(texts, common.per_batch(_sampled, _SAMPLED), _SAMPLED)
+    found = measured.limit(4 * sample_rows).toArrow().to_pydict()  # one id may have many rows
     width = len(measures(""))
     of = {k: sorted(m for kind, m in zip(found["kind"], found["measures"]) if kind == k) for k in (0, 1)}
     as_rows = {k: np.frombuffer(b"".join(v), np.float64).reshape(-1, width) for k, v in of.items()}
