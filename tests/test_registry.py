@@ -47,5 +47,14 @@ def test_query_equals_sql(spark, con, name):
     assert _rows(frame.columns, frame.collect()) == _rows(names, expected.fetchall())
 
 
+def test_platform_health_counts_a_view_once(spark, con):
+    frame = entry_module.queries()["q21_platform_health"](spark, SMALL)
+    sql = con.execute(entry_module.oracle_sql()["q21_platform_health"])
+    names = [d[0] for d in sql.description]
+    rows = sql.fetchall()
+    assert _rows(frame.columns, frame.collect()) == _rows(names, rows)
+    assert {r[names.index("actual")] for r in rows if "08. Analytics Views" in r} == {9}
+
+
 def test_entry_runs(spark):
     assert entry_module.entry(spark).count() > 0
