@@ -4,6 +4,7 @@ import re
 from html import unescape
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pulsemart.llm import boilerplate as b
@@ -124,6 +125,58 @@ def test_share_bars_go_and_shared_passages_stay(spark):
         assert out[i] == f"{t}\n\n{quote if i % 3 == 0 else t[::-1]}"
 
 
+def test_the_token_stream_is_the_whole_page():
+    page = "<nav>home about</nav><article><h1>one two</h1><p>three four five six seven eight nine ten eleven</article><footer>end</footer>"
+    blocks = b.blocks_of(page)
+    other = b.blocks_of(page.replace("seven", "other"))
+    one, two = b.stream(blocks, 5, b"k")[0], b.stream(other, 5, b"k")[0]
+    assert len(one) == len(two) and (one != two).sum() == 1
+    outside, inside, edge = b.layout(blocks)
+    assert [number for number, _ in outside] == [0, 3] and [number for number, _, _ in inside] == [1, 2]
+    assert len(one) > edge + 11
+
+
+def test_repeats_inside_articles_are_found_as_runs(spark):
+    rng = random.Random(3)
+    one, two, quote = sentence(rng, 12), sentence(rng, 14), sentence(rng, 30)
+    rows, expected = [], {}
+    for i in range(24):
+        own = [sentence(rng, 40), sentence(rng, 3), quote if i % 2 else sentence(rng, 30)]
+        notice = f"{one} {two}" if i % 2 else f"{two} {one}"  # neither order is in nearly all pages, both runs are
+        parts = [own[0], notice, own[1], own[2], f"{one} {own[1]}"]
+        rows.append((i, "http://h/", "<article>" + "".join(f"<p>{p}</p>" for p in parts) + "</article><footer>f</footer>"))
+        expected[i] = "\n\n".join([own[0], own[1], own[2], f"{one} {own[1]}"])
+    assert {r[0]: r[2] for r in found(b.extract(frame(spark, rows)))} == expected
+
+
+def test_copies_of_a_page_do_not_make_its_lines_boilerplate(spark):
+    rng = random.Random(4)
+    line = sentence(rng, 20)
+    bodies = [[sentence(rng, 30), line] if i < 5 else [sentence(rng, 30), sentence(rng, 20)] for i in range(15)]
+    pages = ["<article>" + "".join(f"<p>{p}</p>" for p in body) + "</article>" for body in bodies]
+    rows = [(i, "http://h/", page) for i, page in enumerate(pages)]
+    rows += [(100 + i, "http://h/", pages[i % 5]) for i in range(60)]
+    out = {r[0]: r[2] for r in found(b.extract(spark.createDataFrame([(*r, "x", "y") for r in rows], PAGES).repartition(16)))}
+    for i in range(15):
+        assert out[i] == "\n\n".join(bodies[i])
+    for i in range(60):
+        assert out[100 + i] == "\n\n".join(bodies[i % 5])
+
+
+def test_counts_of_cells_are_never_too_low():
+    rng = random.Random(5)
+    pages = [f"<article><p>{sentence(rng, 30)}</p><p>{'fixed line ' * 6}</p></article>" for _ in range(40)]
+    truth = collections.Counter()
+    for page in pages:
+        key, host = b.page_key("http://h/", page)
+        truth.update(set(b.cells_of(*b.stream(b.blocks_of(page), host, key)).tolist()))
+    rows, out = [b._streaming({"url": ["http://h/"] * 10, "html": pages[i:i + 10]}, 3) for i in range(0, 40, 10)], []
+    for own in range(3):
+        columns = {n: [v for part in rows for v, shard in zip(part[n], part["shard"]) if shard == own] for n in b._STREAMS.names}
+        out += b._counting(pa.table(columns, schema=b._STREAMS)).to_pylist()
+    assert {r["cell"]: r["n"] for r in out} == {c: n for c, n in truth.items() if n >= b.WIDE_PAGES} and max(truth.values()) == 40
+
+
 def test_given_pages(spark, sf_dir):
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
     out = {r.page_id: r.text for r in b.op12_main_text(spark, "/root/testdata/sf0.01").collect()}
