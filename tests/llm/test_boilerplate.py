@@ -136,7 +136,7 @@ def test_the_token_stream_is_the_whole_page():
     assert len(one) > edge + 11
 
 
-def test_repeats_inside_articles_are_found_as_runs(spark):
+def test_repeats_inside_articles_are_found_as_runs(spark, monkeypatch):
     rng = random.Random(3)
     one, two, quote = sentence(rng, 12), sentence(rng, 14), sentence(rng, 30)
     rows, expected = [], {}
@@ -147,6 +147,9 @@ def test_repeats_inside_articles_are_found_as_runs(spark):
         rows.append((i, "http://h/", "<article>" + "".join(f"<p>{p}</p>" for p in parts) + "</article><footer>f</footer>"))
         expected[i] = "\n\n".join([own[0], own[1], own[2], f"{one} {own[1]}"])
     assert {r[0]: r[2] for r in found(b.extract(frame(spark, rows)))} == expected
+    monkeypatch.setattr(b, "HOT_STRINGS", 1)
+    monkeypatch.setattr(b, "SHARD_TOKENS", 50)
+    assert {r[0]: r[2] for r in found(b.extract(frame(spark, rows)))} == expected
 
 
 def test_copies_of_a_page_do_not_make_its_lines_boilerplate(spark):
