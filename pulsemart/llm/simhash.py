@@ -166,7 +166,8 @@ def linked_prints(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     values = prints.select("fp").distinct().repartition(tasks, "fp")
     homes = common.map_arrow(values, common.batches(_anchored(0), _ANCHORS), _ANCHORS)
     copies = common.map_arrow(values, common.batches(_anchored(max_bits), _ANCHORS), _ANCHORS)
-    h, c = homes.alias("h"), copies.alias("c")
+    # Spark sizes the replicas by the rows they are made from, so it must not choose to broadcast them.
+    h, c = homes.alias("h"), copies.alias("c").hint("merge")
     return h.join(
         c,
         (F.col("h.anchor") == F.col("c.anchor")) & (F.col("h.fp") < F.col("c.fp"))

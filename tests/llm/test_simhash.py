@@ -71,6 +71,14 @@ def test_every_link_is_found(spark):
         assert len(found) == len(expected) and {tuple(sorted(p)) for p in found} == expected
 
 
+def test_replicas_are_never_broadcast(spark):
+    prints = common.stored(spark.createDataFrame([(v,) for v in range(0, 4000, 7)], "fp long"), "prints")  # a file, so its size is known
+    links = simhash.linked_prints(prints)
+    assert links.count() > 0
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_code_covers_with_radius_three():
     words = np.random.default_rng(1).integers(0, 1 << 63, 3000, dtype=np.int64)
     rows, found = simhash.anchors(words, 0)
