@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as c
-from pulsemart.llm import mixing, packing, quality
+from pulsemart.llm import common, mixing, packing, quality
 from tests.llm.test_simhash import brute_components, brute_print
 
 
@@ -16,6 +16,18 @@ def chained(spark, docs, sf_dir, tmp_path):
     return out
 
 
+def test_near_dedup_broadcasts_no_replicas(spark, odd, monkeypatch):
+    plans, components = [], common.components
+
+    def seen(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return components(edges)
+
+    monkeypatch.setattr(common, "components", seen)
+    c.near_dedup_stage(spark, odd, "")
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_each_stage_equals_brute_force(spark, tmp_path):
     sf_dir = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
