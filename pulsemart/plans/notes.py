@@ -65,23 +65,46 @@ def document_frequencies(notes: DataFrame, known: DataFrame | None = None) -> Da
     return counted.unionByName(known.select("word", "notes")).groupBy("word").agg(F.sum("notes").alias("notes"))
 
 
+WIDESPREAD = 10_000  # a word is widespread if one note in so many has it
+WIDESPREAD_WORDS = 100_000  # of these, so many at most go to every task
+
+
 def tfidf_summaries(notes: DataFrame, frequencies: DataFrame, total: Column, keep: int = 3) -> DataFrame:
     """The ``keep`` sentences that say most of what other notes do not, none repeating another, in reading order.
 
     A word weighs its count in the note times the logarithm of ``total`` notes over those that have it, in
     thousandths; a sentence weighs the mean of its words. Sentences are chosen one after another, and each
-    loses the share of its different words that a chosen one has already. Texts are dealt once, by note; what
-    is exchanged by word is the place of the word.
+    loses the share of its different words that a chosen one has already. Texts are dealt once, by note, and their
+    words stay with them: the frequencies of widespread words go to every task, a bounded table, and only pairs of
+    a note and another word are exchanged, there and back.
     """
-    texts = notes.filter(F.col("note_text").isNotNull()).select("note_id", "note_text").repartition("note_id").select(
-        "note_id", tx.sentences(F.col("note_text")).alias("sentences")
+    kept = notes.filter(F.col("note_text").isNotNull() & F.col("note_id").isNotNull()).select("note_id", "note_text")
+    texts = kept.repartition("note_id").select("note_id", tx.sentences(F.col("note_text")).alias("sentences"))
+    known = frequencies.filter(F.col("word").isNotNull()).select("word", "notes")
+    widespread = known.filter(F.col("notes") * WIDESPREAD >= total).orderBy(F.desc("notes"), "word").limit(WIDESPREAD_WORDS)
+    others = (
+        kept.select("note_id", F.explode(F.array_distinct(tx.words(F.col("note_text")))).alias("word"))
+        .join(F.broadcast(widespread), "word", "left_anti")
+        .join(known, "word")
+        .groupBy("note_id")
+        .agg(F.collect_list(F.struct(F.lit(None).cast("int").alias("position"), "word", "notes")).alias("others"))
     )
-    used = texts.select("note_id", F.posexplode("sentences").alias("position", "sentence")).select(
-        "note_id", "position", F.explode(tx.words(F.col("sentence"))).alias("word")
+
+    def words_at(sentence: Column, position: Column) -> Column:
+        nothing = F.lit(None).cast("long").alias("notes")
+        return F.transform(tx.words(sentence), lambda w: F.struct(position.alias("position"), w.alias("word"), nothing))
+
+    # The frequencies of other words come as entries without a position, so each word of a note meets its own.
+    spoken = F.flatten(F.transform("sentences", words_at))
+    used = texts.join(others, "note_id", "left").select(
+        "note_id", F.explode(F.when(F.col("others").isNull(), spoken).otherwise(F.concat(spoken, "others"))).alias("used")
     )
-    places = used.groupBy("note_id", "word").agg(F.count("*").alias("f"), F.collect_list("position").alias("positions"))
+    places = used.groupBy("note_id", F.col("used.word").alias("word")).agg(
+        F.count("used.position").alias("f"), F.collect_list("used.position").alias("positions"), F.max("used.notes").alias("other")
+    )
+    met = places.join(F.broadcast(widespread), "word", "left").withColumn("notes", F.coalesce("notes", "other"))
     weight = F.round(F.log(total / F.col("notes")) * 1000).cast("long") * F.col("f")
-    weighed = places.join(frequencies, "word").select("note_id", "word", weight.alias("weight"), "positions")
+    weighed = met.filter("notes is not null").select("note_id", "word", weight.alias("weight"), "positions")
     scored = (
         weighed.select("note_id", "word", "weight", F.explode("positions").alias("position"))
         .groupBy("note_id", "position")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window, functions as F
@@ -163,3 +166,40 @@ def test_building_look_back_frames_starts_no_job(spark):
         assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("look-back")) == []
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def _tfidf_by_hand(texts, keep=3):
+    """note_id -> summary of notes without repeated ids; sentences as the plan cuts them."""
+    words = {i: [re.findall("[a-z0-9]+", s.lower()) for s in cut] for i, (_, cut) in texts.items()}
+    having = Counter(w for said in words.values() for w in {w for s in said for w in s})
+    out = {}
+    for i, (_, cut) in texts.items():
+        f = Counter(w for s in words[i] for w in s)
+        weight = {w: int(math.log(len(texts) / having[w]) * 1000 + 0.5) * n for w, n in f.items()}
+        score = {p: sum(weight[w] for w in s) // len(s) for p, s in enumerate(words[i]) if s}
+        chosen = []
+        for _ in range(min(keep, len(score))):
+            def left(p):
+                shared = max((len(set(words[i][p]) & set(words[i][q])) * 100 // len(set(words[i][p])) for q in chosen), default=0)
+                return score[p] * (100 - shared), -p
+
+            chosen.append(max((p for p in score if p not in chosen), key=left))
+        if score:
+            out[i] = " ".join(cut[p] for p in sorted(chosen))
+    return out
+
+
+def test_words_of_a_note_stay_with_it(spark, monkeypatch):
+    monkeypatch.setattr(notes, "WIDESPREAD_WORDS", 4)  # the other words take the exchange
+    rng = random.Random(4)
+    texts = {}
+    for i in range(60):
+        cut = [" ".join(f"w{min(rng.randrange(1, 40), rng.randrange(1, 40))}" for _ in range(rng.randint(1, 8))) + "." for _ in range(rng.randint(1, 7))]
+        texts[f"n{i}"] = (" ".join(cut), cut)
+    rows = [(i, t) for i, (t, _) in texts.items()]
+    df = spark.createDataFrame(rows + [("empty", ". !"), ("none", None)], "note_id string, note_text string")
+    found = notes.tfidf_summaries(df, notes.document_frequencies(df.where("note_id <> 'empty'")), F.lit(len(texts)))
+    assert {r.note_id: r.summary for r in found.collect()} == _tfidf_by_hand(texts)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    texts_dealt, texts_reused = plan.count("REPARTITION_BY_COL"), len(re.findall("ReusedExchange \\[note_id#\\d+, note_text", plan))
+    assert texts_dealt - texts_reused == 1
