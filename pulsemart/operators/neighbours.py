@@ -40,7 +40,8 @@ def windowed(
     such as the stored table that ``df`` is derived from.
     """
     place = place or order[0]
-    hot = F.broadcast(_hot_keys(df if sized_by is None else sized_by, key, place, hot_rows))  # rows / hot_rows at most
+    hot = _hot_keys(df if sized_by is None else sized_by, key, place, hot_rows)  # rows / hot_rows at most
+    hot = hot.select(F.struct(key).alias("_hot"), "_low", "_high", "_slices")
     if dict(df.dtypes)[place] in ("timestamp", "timestamp_ntz", "date"):
         at = _micros(place)
     else:
@@ -48,7 +49,10 @@ def windowed(
     span = F.floor((at - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * F.col("_slices"))
     unknown = F.col("_slices") - 1 if unknown_last else F.lit(0)
     inside = F.least(F.greatest(F.coalesce(span, unknown), F.lit(0)), F.col("_slices") - 1)
-    sliced = df.join(hot, key, "left").withColumn("_slice", F.coalesce(inside, F.lit(0)).cast("int")).drop("_low", "_high")
+    # A struct is never null, so the join adds no filter to ``df`` where it meets hot keys alone, and both readers of
+    # ``df`` share its exchanges.
+    joined = df.join(F.broadcast(hot), F.struct(key) == F.col("_hot"), "left")
+    sliced = joined.withColumn("_slice", F.coalesce(inside, F.lit(0)).cast("int")).drop("_hot", "_low", "_high")
     cut = sliced.where("_slices is not null").drop("_slices")
     rows = sliced.drop("_slices").withColumn("_carried", F.lit(False)).unionByName(_carried_rows(cut, key, order, lookback))
     found = rows.withColumns(columns(Window.partitionBy(key, "_slice").orderBy(*order)))
@@ -65,23 +69,29 @@ def _hot_keys(df: DataFrame, key: str, place: str, hot_rows: int) -> DataFrame:
     at = _micros(place) if timed else F.col(place).cast("double")
     sizes = df.groupBy(key).agg(F.count("*").alias("_rows"), F.min(at).alias("_low"), F.max(at).alias("_high"))
     slices = F.ceil(F.col("_rows") / hot_rows).alias("_slices")
-    return sizes.where(F.col("_rows") > hot_rows).select(key, "_low", "_high", slices)
+    return sizes.where((F.col("_rows") > hot_rows) & F.col(key).isNotNull()).select(key, "_low", "_high", slices)
 
 
 def _carried_rows(sliced: DataFrame, key: str, order: list[str], lookback: int) -> DataFrame:
-    """The last rows of each slice, once for every later slice whose first rows look back to them."""
-    # The slices that exist, numbered without gaps, so "the slice before" always has a row.
-    slices = sliced.select(key, "_slice").distinct()
-    numbered = slices.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_slice")))
+    """The last rows of each slice, once for every later slice whose first rows look back to them.
+
+    The rows of a key are put in one list, some ``lookback`` for each slice, so ``sliced`` is read once.
+    """
     tails = latest_by(
         sliced.withColumn("_piece", F.struct(key, "_slice")), "_piece", [F.desc(c) for c in order], lookback
-    ).drop("_piece")
+    )
+    row = F.struct(*[F.col(c) for c in sliced.columns])
+    by_key = tails.groupBy(key).agg(F.collect_list(row).alias("_tails"))
+    # The slices that exist, numbered without gaps, so "the slice before" always has a row.
+    numbers = F.array_sort(F.array_distinct(F.transform("_tails", lambda t: t["_slice"])))
+    reached = F.posexplode("_slices").alias("_n", "_to")
     # Each slice holds at least one row, so the last `lookback` slices hold enough of them.
+    before = F.slice("_slices", F.greatest(F.col("_n") - lookback, F.lit(0)) + 1, F.least(F.col("_n"), F.lit(lookback)))
     return (
-        tails.join(F.broadcast(numbered), [key, "_slice"])
-        .withColumn("_to", F.explode(F.sequence(F.col("_n") + 1, F.col("_n") + lookback)))
-        .drop("_slice", "_n")
-        .join(F.broadcast(numbered.withColumnRenamed("_n", "_to")), [key, "_to"])
-        .drop("_to")
+        by_key.select("_tails", numbers.alias("_slices"))
+        .select("_tails", "_slices", reached)
+        .select("_to", F.filter("_tails", lambda t: F.array_contains(before, t["_slice"])).alias("_tails"))
+        .select("_to", F.explode("_tails").alias("_tail"))
+        .select(*[F.col("_to" if c == "_slice" else f"_tail.{c}").alias(c) for c in sliced.columns])
         .withColumn("_carried", F.lit(True))
     )

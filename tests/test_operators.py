@@ -203,3 +203,25 @@ def test_words_of_a_note_stay_with_it(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     texts_dealt, texts_reused = plan.count("REPARTITION_BY_COL"), len(re.findall("ReusedExchange \\[note_id#\\d+, note_text", plan))
     assert texts_dealt - texts_reused == 1
+
+
+def test_look_back_reads_its_input_once(spark):
+    rows = spark.range(200).select("id", (F.col("id") % 9).cast("string").alias("k"), (F.col("id") * 7 % 200).alias("n"))
+    values = spark.range(200).select("id", (F.col("id") * 3).alias("v"))
+    df = rows.join(values.hint("merge"), "id")
+    found = windowed(df, "k", ["n", "id"], 2, lambda w: {"change": F.col("v") - F.lag("v").over(w)}, 1000, sized_by=rows)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan is whole before it runs
+    try:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(id#" in line and "ReusedExchange" not in line]
+    assert len(dealt) == 2  # one for each side of the join
+
+
+def test_keys_without_a_value_keep_their_rows(spark):
+    rows = [(None, 1, 5), (None, 2, 7), ("a", 1, 1), ("a", 2, 3), ("a", 3, 4), ("a", 4, 9)]
+    df = spark.createDataFrame(rows, "k string, n long, v long")
+    found = windowed(df, "k", ["n"], 2, lambda w: {"change": F.col("v") - F.lag("v").over(w)}, 1)
+    got = sorted((r.k or "", r.n, r.change or 0) for r in found.collect())
+    assert got == [("", 1, 0), ("", 2, 2), ("a", 1, 0), ("a", 2, 2), ("a", 3, 1), ("a", 4, 5)]
