@@ -17,8 +17,9 @@ from pulsemart.operators.latest import latest_by, newest_first
 from pulsemart.operators.neighbours import windowed
 from pulsemart.operators.sampling import sample
 from pulsemart.operators.vectors import nearest, text_vectors
-from pulsemart.plans import alerts, dashboard, notes
+from pulsemart.plans import alerts, dashboard, gold, notes
 from pulsemart.plans.logs import Logs, recent, since_midnight
+from pulsemart.sources import lookups
 
 
 @pytest.mark.parametrize("spread", [False, True])
@@ -225,3 +226,55 @@ def test_keys_without_a_value_keep_their_rows(spark):
     found = windowed(df, "k", ["n"], 2, lambda w: {"change": F.col("v") - F.lag("v").over(w)}, 1)
     got = sorted((r.k or "", r.n, r.change or 0) for r in found.collect())
     assert got == [("", 1, 0), ("", 2, 2), ("a", 1, 0), ("a", 2, 2), ("a", 3, 1), ("a", 4, 5)]
+
+
+def _star_rows(spark):
+    """Encounters with none, one and several rows in each branch; ids that are missing, repeated or found nowhere."""
+    days = (dt.datetime(2020, 1, 1), dt.datetime(2020, 1, 3), 2, "HOME")
+    stays = [("e1", "p1"), ("e2", "p1"), ("e3", "p2"), ("e4", "p3"), (None, "p1"), ("e6", None), ("e7", "gone"), ("e2", "p1")]
+    encounters = [(e, p, "INPATIENT", "CARDIO", "DR", *days) for e, p in stays]
+    patients = [("p1", "A", "B", 50, "F", "X", True), ("p2", "C", "D", None, "M", "Y", True), ("p3", "E", None, 9, "F", "Z", True), ("p2", "old", "row", 1, "M", "Y", False)]
+    diagnoses = [("e1", "I10", "high", "C", "PRIMARY"), ("e1", "I11", None, None, "PRIMARY"), ("e1", "I12", "x", "C", "OTHER"), (None, "I13", "n", "C", "PRIMARY"), ("e3", "I14", "y", "C", "PRIMARY"), ("e3", "I14", "y", "C", "PRIMARY")]
+    medications = [("e1", "asa", "PLATELET"), ("e1", "bb", None), ("e2", None, None), (None, "cc", "C"), ("e9", "dd", "D")]
+    referrals = [("p1", "r1", "MI", "HIGH", 40.5), ("p1", "r2", "HF", "LOW", None), ("p3", None, "HF", "LOW", 1.0), (None, "r4", "HF", "LOW", 2.0)]
+    sessions = [("r1", 1, 55.25, True), ("r1", 2, None, None), ("r4", 1, 1.0, False), (None, 3, 2.0, True), ("r9", 1, 1.0, True)]
+    tables = {
+        "encounter_id string, patient_id string, encounter_type string, department string, attending_provider string, "
+        "admit_date timestamp_ntz, discharge_date timestamp_ntz, length_of_stay_days int, discharge_status string": encounters,
+        "patient_id string, first_name string, last_name string, age int, gender string, ethnicity string, is_current boolean": patients,
+        "encounter_id string, icd_code string, description string, cardiac_category string, diagnosis_type string": diagnoses,
+        "encounter_id string, medication_name string, drug_class string": medications,
+        "patient_id string, referral_id string, qualifying_diagnosis string, computed_risk string, lvef_percent double": referrals,
+        "referral_id string, session_number int, achieved_hrr_percent double, safety_flag boolean": sessions,
+    }
+    return [spark.createDataFrame(rows, schema) for schema, rows in tables.items()]
+
+
+def test_rows_of_the_clinical_summary_are_not_exchanged(spark):
+    star = _star_rows(spark)
+    view = gold.clinical_summary(*star)
+    digest = gold.row_digest(view.columns, dict(view.dtypes))
+    expected = view.select("encounter_id", "patient_id", digest.alias("d")).groupBy("encounter_id", "patient_id").agg(F.count("*"), F.sum("d"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = gold.clinical_summary_checksums(*star)
+        got, plan = Counter(map(tuple, found.collect())), found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == Counter(map(tuple, expected.collect())) and sum(n for _, _, n, _ in got) == view.count()
+    assert not re.search("Exchange hashpartitioning\\(encounter_id#\\d+, patient_id", plan)
+
+
+def test_tables_that_pick_by_other_columns_share_an_exchange(spark):
+    lines = spark.range(100).select("id", (F.col("id") * 3).alias("pk"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("sk"))
+    joined = lines.join(spark.range(100).hint("merge"), "id")
+    table = lookups.lookup(spark, [("a", 1), ("b", 2)], ["name", "code"])
+    one, two = (lookups.cyclic_pick(joined, table, "name", F.col(c), 2).select("id", "name", "pk", "sk") for c in ("pk", "sk"))
+    both = one.unionByName(two)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan is whole before it runs
+    try:
+        plan = both._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(id#" in line and "ReusedExchange" not in line]
+    assert len(dealt) == 2 and both.count() == 100 + lines.where("sk is not null").count()
